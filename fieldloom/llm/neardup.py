@@ -7,10 +7,10 @@ length of the longest common subsequence of the labelled shingles (n and m of th
 L / (n + m - L), the order-keeping form of the Jaccard similarity, and texts are linked from 0.8. Classes are the
 connected components of the links.
 
-Equal texts are one node, so copies never meet each other. In a bucket, nodes are compared with pivots, not with each
-other: first with the smallest node, then, where the bucket still has several components, with one pivot for each of
-up to PIVOTS groups of components, until every bucket is one component or every node was compared: no link between
-nodes of a bucket is lost, and no step has more than PIVOTS pairs for each bucket row.
+Equal texts are one node, so copies never meet each other. In a bucket, nodes are compared with one pivot, not with each
+other. Two nodes that are both linked to their pivot are in one class already; where one is not, how both differ from
+the pivot bounds from below how they differ from each other, and they are compared only if that bound leaves room for a
+link. So no link between nodes that share a bucket is lost, and no step lists the pairs of a group.
 
 Texts of fewer than five words are one shingle. Null, empty and wordless texts are classes of their own, as are rows
 without an id. Rows with equal ids are one document, linked if any of their texts are. Only ids, texts and result
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, components, mix, windows, words_of, written
@@ -36,7 +36,6 @@ SLOTS, KEEP = 32, 6
 SHORT, SHORT_SLOTS, SHORT_KEEP = 20, 12, 2
 #: A similarity of at least 0.8 is a distance n + m - 2 L of at most (n + m) / 9.
 NINTHS = 9
-PIVOTS = 16
 
 
 def labelled(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,11 +120,16 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     nodes = sound.groupBy("h").agg(F.min(id_col).alias("node"))
     bucket = (
         sound.join(nodes, "h").where(F.col(id_col) == F.col("node"))
-        .select("node", "n", F.explode("keys").alias("key")).groupBy("key", "node").agg(F.min("n").alias("n"), F.max("n").alias("top"))
+        .select("node", F.explode("keys").alias("key")).distinct()
     )
     bucket = written(bucket, "buckets")
-    shared = bucket.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("key", "pivot")
-    live = written(bucket.join(shared, "key"), "live")
+    shared = bucket.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    live = written(bucket.select("key", "node").join(shared, "key"), "live")
+    # The pivot of a bucket is the node that shares most: of a group of edited copies, the text they come from.
+    degrees = live.groupBy("node").agg(F.sum("size").alias("degree"))
+    ranked = live.join(degrees, "node").select("key", "node", F.struct("degree", "node").alias("rank"))
+    pivots = ranked.groupBy("key").agg(F.max("rank").alias("rank")).select("key", F.col("rank.node").alias("pivot"))
+    star = live.select("key", "node").join(pivots, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,37 +144,39 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = []
+            near, extra, missing, total = [], [], [], []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
                 near.append(NINTHS * distance(x, y) <= len(x) + len(y))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
+                extra.append(np.setdiff1d(x, y, assume_unique=True).view(np.int64))
+                missing.append(len(y) - len(x) + len(extra[-1]))
+                total.append(len(x))
+            out = [pa.array(near, pa.bool_()), pa.array(total, pa.int64()), pa.array(missing, pa.int64()), pa.array(extra, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], ["a", "b", "near", "n", "missing", "extra"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("node").alias(c), F.col("seq").alias(f"seq_{c}")) for c in "ab")
         both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "seq_a", "seq_b")
-        return written(both.mapInArrow(aligned, f"a {kind}, b {kind}, near boolean"), "compared")
-
-    compared = verified(live.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-    rest = live.where("node <> pivot").select("key", "node", "n", "top")
-    # Where every member of a bucket fell into its pivot's component there is nothing left to compare.
-    while True:
-        reached = components(compared.where("near"))
-        now = rest.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        now = written(now.join(several, "key").drop("pivot"), "rest")
-        group = F.pmod(F.xxhash64("component"), F.lit(PIVOTS))
-        pivots = now.groupBy("key", group.alias("g")).agg(F.min(F.struct("component", "node", "n", "top")).alias("p")).select("key", "p.*")
-        pivots = pivots.select("key", F.col("node").alias("pivot"), F.col("component").alias("c"), F.col("n").alias("low"), F.col("top").alias("high"))
-        # Lengths alone are a distance: n - m of them at least.
-        reachable = (NINTHS * (F.col("n") - F.col("high")) <= F.col("n") + F.col("high")) & (NINTHS * (F.col("low") - F.col("top")) <= F.col("low") + F.col("top"))
-        pairs = now.join(pivots, "key").where((F.col("component") != F.col("c")) & reachable)
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        if now.isEmpty():
-            break
-        compared = written(compared.unionByName(verified(pairs)), "compared")
-        # A pivot has now met its whole bucket.
-        rest = now.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "top")
+        return written(both.mapInArrow(aligned, f"a {kind}, b {kind}, near boolean, n long, missing long, extra array<long>"), "compared")
+
+    compared = verified(star)
+    # What is left is a pair with one pivot of which one at least, far, is not linked to it. With e shingles that a node
+    # has beyond the pivot, m that it lacks, and c that two nodes have beyond it in common, the two differ in at least
+    # e + e' + m + m' - 2 c - 2 min(m, m') shingles; only pairs for which that leaves room are compared.
+    def room(common: Column | int) -> Column:
+        return NINTHS * (F.col("e1") + F.col("e2") + F.abs(F.col("m1") - F.col("m2")) - 2 * common) <= F.col("n1") + F.col("n2")
+
+    def numbered(rows: DataFrame, k: int) -> DataFrame:
+        return rows.select(F.col("b").alias("pivot"), F.col("a").alias(f"a{k}"), F.col("n").alias(f"n{k}"), F.col("missing").alias(f"m{k}"), F.size("extra").alias(f"e{k}"), "extra")
+
+    far, seen = numbered(compared.where("not near"), 1), numbered(compared, 2)
+    apart = far.drop("extra").join(seen.drop("extra"), "pivot").where((F.col("a1") != F.col("a2")) & room(0)).select("a1", "a2")
+    met = far.withColumn("x", F.explode("extra")).drop("extra").join(seen.withColumn("x", F.explode("extra")).drop("extra"), ["pivot", "x"])
+    met = met.where((F.col("a1") != F.col("a2")) & room(F.least("e1", "e2"))).groupBy("pivot", "a1", "a2", "n1", "n2", "m1", "m2", "e1", "e2").agg(F.count("*").alias("c"))
+    close = apart.unionByName(met.where(room(F.col("c"))).select("a1", "a2")).select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct()
+    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = compared.where("near").select("a", "b").unionByName(verified(close.join(done, ["a", "b"], "left_anti")).where("near").select("a", "b"))
+    reached = components(links)
     names = nodes.join(reached, "node", "left").select("h", F.coalesce("component", "node").alias("class_of"))
     # Ids that stand on several rows tie their texts together.
     several = sound.groupBy(id_col).agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 <> h2").select(id_col)
