@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import U64, components, mix, windows, words_of, written
@@ -139,7 +140,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array([shingles[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:])], pa.binary())], ["node", "seq"])
 
     wanted = live.select("node").distinct()
-    texts = df.select(F.col(id_col).alias("node"), text_col).join(wanted, "node", "left_semi").mapInArrow(arrays, f"node {kind}, seq binary").where("length(seq) > 0").distinct()
+    texts = df.select(F.col(id_col).alias("node"), text_col).join(wanted.hint("merge"), "node", "left_semi").mapInArrow(arrays, f"node {kind}, seq binary").where("length(seq) > 0").distinct()
     texts = written(texts, "texts")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +172,17 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     far, seen = numbered(compared.where("not near"), 1), numbered(compared, 2)
     apart = far.drop("extra").join(seen.drop("extra"), "pivot").where((F.col("a1") != F.col("a2")) & room(0)).select("a1", "a2")
-    met = far.withColumn("x", F.explode("extra")).drop("extra").join(seen.withColumn("x", F.explode("extra")).drop("extra"), ["pivot", "x"])
-    met = met.where((F.col("a1") != F.col("a2")) & room(F.least("e1", "e2"))).groupBy("pivot", "a1", "a2", "n1", "n2", "m1", "m2", "e1", "e2").agg(F.count("*").alias("c"))
-    close = apart.unionByName(met.where(room(F.col("c"))).select("a1", "a2")).select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct()
+    # Two nodes with something in common beyond the pivot: at least e - n / 4 shingles of each, for room is at most n / 4.
+    # So they share one of the rarest n / 4 + 1 of each, and common passages are not looked up.
+    each = compared.select(F.col("b").alias("pivot"), "a", "n", F.size("extra").alias("e"), F.col("near"), F.explode("extra").alias("x"))
+    often = each.groupBy("pivot", "x").agg(F.count("*").alias("often"))
+    place = F.row_number().over(W.partitionBy("pivot", "a").orderBy("often", "x"))
+    rare = each.join(often, ["pivot", "x"]).withColumn("place", place).where((F.col("place") <= F.floor(F.col("n") / 4) + 1) & (F.col("often") > 1))
+    rare = written(rare.select("pivot", "x", "a", "near"), "rare")
+    met = rare.where("not near").select("pivot", "x", F.col("a").alias("a1")).join(rare.select("pivot", "x", F.col("a").alias("a2")), ["pivot", "x"]).where("a1 <> a2").select("pivot", "a1", "a2").distinct()
+    met = met.join(far.withColumnRenamed("extra", "x1"), ["pivot", "a1"]).join(seen.withColumnRenamed("extra", "x2"), ["pivot", "a2"])
+    met = met.where(room(F.size(F.array_intersect("x1", "x2")))).select("a1", "a2")
+    close = apart.unionByName(met).select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct()
     done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = compared.where("near").select("a", "b").unionByName(verified(close.join(done, ["a", "b"], "left_anti")).where("near").select("a", "b"))
     reached = components(links)
