@@ -64,3 +64,32 @@ def tables(spark: SparkSession, rows: list[tuple]) -> tuple[DataFrame, DataFrame
     """The token table and the page table of some documents."""
     names = sorted({r[0] for r in rows})
     return spark.createDataFrame(rows, TOKENS), spark.createDataFrame([(n, 1, WIDTH, HEIGHT) for n in names], "doc_id string, page int, width int, height int")
+
+
+def from_table(customers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One page for each customer, made without the driver: the base document with the number of axles, the width and the
+    entry number taken from the row."""
+    from pyspark.sql import functions as F
+
+    cells = [(c, r, label, value) for c, column in enumerate(base()) for r, (label, value) in enumerate(column)]
+    changed = {
+        "N° Ejes": (F.col("c_custkey") % 12 + 1).cast("string"), "Ancho": F.format_string("%d.%02d", (F.col("c_custkey") % 9 + 1).cast("int"), (F.col("c_custkey") % 97).cast("int")),
+        "N° Partida": F.lpad(F.col("c_custkey").cast("string"), 8, "0"),
+    }
+    lines = [(f"{w}", x, 1071, CONFIDENCE) for w, x in (("Características", 82), ("del", 300), ("Vehículo", 360))] + [(w, x, 1920, CONFIDENCE) for w, x in (("NO", 1100), ("REGISTRA", 1150), ("AFECTACIONES", 1300))]
+    each = [(F.lit(w), F.lit(x), y, conf) for w, x, y, conf in lines]
+    for c, r, label, value in cells:
+        y, x = FIRST_ROW + PITCH * r, LABEL_LEFT[c]
+        for word in label.split():
+            each.append((F.lit(word), F.lit(x), y, CONFIDENCE))
+            x += (len(word) + 1) * GLYPH
+        each.append((F.lit(":"), F.lit(COLON[c]), y, None))
+        x = VALUE_LEFT[c]
+        for word in value.split():
+            each.append((changed.get(label, F.lit(word)), F.lit(x), y, CONFIDENCE))
+            x += (len(word) + 1) * GLYPH
+    structs = [F.struct(F.lit(k).alias("ord"), t.alias("text"), x.alias("x"), F.lit(y).alias("y"), F.lit(conf).cast("double").alias("confidence")) for k, (t, x, y, conf) in enumerate(each)]
+    key = F.col("c_custkey").cast("string").alias("doc_id")
+    tokens = customers.select(key, "c_custkey", F.inline(F.array(*structs)))
+    tokens = tokens.select("doc_id", F.lit(1).alias("page"), F.lit("ocr").alias("source_kind"), "ord", "text", "x", "y", F.greatest(F.lit(4), F.length("text") * GLYPH).alias("width"), F.lit(TALL).alias("height"), "confidence")
+    return tokens, customers.select(key, F.lit(1).alias("page"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
