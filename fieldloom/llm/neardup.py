@@ -174,12 +174,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     apart = far.drop("extra").join(seen.drop("extra"), "pivot").where((F.col("a1") != F.col("a2")) & room(0)).select("a1", "a2")
     # Two nodes with something in common beyond the pivot: at least e - n / 4 shingles of each, for room is at most n / 4.
     # So they share one of the rarest n / 4 + 1 of each, and common passages are not looked up.
-    each = compared.select(F.col("b").alias("pivot"), "a", "n", F.size("extra").alias("e"), F.col("near"), F.explode("extra").alias("x"))
+    # The first shingle that two nodes share, rarest first, also bounds how many they share by what is left after it.
+    each = compared.select(F.col("b").alias("pivot"), "a", "n", "missing", F.size("extra").alias("e"), "near", F.explode("extra").alias("x"))
     often = each.groupBy("pivot", "x").agg(F.count("*").alias("often"))
     place = F.row_number().over(W.partitionBy("pivot", "a").orderBy("often", "x"))
     rare = each.join(often, ["pivot", "x"]).withColumn("place", place).where((F.col("place") <= F.floor(F.col("n") / 4) + 1) & (F.col("often") > 1))
-    rare = written(rare.select("pivot", "x", "a", "near"), "rare")
-    met = rare.where("not near").select("pivot", "x", F.col("a").alias("a1")).join(rare.select("pivot", "x", F.col("a").alias("a2")), ["pivot", "x"]).where("a1 <> a2").select("pivot", "a1", "a2").distinct()
+    rare = written(rare.select("pivot", "x", "a", "near", "n", "missing", "e", (F.col("e") - F.col("place") + 1).alias("left")), "rare")
+
+    def side(rows: DataFrame, k: int) -> DataFrame:
+        return rows.select("pivot", "x", *(F.col(c).alias(f"{c[0]}{k}") for c in ("a", "n", "missing", "e", "left")))
+
+    apart_from = (F.col("a1") != F.col("a2")) & room(F.least("l1", "l2"))
+    met = side(rare.where("not near"), 1).join(side(rare, 2), ["pivot", "x"]).where(apart_from).select("pivot", "a1", "a2").distinct()
     met = met.join(far.withColumnRenamed("extra", "x1"), ["pivot", "a1"]).join(seen.withColumnRenamed("extra", "x2"), ["pivot", "a2"])
     met = met.where(room(F.size(F.array_intersect("x1", "x2")))).select("a1", "a2")
     close = apart.unionByName(met).select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct()
