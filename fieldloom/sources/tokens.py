@@ -38,7 +38,7 @@ def render_scales(tokens: DataFrame, options: Options = Options()) -> DataFrame:
     first one where that would change little."""
     high = median("height", (F.length("text") >= 2) & (F.col("height") > 0))
     scale = F.greatest(F.lit(options.scales[0]), F.least(F.lit(options.scales[1]), F.lit(options.probe_scale * options.glyph_height) / F.col("high")))
-    scaled = tokens.groupBy("doc_id", "page").agg(high.alias("high")).withColumn("s", F.coalesce(scale, F.lit(options.probe_scale)))
+    scaled = tokens.groupBy("doc_id", "page").agg(high.alias("high")).withColumn("s", F.when(F.col("high").isNull(), options.probe_scale).otherwise(scale))
     return scaled.select("doc_id", "page", F.when(F.abs(F.col("s") - options.probe_scale) > options.rescale_from, F.col("s")).otherwise(options.probe_scale).alias("render_scale"))
 
 
