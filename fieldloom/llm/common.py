@@ -39,6 +39,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key is frequent if it stands on more than one row in so many; so there are fewer than so many frequent keys.
+FREQUENT = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The inner join of rows with a stored table that has one row per key, and in `size` the number of rows with it.
+
+    Frequent keys, fewer than FREQUENT whatever the input, are broadcast, so their rows stay where they are; the rows of
+    all other keys are shuffled, and none of these keys has more than one row in FREQUENT."""
+    total = table.agg(F.sum("size")).first()[0] or 0
+    frequent = F.col("size") * FREQUENT > total
+    hot, rest = table.where(frequent).drop("size"), table.where(~frequent).drop("size")
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(hot), key).unionByName(others)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64, so that all bits depend on all bits."""
     h = h ^ (h >> U64(30))

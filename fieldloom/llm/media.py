@@ -4,9 +4,10 @@ A WAV recording becomes frames of twelve pitch classes. Filters, sums over recta
 integral image, are compared and packed, two bits each, into one integer per place. Recordings that share integers vote
 for the offset between them; the best offset is checked by the share of differing bits over the whole overlap.
 
-Equal recordings are one node, so copies are fingerprinted and compared once. Null, empty, silent or unreadable
-recordings have no fingerprint and match nothing. Only the named columns are used, so extra columns cannot clash; an
-empty table gives an empty table.
+Equal recordings are one class, compared once: matches are pairs of classes, each named by its smallest id, beside the
+class of every recording. So copies are found, but never listed as pairs. Null, empty, silent or unreadable recordings
+have no fingerprint, no class and no match. Rows that repeat an id are recordings of their own. Only the named columns
+are used, so extra columns cannot clash; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import looked_up, written
 
 RATE, FRAME, HOP, SPAN = 4000, 1024, 256, 16
 #: Filters: (kind, first pitch class, pitch classes, first frame, frames) within a span of 16 frames.
@@ -101,26 +102,28 @@ def fingerprints(df: DataFrame, id_cols: list[str], audio_col: str = "audio") ->
     return df.select(*id_cols, F.sha2(audio_col, 256).alias("sha"), audio_col).mapInArrow(each, f"{kinds}, sha string, prints array<int>").where("size(prints) > 0")
 
 
-def search(df: DataFrame, queries: Column, id_cols: list[str], audio_col: str = "audio", votes: int = VOTES, bit_errors: float = BIT_ERRORS) -> DataFrame:
-    """For each recording that `queries` selects, each other recording that aligns with it: the id columns, match (the
-    smallest id of an equal recording), copies of it, offset (frames of the query before the match begins), overlap
-    (frames compared) and bit_errors."""
+def search(df: DataFrame, queries: Column, id_cols: list[str], audio_col: str = "audio", votes: int = VOTES, bit_errors: float = BIT_ERRORS) -> tuple[DataFrame, DataFrame]:
+    """(members, matches). Members: for each recording with a fingerprint the id columns, class (the smallest id of an
+    equal recording) and copies (equal recordings besides it). Matches: for each class with a recording that `queries`
+    selects, each other class that aligns with it: class, match, offset (frames of the query before the match begins),
+    overlap (frames compared) and bit_errors."""
     rec = F.struct(*id_cols)
     prints = written(fingerprints(df, id_cols, audio_col).withColumn("asked", F.coalesce(queries, F.lit(False))), "prints")
-    nodes = prints.groupBy("sha").agg(F.min(rec).alias("node"), F.count("*").alias("copies"), F.max("asked").alias("asked"))
+    nodes = written(prints.groupBy("sha").agg(F.min(rec).alias("node"), F.count("*").alias("size"), F.max("asked").alias("asked")), "classes")
     unique = prints.select("sha", rec.alias("node"), "prints").join(nodes, ["sha", "node"]).dropDuplicates(["sha"])
     unique = written(unique, "recordings")
     index = unique.select("sha", F.posexplode("prints").alias("at", "key"))
     asked = index.join(unique.where("asked").select("sha"), "sha", "left_semi").select(F.col("sha").alias("q"), F.col("at").alias("qat"), "key")
     hits = asked.join(index, "key").where("q <> sha").groupBy("q", "sha", (F.col("qat") - F.col("at")).alias("offset")).count()
     best = hits.groupBy("q", "sha").agg(F.max(F.struct("count", (-F.col("offset")).alias("o"))).alias("b")).where(F.col("b.count") >= votes).selectExpr("q", "sha", "-b.o as offset")
-    left = unique.select(F.col("sha").alias("q"), F.col("prints").alias("x"))
-    both = best.join(left, "q").join(unique.select("sha", "node", "copies", F.col("prints").alias("y")), "sha")
+    left = unique.select(F.col("sha").alias("q"), F.col("node").alias("class"), F.col("prints").alias("x"))
+    both = best.join(left, "q").join(unique.select("sha", F.col("node").alias("match"), F.col("prints").alias("y")), "sha")
     both = both.withColumn("begin", F.greatest("offset", F.lit(0))).withColumn("overlap", F.least(F.size("x"), F.size("y") + F.col("offset")) - F.col("begin"))
     errors = F.aggregate(F.zip_with(F.slice("x", F.col("begin") + 1, F.col("overlap")), F.slice("y", F.col("begin") - F.col("offset") + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     found = both.withColumn("bit_errors", errors / (32.0 * F.col("overlap"))).where(F.col("bit_errors") <= bit_errors)
-    named = prints.where("asked").select(*id_cols, F.col("sha").alias("q"))
-    return named.join(found, "q").select(*id_cols, F.col("node").alias("match"), "copies", "offset", "overlap", "bit_errors")
+    sizes = nodes.select("sha", "size", F.struct(F.col("node").alias("class"), (F.col("size") - 1).alias("copies")).alias("c"))
+    members = looked_up(prints.select(*id_cols, "sha"), sizes, "sha").select(*id_cols, "c.class", "c.copies")
+    return members, found.select("class", "match", "offset", "overlap", "bit_errors")
 
 
 def sonified(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:

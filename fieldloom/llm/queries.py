@@ -45,10 +45,14 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings are made from all turns of conversations: no table has audio."""
+    """Recordings are made from all turns of conversations: no table has audio. One row per recording with its class of
+    equal ones; the rows that name a class also hold its matches, one row each, if a member is among the queries."""
     ids = ["conv_id", "turn"]
-    found = media.search(media.sonified(table(spark, sf_dir, "conversations"), ids), F.col("conv_id") % 100 == 0, ids)
-    return found.select(*ids, F.col("match.conv_id").alias("match_conv_id"), F.col("match.turn").alias("match_turn"), "copies", "offset", "overlap", "bit_errors")
+    members, matches = media.search(media.sonified(table(spark, sf_dir, "conversations"), ids), F.col("conv_id") % 100 == 0, ids)
+    ends = matches.select(*(F.col(f"class.{c}").alias(c) for c in ids), *(F.col(f"match.{c}").alias(f"match_{c}") for c in ids), "offset", "overlap", "bit_errors")
+    names = [members[c].eqNullSafe(members["class"][c]) & members[c].eqNullSafe(ends[c]) for c in ids]
+    named = members.join(ends, names[0] & names[1], "left")
+    return named.select(*(members[c] for c in ids), *(members["class"][c].alias(f"class_{c}") for c in ids), "copies", "match_conv_id", "match_turn", "offset", "overlap", "bit_errors")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

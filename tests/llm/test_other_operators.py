@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldloom.llm import common, lattice, media, warc
+from fieldloom.llm import common, lattice, media, queries, warc
 
 
 def tune(r, n):
@@ -19,10 +19,23 @@ def test_audio_search_finds_shifted_and_noisy_recordings(spark):
     noisy[40] = "other"
     rows = [(100, 0, a), (1, 0, " ".join(a.split()[20:])), (2, 0, " ".join(noisy)), (3, 0, b), (4, 0, a), (5, 0, None), (6, 0, ""), (200, 0, tune(r, 5)), (None, 1, b)]
     made = media.sonified(spark.createDataFrame(rows, "conv_id long, turn long, text string"), ["conv_id", "turn"])
-    got = {(x.conv_id, x.match.conv_id): x for x in media.search(made, F.col("conv_id") % 100 == 0, ["conv_id", "turn"]).collect()}
-    assert set(got) == {(100, 1), (100, 2)}
-    assert got[100, 1].offset == 20 and got[100, 1].bit_errors < 0.01 and got[100, 2].offset == 0 and 0 < got[100, 2].bit_errors < 0.2
-    assert media.search(made.where("turn < 0"), F.lit(True), ["conv_id", "turn"]).count() == 0
+    members, matches = media.search(made, F.col("conv_id") % 100 == 0, ["conv_id", "turn"])
+    classes = {(x.conv_id, x.turn): (x["class"].conv_id, x.copies) for x in members.collect()}
+    assert classes == {(100, 0): (4, 1), (4, 0): (4, 1), (1, 0): (1, 0), (2, 0): (2, 0), (3, 0): (None, 1), (None, 1): (None, 1), (200, 0): (200, 0)}
+    got = {(x["class"].conv_id, x.match.conv_id): x for x in matches.collect()}
+    assert set(got) == {(4, 1), (4, 2)}
+    assert got[4, 1].offset == 20 and got[4, 1].bit_errors < 0.01 and got[4, 2].offset == 0 and 0 < got[4, 2].bit_errors < 0.2
+    empty = media.search(made.where("turn < 0"), F.lit(True), ["conv_id", "turn"])
+    assert [x.count() for x in empty] == [0, 0]
+
+
+def test_audio_query_has_a_row_per_recording(spark, tmp_path):
+    r = random.Random(6)
+    a, b, c = tune(r, 60), tune(r, 60), tune(r, 60)
+    rows = [(100, 0, a), (1, 0, " ".join(a.split()[10:])), (2, 0, a), (2, 0, a), (3, 0, b), (200, 1, b), (7, 0, None), (None, 1, c), (300, 1, c), (9, 1, " ".join(c.split()[5:]))]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [tuple(x)[:8] for x in queries.op6_audio_fingerprints(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(100, 0, 2, 0, 2, None, None, None), (1, 0, 1, 0, 0, None, None, None), *[(2, 0, 2, 0, 2, 1, 0, 10)] * 2, (3, 0, 3, 0, 1, None, None, None), (200, 1, 3, 0, 1, None, None, None), (None, 1, None, 1, 1, 9, 1, 5), (300, 1, None, 1, 1, None, None, None), (9, 1, 9, 1, 0, None, None, None)], key=str)
 
 
 def test_unreadable_audio_has_no_fingerprint(spark):
