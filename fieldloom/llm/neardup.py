@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, components, mix, windows, words_of, written
+from .common import U64, components, looked_up, mix, windows, words_of, written
 
 SHINGLE = 5
 #: Slots and shingles in each: at a similarity of 0.8 a slot agrees with probability 0.26, so 32 slots miss 6 in 100,000.
@@ -116,9 +116,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = written(
         df.select(id_col, text_col, F.md5(F.col(text_col).cast("binary")).alias("h")).mapInArrow(sketched, f"`{id_col}` {kind}, h string, n long, keys array<long>"), "sketches"
     )
-    sound = rows.where(F.col(id_col).isNotNull() & F.col("keys").isNotNull())
+    has_words = F.col(id_col).isNotNull() & F.col("keys").isNotNull()
+    sound = rows.where(has_words)
     # Equal texts meet in their smallest id; ids that repeat with other texts join these texts' nodes below.
-    nodes = sound.groupBy("h").agg(F.min(id_col).alias("node"))
+    nodes = sound.groupBy("h").agg(F.min(id_col).alias("node"), F.count("*").alias("size"))
     bucket = (
         sound.join(nodes, "h").where(F.col(id_col) == F.col("node"))
         .select("node", F.explode("keys").alias("key")).distinct()
@@ -192,15 +193,16 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = compared.where("near").select("a", "b").unionByName(verified(close.join(done, ["a", "b"], "left_anti")).where("near").select("a", "b"))
     reached = components(links)
-    names = nodes.join(reached, "node", "left").select("h", F.coalesce("component", "node").alias("class_of"))
+    names = nodes.join(reached, "node", "left").select("h", "size", F.coalesce("component", "node").alias("class_of"))
     # Ids that stand on several rows tie their texts together.
     several = sound.groupBy(id_col).agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 <> h2").select(id_col)
     if not several.isEmpty():
         ties = sound.join(several, id_col).join(names, "h").select(F.col(id_col).alias("a"), F.col("class_of").alias("b"))
         tied = components(ties.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        names = names.join(tied.select(F.col("node").alias("class_of"), "component"), "class_of", "left").select("h", F.coalesce("component", "class_of").alias("class_of"))
-    # A row without a class keeps its id, and so does a wordless text: its hash has no node.
-    return rows.select(id_col, "h").join(names, "h", "left").select(id_col, F.when(F.col(id_col).isNotNull(), F.coalesce("class_of", id_col)).alias("class_id"))
+        names = names.join(tied.select(F.col("node").alias("class_of"), "component"), "class_of", "left").select("h", "size", F.coalesce("component", "class_of").alias("class_of"))
+    # Wordless texts keep their ids and rows without an id have no class: neither takes part in the join.
+    named = looked_up(sound.select(id_col, "h"), written(names, "names"), "h").select(id_col, F.col("class_of").alias("class_id"))
+    return named.unionByName(rows.where(~has_words).select(id_col, F.col(id_col).alias("class_id")))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
