@@ -206,6 +206,18 @@ def test_secrets_match_brute_force_and_ledger_skips_what_it_holds(docs, empty):
     assert secrets.audit(empty)[0].count() == 0
 
 
+def test_secrets_of_repeated_rows_and_rows_without_id_are_scanned_once(spark):
+    held = [next(t for i, t, *_ in corpus() if i == 15), "x token=abcdefgh y", "AKIA" + "B" * 16 + " or " + "0a" * 14]
+    rows = [(1, held[0]), (1, held[0]), (1, held[1]), (None, held[1]), (None, held[2]), (None, held[2]), (2, None), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, ledger = secrets.audit(df)
+    want = Counter((i, tuple(brute_spans(t))) for i, t in rows)
+    assert Counter((x.doc_id, tuple(map(tuple, x.spans))) for x in found.collect()) == want
+    assert sorted(tuple(map(tuple, x.spans)) for x in ledger.collect()) == sorted(tuple(brute_spans(t)) for t in {t for _, t in rows})
+    old = ledger.selectExpr("blob", "1 as rules", "filter(spans, x -> false) as spans")
+    assert Counter((x.doc_id, tuple(map(tuple, x.spans))) for x in secrets.audit(df, ledger=old)[0].collect()) == want
+
+
 def test_secrets_run_without_python(docs):
     assert not re.search("Python|Pandas|Arrow", secrets.audit(docs)[0]._jdf.queryExecution().executedPlan().toString())
 
