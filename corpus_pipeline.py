@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 from fieldloom.llm import langid, neardup, packing, secrets, substrings
 from fieldloom.llm.common import written
 
-#: A text is rejected where no language reaches this probability.
-LEAST_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is recognised; texts without letters go."""
+    """Documents to which the classifier gives a language; texts without letters go. How sure it is does not count: the
+    probabilities are closed over the learned languages, so short and mixed texts have low ones too."""
     names, weights = langid.train(docs)
     judged = langid.predict(docs, names, weights)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return judged.where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from fieldloom.llm import bpe, counts, langid, neardup, packing, secrets, substrings
 
 PATTERN, path = public_tokenizers.PATTERN, public_tokenizers.path
@@ -179,6 +180,16 @@ def test_language_id_edges(docs, empty, spark):
     assert langid.predict(empty, names, weights).count() == 0
 
 
+def test_language_stage_keeps_texts_of_low_probability(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(some_words(r, 3, 50)), "abcdef"[i % 6], "s", 0) for i in range(120)]
+    rows += [(120, None, "a", "s", 0), (121, "12 !", "a", "s", 0), (None, "one two three", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert langid.predict(df, *langid.train(df)).where("lang_pred <> 'und' and score < 0.5").count() > 0
+    kept = corpus_pipeline.language(spark, df, "")
+    assert Counter(map(tuple, kept.collect())) == Counter(x for x in rows if re.search("[a-z]", x[1] or ""))
+
+
 def test_tables_are_the_convolution():
     r = np.random.default_rng(0)
     x = r.integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
