@@ -2,7 +2,12 @@
 
 A WAV recording becomes frames of twelve pitch classes. Filters, sums over rectangles of the frames read from an
 integral image, are compared and packed, two bits each, into one integer per place. Recordings that share integers vote
-for the offset between them; the best offset is checked by the share of differing bits over the whole overlap.
+for the offset between them; the best offset is checked by the share of differing bits over the whole overlap, and of
+offsets with equal votes the one that differs least counts.
+
+A pair needs VOTES votes, or half as many as the shorter recording has integers, if that is less, but one at least. So a
+recording of any length is searched and found; what shares no integer with it at the right offset is not, whatever its
+bit errors. A recording of one integer (up to 19 words as made here) is found only where that integer stands unchanged.
 
 Equal recordings are one class, compared once: matches are pairs of classes, each named by its smallest id, beside the
 class of every recording. So copies are found, but never listed as pairs. Null, empty, silent or unreadable recordings
@@ -26,7 +31,7 @@ from .common import looked_up, written
 RATE, FRAME, HOP, SPAN = 4000, 1024, 256, 16
 #: Filters: (kind, first pitch class, pitch classes, first frame, frames) within a span of 16 frames.
 FILTERS = [(k % 4, (5 * k) % 12, 1 + k % 4, k % 8, 4 + 2 * (k % 5)) for k in range(16)]
-#: Votes a pair needs at its best offset, and the greatest share of differing bits.
+#: Votes a pair of long recordings needs at its best offset, and the greatest share of differing bits.
 VOTES, BIT_ERRORS = 4, 0.2
 
 
@@ -112,15 +117,21 @@ def search(df: DataFrame, queries: Column, id_cols: list[str], audio_col: str =
     nodes = written(prints.groupBy("sha").agg(F.min(rec).alias("node"), F.count("*").alias("size"), F.max("asked").alias("asked")), "classes")
     unique = prints.select("sha", rec.alias("node"), "prints").join(nodes, ["sha", "node"]).dropDuplicates(["sha"])
     unique = written(unique, "recordings")
-    index = unique.select("sha", F.posexplode("prints").alias("at", "key"))
-    asked = index.join(unique.where("asked").select("sha"), "sha", "left_semi").select(F.col("sha").alias("q"), F.col("at").alias("qat"), "key")
-    hits = asked.join(index, "key").where("q <> sha").groupBy("q", "sha", (F.col("qat") - F.col("at")).alias("offset")).count()
-    best = hits.groupBy("q", "sha").agg(F.max(F.struct("count", (-F.col("offset")).alias("o"))).alias("b")).where(F.col("b.count") >= votes).selectExpr("q", "sha", "-b.o as offset")
+    index = unique.select("sha", F.size("prints").alias("n"), F.posexplode("prints").alias("at", "key"))
+    asked = index.join(unique.where("asked").select("sha"), "sha", "left_semi").select(F.col("sha").alias("q"), F.col("n").alias("m"), F.col("at").alias("qat"), "key")
+    hits = asked.join(index, "key").where("q <> sha").groupBy("q", "sha", "m", "n", (F.col("qat") - F.col("at")).alias("offset")).count()
+    shorter, overlap = F.least("m", "n"), lambda o: F.least(F.col("m"), F.col("n") + o) - F.greatest(o, F.lit(0))
+    enough = (F.col("count") >= F.least(F.lit(votes), F.greatest(F.lit(1), F.floor(shorter / 2)))) & (overlap(F.col("offset")) >= F.least(F.lit(votes), shorter))
+    best = hits.where(enough).groupBy("q", "sha", "m", "n", "count").agg(F.collect_list("offset").alias("o")).groupBy("q", "sha", "m", "n").agg(F.max(F.struct("count", "o"))["o"].alias("offsets"))
     left = unique.select(F.col("sha").alias("q"), F.col("node").alias("class"), F.col("prints").alias("x"))
     both = best.join(left, "q").join(unique.select("sha", F.col("node").alias("match"), F.col("prints").alias("y")), "sha")
-    both = both.withColumn("begin", F.greatest("offset", F.lit(0))).withColumn("overlap", F.least(F.size("x"), F.size("y") + F.col("offset")) - F.col("begin"))
-    errors = F.aggregate(F.zip_with(F.slice("x", F.col("begin") + 1, F.col("overlap")), F.slice("y", F.col("begin") - F.col("offset") + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    found = both.withColumn("bit_errors", errors / (32.0 * F.col("overlap"))).where(F.col("bit_errors") <= bit_errors)
+
+    def compared(o: Column) -> Column:
+        begin = F.greatest(o, F.lit(0))
+        differ = F.zip_with(F.slice("x", begin + 1, overlap(o)), F.slice("y", begin - o + 1, overlap(o)), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        return F.struct((F.aggregate(differ, F.lit(0), lambda a, b: a + b) / (32.0 * overlap(o))).alias("bit_errors"), o.alias("offset"), overlap(o).alias("overlap"))
+
+    found = both.select("class", "match", F.array_min(F.transform("offsets", compared)).alias("b")).select("class", "match", "b.*").where(F.col("bit_errors") <= bit_errors)
     sizes = nodes.select("sha", "size", F.struct(F.col("node").alias("class"), (F.col("size") - 1).alias("copies")).alias("c"))
     members = looked_up(prints.select(*id_cols, "sha"), sizes, "sha").select(*id_cols, "c.class", "c.copies")
     return members, found.select("class", "match", "offset", "overlap", "bit_errors")
