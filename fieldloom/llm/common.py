@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -20,8 +21,11 @@ SEGMENT = 1 << 22
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the setting is missing, as in tests."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session, as in tests, gets one of its own; on a
+    cluster that is an error, because executors and driver share no local folder."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -39,20 +43,50 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or the first longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: A key is frequent if it stands on more than one row in so many; so there are fewer than so many frequent keys.
 FREQUENT = 1000
+#: Keys with so few rows are never frequent.
+FEW = 1000
+
+
+def frequent(sizes: DataFrame, total: int) -> list[Row]:
+    """Of rows (key columns, size): the keys that are frequent among `total` rows, with the number of shares over which
+    their rows are dealt. Fewer than FREQUENT, whatever the input."""
+    most = max(FEW, total // FREQUENT)
+    return sizes.where(F.col("size") > most).withColumn("_shares", F.ceil(F.col("size") / most).cast("int")).drop("size").collect() if total > FEW else []
+
 
+def dealt_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: list[Row], how: str = "inner") -> DataFrame:
+    """The join (inner or left) of rows with a table that has one row per key. The rows of a frequent key are dealt over
+    its shares, and the table has a copy of its row for each; only the frequent keys are broadcast."""
+    if not hot:
+        return rows.join(table, keys, how)
+    shares = F.broadcast(rows.sparkSession.createDataFrame(hot, table.select(*keys, F.lit(0).alias("_shares")).schema))
+    others = [c for c in rows.columns if c not in keys]
+    dealt = rows.join(shares, keys, "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64(*others), F.col("_shares")), F.lit(0)).cast("int"))
+    copies = table.join(shares, keys, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)))
+    return dealt.drop("_shares").join(copies.drop("_shares"), [*keys, "_share"], how).drop("_share")
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """The inner join of rows with a stored table that has one row per key, and in `size` the number of rows with it.
 
-    Frequent keys, fewer than FREQUENT whatever the input, are broadcast, so their rows stay where they are; the rows of
-    all other keys are shuffled, and none of these keys has more than one row in FREQUENT."""
-    total = table.agg(F.sum("size")).first()[0] or 0
-    frequent = F.col("size") * FREQUENT > total
-    hot, rest = table.where(frequent).drop("size"), table.where(~frequent).drop("size")
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
-    return rows.join(F.broadcast(hot), key).unionByName(others)
+def looked_up(rows: DataFrame, table: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """dealt_join with a stored table that has in `size` the number of rows with each key."""
+    keys = [key] if isinstance(key, str) else key
+    hot = frequent(table.select(*keys, "size"), table.agg(F.sum("size")).first()[0] or 0)
+    return dealt_join(rows, table.drop("size"), keys, hot, how)
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """dealt_join of stored rows, whose keys are counted here; counts are combined before the shuffle."""
+    hot = frequent(rows.groupBy(key).agg(F.count("*").alias("size")), rows.count() if total is None else total)
+    return dealt_join(rows, table, [key], hot)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -90,6 +124,16 @@ def bytes_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, offsets - offsets[0]
 
 
+def slices(texts: pa.Array, most: int = 1 << 20, rows: int = 512) -> Iterator[tuple[int, int]]:
+    """Runs (start, length) of rows with about `most` bytes of text in each, one row at least and `rows` at most."""
+    ends = np.cumsum(np.diff(bytes_of(texts)[1]))
+    at = before = 0
+    while at < len(ends):
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield at, stop - at
+        at, before = stop, int(ends[stop - 1])
+
+
 def words_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of all rows in order: their 64-bit hashes, and each row's offsets among them."""
     data, offsets = bytes_of(texts)
@@ -171,21 +215,23 @@ def unplanes(data: bytes) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the smallest node reached.
 
-    Each round sends the smallest neighbouring label along every edge and then jumps to the label's label; both are
-    aggregations with a map-side combine, so a node with very many edges is no hot key. Each round's labels are a
-    table in the shared folder. Isolated nodes have no row."""
+    Each round sends the smallest neighbouring label along every edge and then jumps to the label's label. Labels meet
+    in aggregations with a map-side combine. The two joins around them have hot keys, a node with very many edges and a
+    label of very many nodes; dealt_join spreads their rows. Each round's labels are a table in the shared folder.
+    Isolated nodes have no row."""
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")), "labels")
-    while True:
-        sent = (
-            both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "component")
-            .unionByName(labels)
-            .groupBy("node").agg(F.min("component").alias("low"))
-        )
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"), F.count("*").alias("size")).select("node", F.least("node", "low").alias("component"), "size"), "labels")
+    count, hubs = labels.count(), frequent(labels.select(F.col("node").alias("b"), "size"), 2 * edges.count())
+    labels = labels.drop("size")
+    while count:
+        along = dealt_join(both, labels.withColumnRenamed("node", "b"), ["b"], hubs).select(F.col("a").alias("node"), "component")
+        sent = along.unionByName(labels).groupBy("node").agg(F.min("component").alias("low"))
+        sent = written(sent, "sent") if count > FEW else sent
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("root"))
-        nearer = sent.join(up, "low").select("node", F.least("low", "root").alias("now"))
+        nearer = spread(sent, up, "low", count).select("node", F.least("low", "root").alias("now"))
         new = written(nearer.join(labels, "node").selectExpr("node", "now as component", "now <> component as moved"), "labels")
-        labels = new.select("node", "component")
+        labels = new.drop("moved")
         if new.where("moved").isEmpty():
-            return labels
+            break
+    return labels

@@ -28,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, components, looked_up, mix, windows, words_of, written
+from .common import U64, components, dealt_join, frequent, looked_up, mix, slices, unused, windows, words_of, written
 
 SHINGLE = 5
 #: Slots and shingles in each: at a similarity of 0.8 a slot agrees with probability 0.26, so 32 slots miss 6 in 100,000.
 SLOTS, KEEP = 32, 6
 #: Texts of few shingles have these slots besides.
 SHORT, SHORT_SLOTS, SHORT_KEEP = 20, 12, 2
+#: Columns of parity bits: 64 in each.
+BITS = [f"parity{k}" for k in range(8)]
 #: A similarity of at least 0.8 is a distance n + m - 2 L of at most (n + m) / 9.
 NINTHS = 9
 
@@ -98,14 +100,22 @@ def distance(a: np.ndarray, b: np.ndarray) -> int:
     return total - 2 * len(tails)
 
 
+def parities(parts: list[np.ndarray]) -> np.ndarray:
+    """Of each sequence, for each of its bits the parity of how many shingles hash to it. Two sets of shingles differ in at
+    least as many as their parities do."""
+    place = [np.bincount((x >> U64(55)).astype(np.int64), minlength=64 * len(BITS)) & 1 for x in parts]
+    bits = np.array(place, np.uint8).reshape(len(parts), 64 * len(BITS))
+    return np.packbits(bits, axis=1).view("<i8")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: (id_col, class_id), the class the smallest id in it."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in range(0, b.num_rows, 512):
-                c = b.slice(part, 512)
+            for part in slices(b.column(1)):
+                c = b.slice(*part)
                 shingles, ends = labelled(*words_of(c.column(1)))
                 keys = []
                 for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
@@ -140,15 +150,25 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 shingles, ends = labelled(*words_of(c.column(1)))
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array([shingles[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:])], pa.binary())], ["node", "seq"])
 
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b.column(1)):
+                c = b.slice(*part)
+                shingles, ends = labelled(*words_of(c.column(1)))
+                parts = [shingles[s:e] for s, e in zip(ends[:-1], ends[1:])]
+                bits = [pa.array(x, pa.int64()) for x in parities(parts).T]
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([x.tobytes() for x in parts], pa.binary()), *bits], ["node", "seq", *BITS])
+
+    # A pivot of very many nodes is looked up in shares, so that no task holds all of them with their texts.
     wanted = live.select("node").distinct()
-    texts = df.select(F.col(id_col).alias("node"), text_col).join(wanted.hint("merge"), "node", "left_semi").mapInArrow(arrays, f"node {kind}, seq binary").where("length(seq) > 0").distinct()
+    texts = df.select(F.col(id_col).alias("node"), text_col).join(wanted.hint("merge"), "node", "left_semi").mapInArrow(arrays, f"node {kind}, seq binary, {', '.join(f'{c} long' for c in BITS)}").where("length(seq) > 0").distinct()
     texts = written(texts, "texts")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near, extra, missing, total = [], [], [], []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 near.append(NINTHS * distance(x, y) <= len(x) + len(y))
                 extra.append(np.setdiff1d(x, y, assume_unique=True).view(np.int64))
                 missing.append(len(y) - len(x) + len(extra[-1]))
@@ -157,42 +177,20 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], ["a", "b", "near", "n", "missing", "extra"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("node").alias(c), F.col("seq").alias(f"seq_{c}")) for c in "ab")
-        both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "seq_a", "seq_b")
+        """a has few pairs here, b may have any number."""
+        left = texts.select(F.col("node").alias("a"), F.col("seq").alias("seq_a"))
+        right = texts.select(F.col("node").alias("b"), F.col("seq").alias("seq_b"))
+        hot = frequent(pairs.groupBy("b").agg(F.count("*").alias("size")), pairs.count())
+        both = dealt_join(pairs.join(left, "a"), right, ["b"], hot).select("a", "b", "seq_a", "seq_b")
         return written(both.mapInArrow(aligned, f"a {kind}, b {kind}, near boolean, n long, missing long, extra array<long>"), "compared")
 
-    compared = verified(star)
-    # What is left is a pair with one pivot of which one at least, far, is not linked to it. With e shingles that a node
-    # has beyond the pivot, m that it lacks, and c that two nodes have beyond it in common, the two differ in at least
-    # e + e' + m + m' - 2 c - 2 min(m, m') shingles; only pairs for which that leaves room are compared.
-    def room(common: Column | int) -> Column:
-        return NINTHS * (F.col("e1") + F.col("e2") + F.abs(F.col("m1") - F.col("m2")) - 2 * common) <= F.col("n1") + F.col("n2")
-
-    def numbered(rows: DataFrame, k: int) -> DataFrame:
-        return rows.select(F.col("b").alias("pivot"), F.col("a").alias(f"a{k}"), F.col("n").alias(f"n{k}"), F.col("missing").alias(f"m{k}"), F.size("extra").alias(f"e{k}"), "extra")
-
-    far, seen = numbered(compared.where("not near"), 1), numbered(compared, 2)
-    apart = far.drop("extra").join(seen.drop("extra"), "pivot").where((F.col("a1") != F.col("a2")) & room(0)).select("a1", "a2")
-    # Two nodes with something in common beyond the pivot: at least e - n / 4 shingles of each, for room is at most n / 4.
-    # So they share one of the rarest n / 4 + 1 of each, and common passages are not looked up.
-    # The first shingle that two nodes share, rarest first, also bounds how many they share by what is left after it.
-    each = compared.select(F.col("b").alias("pivot"), "a", "n", "missing", F.size("extra").alias("e"), "near", F.explode("extra").alias("x"))
-    often = each.groupBy("pivot", "x").agg(F.count("*").alias("often"))
-    place = F.row_number().over(W.partitionBy("pivot", "a").orderBy("often", "x"))
-    rare = each.join(often, ["pivot", "x"]).withColumn("place", place).where((F.col("place") <= F.floor(F.col("n") / 4) + 1) & (F.col("often") > 1))
-    rare = written(rare.select("pivot", "x", "a", "near", "n", "missing", "e", (F.col("e") - F.col("place") + 1).alias("left")), "rare")
-
-    def side(rows: DataFrame, k: int) -> DataFrame:
-        return rows.select("pivot", "x", *(F.col(c).alias(f"{c[0]}{k}") for c in ("a", "n", "missing", "e", "left")))
-
-    apart_from = (F.col("a1") != F.col("a2")) & room(F.least("l1", "l2"))
-    met = side(rare.where("not near"), 1).join(side(rare, 2), ["pivot", "x"]).where(apart_from).select("pivot", "a1", "a2").distinct()
-    met = met.join(far.withColumnRenamed("extra", "x1"), ["pivot", "a1"]).join(seen.withColumnRenamed("extra", "x2"), ["pivot", "a2"])
-    met = met.where(room(F.size(F.array_intersect("x1", "x2")))).select("a1", "a2")
-    close = apart.unionByName(met).select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct()
-    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = compared.where("near").select("a", "b").unionByName(verified(close.join(done, ["a", "b"], "left_anti")).where("near").select("a", "b"))
+    compared = verified(written(star, "star"))
+    links = compared.where("near").select("a", "b")
     reached = components(links)
+    pairs = written(open_pairs(compared, texts.select(F.col("node").alias("a"), *BITS), reached), "pairs")
+    if not pairs.isEmpty():
+        more = verified(pairs).where("near").select("a", "b")
+        reached = components(more.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     names = nodes.join(reached, "node", "left").select("h", "size", F.coalesce("component", "node").alias("class_of"))
     # Ids that stand on several rows tie their texts together.
     several = sound.groupBy(id_col).agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 <> h2").select(id_col)
@@ -205,8 +203,49 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return named.unionByName(rows.where(~has_words).select(id_col, F.col(id_col).alias("class_id")))
 
 
+def open_pairs(compared: DataFrame, bits: DataFrame, reached: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a pivot, are in different components, and may be linked.
+
+    At least one of them, far, is not linked to the pivot. With e shingles that a node has beyond the pivot, m that it
+    lacks, and c that two nodes have beyond it in common, the two differ in at least
+    e + e' + |m - m'| - 2 c shingles; they also differ in at least as many as their parity bits do. A link leaves room
+    for a ninth of n + n'. Groups of nodes that are all in one component already give no pair."""
+    here = compared.withColumnRenamed("b", "pivot").join(reached.select(F.col("node").alias("a"), "component"), "a", "left")
+    here = here.withColumn("component", F.coalesce("component", "a")).join(bits, "a")
+    here = written(here.select("pivot", "a", "component", "near", "n", F.col("missing").alias("m"), F.size("extra").alias("e"), "extra", *BITS), "seen")
+    mixed = [F.count("*").alias("size"), (F.bool_or(~F.col("near")) & (F.min("component") < F.max("component"))).alias("open")]
+
+    def room(common: Column | int) -> Column:
+        differ = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in BITS), F.lit(0))
+        least = F.greatest(differ, F.col("e1") + F.col("e2") + F.abs(F.col("m1") - F.col("m2")) - 2 * common)
+        return NINTHS * least <= F.col("n1") + F.col("n2")
+
+    def paired(rows: DataFrame, keys: list[str], common: Column | int) -> DataFrame:
+        rest = [c for c in rows.columns if c not in keys and c != "near"]
+        left, right = (r.select(*keys, *(F.col(c).alias(f"{c}{k}") for c in rest)) for k, r in ((1, rows.where("not near")), (2, rows)))
+        met = left.join(right, keys).where((F.col("component1") != F.col("component2")) & room(common))
+        return met.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"))
+
+    # Nothing in common beyond the pivot: both have at most n / 4 shingles beyond it, and lengths at most 5 : 4.
+    band = F.floor(F.log("n") / F.log(F.lit(1.25)))
+    few = here.where("4 * e <= n").drop("extra").withColumn("band", F.explode(F.array(band, band + 1)))
+    same = written(few.groupBy("pivot", "band").agg(*mixed), "bands").where("open")
+    apart = paired(few.join(same.select("pivot", "band"), ["pivot", "band"], "left_semi"), ["pivot", "band"], 0)
+    # Something in common beyond it: at least e - n / 4 shingles of each, for room is at most n / 4. So they share one of
+    # the rarest n / 4 + 1 of each, and common passages are not looked up. The first shingle that two nodes share, rarest
+    # first, also bounds how many they share by what is left after it.
+    each = here.select("pivot", "a", F.explode("extra").alias("x"))
+    grouped = here.select("pivot", "component", "near", F.explode("extra").alias("x")).groupBy("pivot", "x").agg(*mixed).where("size > 1")
+    marked = looked_up(each, written(grouped.withColumn("often", F.col("size")), "often"), ["pivot", "x"], "left")
+    place = F.row_number().over(W.partitionBy("pivot", "a").orderBy(F.coalesce("often", F.lit(1)), "x"))
+    rare = marked.withColumn("place", place).where("open").join(here.drop("extra"), ["pivot", "a"])
+    rare = written(rare.where("place <= floor(n / 4) + 1").withColumn("left", F.col("e") - F.col("place") + 1).drop("often", "open", "place"), "rare")
+    return apart.unionByName(paired(rare, ["pivot", "x"], F.least("left1", "left2"))).distinct()
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows whose class has a smaller id, and with rows of equal id and text once."""
-    lost = classes(df, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_lost")).distinct()
-    kept = df.withColumn("_h", F.md5(F.col(text_col).cast("binary"))).join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
-    return kept.dropDuplicates([id_col, "_h"]).drop("_h")
+    h, lost = unused(df, "_h"), unused(df, "_lost")
+    gone = classes(df, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias(lost)).distinct()
+    kept = df.withColumn(h, F.md5(F.col(text_col).cast("binary"))).join(gone, F.col(id_col) == F.col(lost), "left_anti")
+    return kept.dropDuplicates([id_col, h]).drop(h)
