@@ -7,7 +7,9 @@ vector that is repeated thousands of times is compared once.
 
 Rows with a null id keep no links and are their own component (null). Vectors that are null, empty, zero, or hold null
 or non-finite components, and vectors with a null label, link with nothing. Rows that repeat an id count as one vector
-each for n_links. Vectors of other lengths than most are compared with vectors of their own length only.
+each for n_links. Vectors of other lengths than most are compared with vectors of their own length only. Labels may be
+of any type and are compared by value, as text that is equal only for equal values (see label_text). Only the named
+columns are read, so extra columns cannot clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, mix, written
 
@@ -80,16 +83,31 @@ def cells(unit: np.ndarray, label: np.ndarray, tables: int, probes: int, scale:
     return np.stack(own, axis=1), np.stack(near, axis=1)
 
 
+def label_text(df: DataFrame, col: str) -> Column:
+    """The label as text, equal for equal labels only: -0.0 is 0.0 and NaN is NaN, as in Spark's own comparisons."""
+    kind, c = df.schema[col].dataType, F.col(f"`{col}`")
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        c = c + F.lit(0.0).cast(kind)
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    if isinstance(kind, T.ArrayType | T.StructType | T.MapType):
+        return F.when(c.isNotNull(), F.to_json(F.struct(c)))
+    return c.cast("string")
+
+
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (vec_id, node) of all vectors with a defined direction, and links (a, b, cosine) of nodes, each
     pair once. A node is the smallest id of an equal vector of the same label."""
     v = F.col("v")
+    # Single precision travels as such, at half the size; cosines are taken in double precision.
+    given = df.schema[vector_col].dataType.simpleString()
+    kept = given if given in ("array<float>", "array<double>") else "array<double>"
     sound = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     # -0.0 and 0.0 are the same direction: adding 0.0 makes them one bit pattern.
     rows = (
-        df.select(F.col(id_col).alias("vec_id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"), F.col(label_col).cast("long").alias("label"))
+        df.select(F.col(id_col).alias("vec_id"), F.transform(F.col(vector_col).cast(kept), lambda x: x + F.lit(0.0).cast(kept[6:-1])).alias("v"), label_text(df, label_col).alias("label"))
         .where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False)))
-        .withColumn("same", F.md5(F.concat_ws(",", F.col("label").cast("string"), v.cast("array<string>")).cast("binary")))
+        .withColumn("same", F.md5(F.concat_ws(",", v.cast("array<string>"), F.md5(F.col("label").cast("binary"))).cast("binary")))
     )
     nodes = rows.groupBy("same").agg(F.min("vec_id").alias("node"))
     members = written(rows.join(nodes, "same").select("vec_id", "node", "label", F.when(F.col("vec_id") == F.col("node"), v).alias("v")), "vectors")
@@ -103,7 +121,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             sizes = np.diff(np.asarray(values.offsets))
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                x = values.take(pa.array(at)).flatten().to_numpy().reshape(-1, size)
+                x = values.take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(-1, size)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 label, node = b.column(1).to_numpy()[at], b.column(0).take(pa.array(at))
@@ -114,7 +132,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                     yield pa.RecordBatch.from_arrays([pa.array(both.ravel()), node.take(pa.array(k)), pa.array(np.tile(np.arange(probes + 1) == 0, len(at)))], ["cell", "node", "own"])
 
     node_type = unique.schema["node"].dataType.simpleString()
-    looked = written(unique.select("node", "label", "v").mapInArrow(filed, f"cell long, node {node_type}, own boolean"), "cells")
+    looked = written(unique.select("node", F.xxhash64("label").alias("label"), "v").mapInArrow(filed, f"cell long, node {node_type}, own boolean"), "cells")
     homes = looked.where("own").select("cell", F.col("node").alias("a"))
     pairs = (
         looked.join(homes, "cell").where("node <> a")
@@ -128,7 +146,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             n, m = np.diff(np.asarray(left.offsets)), np.diff(np.asarray(right.offsets))
             for size in np.unique(n[n == m]):
                 at = np.flatnonzero((n == size) & (m == size))
-                x, y = (c.take(pa.array(at)).flatten().to_numpy().reshape(-1, size) for c in (left, right))
+                x, y = (c.take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(-1, size) for c in (left, right))
                 x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
                 out[at] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], ["a", "b", "cosine"])
