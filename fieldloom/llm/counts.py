@@ -1,10 +1,9 @@
-"""Token counts of whole texts, with overlap resynchronisation for huge ones.
+"""Token counts of whole texts by overlap resynchronisation.
 
-A huge text is encoded in overlapping chunks with offsets. Neighbouring chunks are spliced at a place that starts a
+Every text is encoded in overlapping chunks with offsets. Neighbouring chunks are spliced at a place that starts a
 token in both and follows white space: the tokenizer's pattern never matches white space, so tokens on either side of
 it do not depend on each other. Where an overlap has no such place it is widened, and then the chunk, to the whole text
-at worst. Texts up to a chunk are one chunk. White space being a stable boundary everywhere, their words are
-encoded once per task, many in a call, and counted from a bounded memo.
+at worst. A text that ends within its first chunk has nothing to splice. Memory is bounded by a text and its chunks.
 
 Null texts are empty; repeated rows give a row each; an empty table gives an empty table. Extra columns are kept, and
 result columns replace columns of the same name.
@@ -12,54 +11,69 @@ result columns replace columns of the same name.
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a chunk and of an overlap; words held in a task's memo, and encoded in one call.
-CHUNK, OVERLAP, MEMO, CALL = 1 << 15, 1 << 9, 400_000, 2000
+#: Characters of a chunk and of an overlap.
+CHUNK, OVERLAP = 1 << 11, 1 << 7
 LIMIT = 2048
-#: str.split also splits at these, which are no white space for the tokenizer.
+#: str.isspace holds for these, which are no white space for the tokenizer.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 
 
-@lru_cache(2)
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Encoder:
+    """Where each token of a text starts, in characters. A text that is composed already, and whose lower case has its
+    characters one by one, goes to a copy of the tokenizer without its normalizer, which is what takes most time."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers
+
+        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.whole, self.bare):
+            t.no_truncation()
+            t.no_padding()
+        self.bare.normalizer = normalizers.Sequence([])
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
+    def starts(self, text: str) -> list[int]:
+        low = text.lower()
+        plain = len(low) == len(text) and "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+        plain = plain and not any(s in low for s in self.special)
+        got = self.bare.encode(low, add_special_tokens=False) if plain else self.whole.encode(text, add_special_tokens=False)
+        return [a for a, _ in got.offsets]
 
+    def encode(self, text: str, **options):
+        return self.whole.encode(text, **options)
 
-def starts(t, text: str) -> list[int]:
-    """Where each token of the text starts, in characters."""
-    return [a for a, _ in t.encode(text, add_special_tokens=False).offsets]
+
+@lru_cache(2)
+def tokenizer(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def blank(c: str) -> bool:
     return c.isspace() and c not in CONTROLS
 
 
-def spliced(t, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+def spliced(t: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """The number of tokens of a text, from chunks of it."""
     total, begin, size, got = 0, 0, chunk, None
     low = 0  # tokens from here on are not counted yet
     while True:
         end = min(len(text), begin + size)
-        got = [begin + a for a in starts(t, text[begin:end])] if got is None else got
+        got = [begin + a for a in t.starts(text[begin:end])] if got is None else got
         if end == len(text):
             return total + len(got) - bisect_left(got, low)
         width = overlap
         while True:
             following = max(begin + 1, end - width)
-            after = [following + a for a in starts(t, text[following : min(len(text), following + chunk)])]
+            after = [following + a for a in t.starts(text[following : min(len(text), following + chunk)])]
             both = set(got).intersection(after)
             place = next((p for p in range(end - 1, max(following, low), -1) if p in both and blank(text[p - 1])), None)
             if place is not None or following == begin + 1:
@@ -73,43 +87,22 @@ def spliced(t, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
 
 
 class Counter:
-    """Counts of words between white space, with a bounded memo."""
+    """The numbers of tokens of texts."""
 
-    def __init__(self, t):
-        self.t, self.memo = t, {}
+    def __init__(self, t: Encoder, chunk: int = CHUNK, overlap: int = OVERLAP):
+        self.t, self.chunk, self.overlap = t, chunk, overlap
 
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), CALL):
-            part = words[at : at + CALL]
-            begin = np.concatenate([[0], np.cumsum([len(w) + 1 for w in part])])
-            got = np.searchsorted(begin, starts(self.t, " ".join(part)), "right") - 1
-            self.memo.update(zip(part, np.bincount(got, minlength=len(part)).tolist()))
-
-    def counts(self, texts: list[str]) -> list[int]:
-        split = [x.split() if not any(c in x for c in CONTROLS) else None for x in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        self.learn(list({w: 0 for words in split if words for w in words if w not in self.memo}))
-        get = self.memo.__getitem__
-        return [spliced(self.t, x) if words is None else sum(map(get, words)) for x, words in zip(texts, split)]
-
-
-@lru_cache(2)
-def counter(path: str) -> Counter:
-    return Counter(tokenizer(path))
+    def counts(self, texts: Iterable[str | None]) -> list[int]:
+        return [spliced(self.t, x or "", self.chunk, self.overlap) for x in texts]
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """df with n_bytes, n_tokens and over_limit (n_tokens > limit)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = counter(tokenizer_path)
+        counter = Counter(tokenizer(tokenizer_path), chunk, overlap)
         for b in batches:
-            text, n = b.column(b.schema.get_field_index(text_col)), []
-            for at in range(0, b.num_rows, 256):
-                part = [x or "" for x in text.slice(at, 256).to_pylist()]
-                short = iter(known.counts([x for x in part if len(x) <= chunk]))
-                n += [next(short) if len(x) <= chunk else spliced(known.t, x, chunk, overlap) for x in part]
+            n = counter.counts(x.as_py() for x in b.column(b.schema.get_field_index(text_col)))
             cols = {c: b.column(i) for i, c in enumerate(b.schema.names)} | {"n_tokens": pa.array(n, pa.int64())}
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
