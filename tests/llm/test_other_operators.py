@@ -104,6 +104,33 @@ def test_lattice_matches_brute_force(spark):
     assert lattice.linked(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_lattice_compares_labels_of_any_type(spark):
+    v, w = [1.0, 2.0, 0.5], [1.0, 2.0, 0.51]
+    for kind, labels in (("string", ["a", "a", "b", None, ""]), ("double", [1.2, 1.2, 1.7, None, 0.0]), ("array<int>", [[1], [1], [1, 1], None, []]), ("boolean", [True, True, False, None, False])):
+        rows = [(i, x, c, "other", 7) for i, (x, c) in enumerate(zip([v, w, v, v, [0.0] * 3], labels))]
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}, node string, cell int")
+        got = {x.vec_id: (x.n_links, x.component_id) for x in lattice.linked(df).collect()}
+        assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3), 4: (0, 4)}
+    zeros = spark.createDataFrame([(1, v, 0.0), (2, w, -0.0), (3, v, float("nan")), (4, w, float("nan"))], "vec_id long, embedding array<double>, label double")
+    assert {x.vec_id: x.component_id for x in lattice.linked(zeros).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_components_of_a_star_and_of_ties(spark):
+    star = spark.range(1, 30_001).selectExpr("id as a", "100000L as b")
+    got = common.components(star).groupBy("component").count().collect()
+    assert [(x.component, x["count"]) for x in got] == [(1, 30_001)]
+    assert common.components(star.where("a < 0")).count() == 0
+
+
+def test_joins_with_a_frequent_key_lose_and_repeat_nothing(spark):
+    rows = common.written(spark.range(6000).selectExpr("id as v", "if(id % 3 = 0, 7, id) as k"), "rows")
+    table = spark.range(6000).selectExpr("id as k", "id * 2 as w")
+    want = sorted((x, 14 if x % 3 == 0 else 2 * x) for x in range(6000))
+    for hot in (common.frequent(rows.groupBy("k").agg(F.count("*").alias("size")), 6000), []):
+        assert sorted((x.v, x.w) for x in common.dealt_join(rows, table, ["k"], hot).collect()) == want
+        assert sorted((x.v, x.w) for x in common.dealt_join(rows, table.where("k < 10"), ["k"], hot, "left").collect() if x.w is not None) == [x for x in want if x[0] % 3 == 0 or x[0] < 10]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (102, 100), (7, 7)], "a long, b long")
     assert {x.node: x.component for x in common.components(edges).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}

@@ -123,6 +123,34 @@ def test_near_duplicates_with_shared_passages_and_chains(spark):
     assert Counter(map(tuple, got.collect())) == brute_classes(rows)
 
 
+def test_near_duplicates_that_share_edits(spark, monkeypatch):
+    r, held, counted = random.Random(5), neardup.written, {}
+
+    def seen(df, name):
+        counted[name] = (out := held(df, name)).count()
+        return out
+
+    monkeypatch.setattr(neardup, "written", seen)
+    base, edits, rows = some_words(r, 60, 10**6), [(r.randrange(60), f"e{i}") for i in range(40)], []
+    for i in range(200):
+        words = base.copy()
+        for k, x in r.sample(edits, 4):
+            words[k] = x
+        rows.append((i, " ".join(words)))
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == brute_classes(rows)
+    assert counted["pairs"] < len(rows) / 4
+
+
+def test_parity_bits_never_exceed_the_difference():
+    r = np.random.default_rng(1)
+    for n in (0, 5, 300, 3000):
+        a = r.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[n // 7 :], r.integers(0, 2**63, n // 9).astype(np.uint64)])
+        x = neardup.parities([a, b])
+        assert int(np.unpackbits((x[0] ^ x[1]).view(np.uint8)).sum()) <= n // 7 + n // 9
+
+
 def test_one_of_each_keeps_rows_without_id(docs):
     kept = neardup.one_of_each(docs).collect()
     assert sorted(x.doc_id for x in kept if x.doc_id is not None) == sorted({c for (i, c) in brute_classes([x for x in corpus() if len(x[1] or "") < 4000]) if i is not None} | {x[0] for x in corpus() if len(x[1] or "") >= 4000})
@@ -306,6 +334,23 @@ def test_splicing_is_exact(parts, chunk, overlap):
     assert counts.Counter(t).counts([text]) == [want]
 
 
+@given(st.text(max_size=80))
+@settings(max_examples=300, deadline=None)
+def test_token_starts_without_normalizer_are_the_tokenizers(text):
+    t = counts.tokenizer(path("word_bpe_49k.json"))
+    for x in (text, "Caf\u00e9 " + text, "A\u0301" + text.upper(), text + "<|ENDOFTEXT|>"):
+        assert t.starts(x) == [a for a, _ in t.encode(x, add_special_tokens=False).offsets]
+
+
+def test_texts_around_the_length_of_a_chunk_are_counted_alike():
+    t, r = counts.tokenizer(path("word_bpe_49k.json")), random.Random(4)
+    text = " ".join(some_words(r, 1200))
+    for n in (counts.CHUNK - 1, counts.CHUNK, counts.CHUNK + 1, 2 * counts.CHUNK - counts.OVERLAP, len(text)):
+        assert counts.Counter(t).counts([text[:n]]) == [len(t.encode(text[:n], add_special_tokens=False).ids)]
+    solid = "".join(r.choice("abcdefgh1234") for _ in range(3 * counts.CHUNK))
+    assert counts.Counter(t).counts([solid, None]) == [len(t.encode(solid, add_special_tokens=False).ids), 0]
+
+
 @given(st.text(max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_ranks_give_the_tokenizers_ids(text):
