@@ -9,7 +9,8 @@ The network learns from a bounded sample: about SAMPLE rows of each of the LANGU
 a hash of the id at a rate per language, and WINDOWS windows of each. Rows with a null id, text or language are never
 learned from. Texts that are null or have no letter are `und` with score 1; without any labelled row all texts are
 `und` with score 0. Repeated rows get equal results; extra columns are kept, and result columns replace columns of the
-same name.
+same name. Languages beyond the LANGUAGES most frequent are never predicted. Texts are taken in slices of about a
+megabyte, a longer text alone, so memory is bounded by the longest text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of
+from .common import bytes_of, slices, unused
 
 WINDOW, WIDTHS, FILTERS, EMBEDDED = 256, (2, 3, 4), 8, 8
 SAMPLE, LANGUAGES, WINDOWS = 1000, 256, 3
@@ -104,13 +105,12 @@ def log_probabilities(windows: np.ndarray, p: dict, look: dict) -> np.ndarray:
 def cut(texts: pa.Array, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """All windows of all rows, the last of each filled up with zero bytes, and the row of each window."""
     data, offsets = bytes_of(texts)
-    lengths = np.diff(offsets)
-    counts = -(-lengths // size)
+    counts = -(-np.diff(offsets) // size)
     first = np.concatenate([[0], np.cumsum(counts)])
     out = np.zeros(int(first[-1]) * size, np.uint8)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    out[np.arange(len(data)) - offsets[row] + first[row] * size] = data
-    return out.reshape(-1, size), np.repeat(np.arange(len(lengths)), counts)
+    for at, begin, end in zip((first[:-1] * size).tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+        out[at : at + end - begin] = data[begin:end]
+    return out.reshape(-1, size), np.repeat(np.arange(len(counts)), counts)
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, epochs: int = EPOCHS) -> tuple[list[str], dict]:
@@ -120,20 +120,23 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return [], {}
-    # A rate per language, by a hash of the id: a bounded sample without a sort or a hot group.
+    # A rate per language, by a hash of id and text: a bounded sample without a sort or a hot group. Rows that repeat an id
+    # and a text give the same windows, which count once.
     rate = F.create_map(*[F.lit(x) for c in counts for x in (c["lang"], min(1.0, sample / c["count"]))])
-    chosen = rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)) < rate[F.col("lang")])
+    chosen = rows.where((F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)) < rate[F.col("lang")])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got, row = cut(b.column(1))
-            rank = np.arange(len(row)) - np.searchsorted(row, row)
-            total = np.bincount(row, minlength=b.num_rows)[row]
-            step = np.maximum(1, -(-total // WINDOWS))
-            keep = np.flatnonzero((rank % step == 0) & ((rank < total - 1) | (total == 1)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[keep])), b.column(2).take(pa.array(row[keep])), pa.array([x.tobytes() for x in got[keep]], pa.binary())], ["id", "lang", "bytes"])
-
-    got = sorted(map(tuple, chosen.select("id", "text", "lang").mapInArrow(windows, "id string, lang string, bytes binary").collect()))
+            for part in slices(b.column(1)):
+                c = b.slice(*part)
+                got, row = cut(c.column(1))
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                total = np.bincount(row, minlength=c.num_rows)[row]
+                step = np.maximum(1, -(-total // WINDOWS))
+                keep = np.flatnonzero((rank % step == 0) & ((rank < total - 1) | (total == 1)))
+                yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(row[keep])), c.column(2).take(pa.array(row[keep])), pa.array([x.tobytes() for x in got[keep]], pa.binary())], ["id", "lang", "bytes"])
+
+    got = sorted(map(tuple, chosen.select("id", "text", "lang").mapInArrow(windows, "id string, lang string, bytes binary").distinct().collect()))
     names = sorted({x[1] for x in got})
     x = np.frombuffer(b"".join(x[2] for x in got), np.uint8).reshape(-1, WINDOW)
     return names, fit(x, np.array([names.index(g[1]) for g in got]), len(names), epochs)
@@ -142,21 +145,20 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(df: DataFrame, names: list[str], weights: dict, text_col: str = "text") -> DataFrame:
     """df with lang_pred and score of each whole text."""
 
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 
         letter, look = regex.compile(r"\p{L}").search, tables(weights) if names else {}
-        for b in batches:
-            text = b.column(b.schema.get_field_index(text_col))
+        for text in batches:
             pred, score = [], []
-            for at in range(0, b.num_rows, 256):
-                part = text.slice(at, 256)
-                said = np.array([x.is_valid and letter(x.as_py()) is not None for x in part])
-                total = np.zeros((len(part), max(1, len(names))))
-                counts = np.ones(len(part))
+            for part in slices(text):
+                c = text.slice(*part)
+                said = np.array([x.is_valid and letter(x.as_py()) is not None for x in c])
+                total = np.zeros((len(c), max(1, len(names))))
+                counts = np.ones(len(c))
                 if names and said.any():
-                    got, row = cut(part)
-                    counts = np.maximum(1, np.bincount(row, minlength=len(part)))
+                    got, row = cut(c)
+                    counts = np.maximum(1, np.bincount(row, minlength=len(c)))
                     for k in range(0, len(got), 512):
                         np.add.at(total, row[k : k + 512], log_probabilities(got[k : k + 512], weights, look))
                 mean = total / counts[:, None]
@@ -165,9 +167,11 @@ def predict(df: DataFrame, names: list[str], weights: dict, text_col: str = "tex
                 best = q.argmax(axis=1)
                 pred += [names[k] if s and names else "und" for k, s in zip(best.tolist(), said.tolist())]
                 score += [float(v) if s and names else float(not s) for v, s in zip(q.max(axis=1), said.tolist())]
-            cols = {n: b.column(i) for i, n in enumerate(b.schema.names)} | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())}
-            yield pa.RecordBatch.from_arrays([cols[n] for n in result], result)
-
-    result = [*(c for c in df.columns if c not in ("lang_pred", "score")), "lang_pred", "score"]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in result[:-2])
-    return df.mapInArrow(classify, f"{kept}, lang_pred string, score double")
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    # Only the text goes to Python; the other columns wait in the JVM.
+    judge = F.arrow_udf(classify, "lang_pred string, score double")
+    said = unused(df, "_said")
+    judged = df.withColumn(said, judge(F.col(f"`{text_col}`")))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")]
+    return judged.select(*kept, f"{said}.lang_pred", f"{said}.score")
