@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dealt_join, frequent, written
 
 #: Version 1 is not used again: ledgers from before repeated rows were scanned once hold doubled spans under it.
 RULES_VERSION = 2
@@ -73,20 +73,21 @@ def scan(blobs: DataFrame) -> DataFrame:
 def audit(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, ledger): a row (id_col, blob, spans) for each row of versions, and the ledger with what this run
     scanned added: rows (blob, rules, spans). Blobs that the given ledger holds under this rule version are not read."""
-    addressed = versions.select(F.col(id_col), content(text_col).alias("text"), F.sha2(content(text_col).cast("binary"), 256).alias("blob"))
-    paths = addressed.select(id_col, "blob")
+    addressed = versions.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("path"), content(text_col).alias("text"), F.sha2(content(text_col).cast("binary"), 256).alias("blob"))
+    paths = written(addressed.select("id", "path", "blob"), "paths")
     # One path of each unseen blob: the text then moves by (blob, path), which no group of copies makes hot.
-    path = F.xxhash64(id_col).alias("path")
-    chosen = paths.select("blob", path).groupBy("blob").agg(F.min("path").alias("path"))
+    sizes = written(paths.groupBy("blob").agg(F.min("path").alias("path"), F.count("*").alias("size")), "blobs")
+    chosen = sizes.select("blob", "path")
     if ledger is not None:
         chosen = chosen.join(ledger.where(F.col("rules") == RULES_VERSION).select("blob"), "blob", "left_anti")
     # Rows that repeat an id and a text, or that have none, share a path and are as many copies: one of them is scanned.
-    unseen = addressed.select("blob", path, "text").join(chosen, ["blob", "path"], "left_semi").dropDuplicates(["blob", "path"]).select("blob", "text")
+    unseen = addressed.select("blob", "path", "text").join(chosen, ["blob", "path"], "left_semi").dropDuplicates(["blob", "path"]).select("blob", "text")
     scanned = scan(unseen)
     new = written(scanned.select("blob", F.lit(RULES_VERSION).alias("rules"), "spans"), "ledger")
     now = new if ledger is None else new.unionByName(ledger.select("blob", "rules", "spans"))
-    current = now.where(F.col("rules") == RULES_VERSION)
-    return paths.join(current.select("blob", "spans"), "blob"), now
+    current = now.where(F.col("rules") == RULES_VERSION).select("blob", "spans")
+    hot = frequent(sizes.select("blob", "size"), paths.count())
+    return dealt_join(paths.drop("path"), current, ["blob"], hot).select(F.col("id").alias(id_col), "blob", "spans"), now
 
 
 def redacted(text: Column, spans: Column) -> Column:
