@@ -14,10 +14,14 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Odd multipliers of the polynomial hashes over bytes and over words.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Odd multipliers of the polynomial hashes over bytes (two, for hashes that must not collide together) and over words.
+BYTE_BASE, OTHER_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 #: Bytes hashed at once: bounds the memory of a task whatever the length of its texts.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
+
+
+#: Bytes of a row group of stored tables: what each writing task holds in memory.
+ROW_GROUP = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -134,7 +138,7 @@ def slices(texts: pa.Array, most: int = 1 << 20, rows: int = 512) -> Iterator[tu
         at, before = stop, int(ends[stop - 1])
 
 
-def words_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array | pa.ChunkedArray, base: int = BYTE_BASE) -> tuple[np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of all rows in order: their 64-bit hashes, and each row's offsets among them."""
     data, offsets = bytes_of(texts)
     n = len(data)
@@ -153,7 +157,7 @@ def words_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     while first < len(starts):
         last = max(first + 1, int(np.searchsorted(stops, starts[first] + SEGMENT, "right")))
         low, high = starts[first], stops[last - 1]
-        up, down = powers(BYTE_BASE, min(int(high - low), SEGMENT))
+        up, down = powers(base, min(int(high - low), SEGMENT))
         if high - low > SEGMENT:  # one very long word: hash it piece by piece
             h = U64(0)
             for at in range(low, high, SEGMENT):
@@ -185,9 +189,9 @@ def windows(hashes: np.ndarray, k: int, seed: int) -> np.ndarray:
     return out
 
 
-def blocked(df: DataFrame, text: str, block_bytes: int) -> DataFrame:
-    """df with _blk, an id of a run of neighbouring rows with about block_bytes of text, and _row, the row's place in its
-    partition. A hash has at most one entry per block after deduplication there, so no hash is hot later on."""
+def blocked(df: DataFrame, text: str, block_bytes: int, block: str, place: str) -> DataFrame:
+    """df with `block`, an id of a run of neighbouring rows with about block_bytes of text, and `place`, the row's place in
+    its partition. A hash has at most one entry per block after deduplication there, so no hash is hot later on."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, rows = TaskContext.get().partitionId(), 0, 0
@@ -196,11 +200,11 @@ def blocked(df: DataFrame, text: str, block_bytes: int) -> DataFrame:
             ends = seen + np.cumsum(size)
             blk = (part << 32) + (ends - size) // block_bytes
             cols = [*b.columns, pa.array(blk, pa.int64()), pa.array(np.arange(rows, rows + len(size)), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "_blk", "_row"])
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, block, place])
             seen, rows = (int(ends[-1]) if len(ends) else seen), rows + len(size)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(cut, f"{kept}, _blk long, _row long")
+    return df.mapInArrow(cut, f"{kept}, `{block}` long, `{place}` long")
 
 
 def planes(values: np.ndarray) -> bytes:

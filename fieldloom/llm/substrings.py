@@ -11,8 +11,12 @@ and gets back the places that are repeated, so a passage of a third of all docum
 
 Null and empty texts have no words and keep none; texts shorter than a window stay whole; repeated rows are texts like
 any others, and so remove each other; an empty table gives an empty table. All columns of the input are kept; result
-columns replace input columns of the same name, and _blk and _row are reserved.
-A false repeat needs two different anchors and two different windows that agree in independent 64-bit hashes.
+columns replace input columns of the same name. Memory is bounded by a block and its longest text.
+
+Words are numbered by their order in the input's partitions, and the blocks are one exchange that is read three times. So
+that a lost executor's rows come back in the same order, the input has to be a stored table or an expression of one.
+A false repeat needs two different anchors and two different windows that agree in 64-bit hashes, which start from
+different hashes of the words.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocked, partitions, planes, unplanes, windows, words_of
+from .common import OTHER_BASE, blocked, partitions, planes, unplanes, unused, windows, words_of
 
 #: Period and cover: every difference modulo 21 is one of two members of the cover (a perfect difference set).
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -84,10 +88,6 @@ def marked(right: pa.Table, n: int) -> np.ndarray:
     return out
 
 
-def in_order(t: pa.Table) -> pa.Table:
-    return t.sort_by("_row")
-
-
 def spread(starts: np.ndarray, offsets: np.ndarray, before: int, after: int) -> np.ndarray:
     """True from `before` places before each start to `after` places after it."""
     step = np.zeros(offsets[-1] + after + 1, np.int64)
@@ -107,31 +107,32 @@ def without_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     on_cover = np.isin(np.arange(PERIOD), COVER)
 
     # One exchange, read three times: nothing between may prune or filter, or it would be made again.
-    blocks = blocked(df, text_col, block_bytes).repartition(n, "_blk")
+    block, place_col = unused(df, "_blk"), unused(df, "_row")
+    blocks = blocked(df, text_col, block_bytes, block, place_col).repartition(n, block)
 
     def anchors(t: pa.Table) -> pa.Table:
-        t = in_order(t)
+        t = t.sort_by(place_col)
         hashes, offsets = words_of(t.column(text_col))
         got = windows(hashes, anchor, 1)
         place = np.arange(len(got))
         row = np.searchsorted(offsets, place, "right") - 1
         fits = on_cover[(place - offsets[row]) % PERIOD] & (place + anchor <= offsets[row + 1]) & (offsets[row + 1] - offsets[row] >= length)
-        return bundles(t.column("_blk")[0].as_py(), got[fits], place[fits], buckets)
+        return bundles(t.column(block)[0].as_py(), got[fits], place[fits], buckets)
 
     def extended(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"_bucket": pa.array([], pa.int32()), "_blk": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary()), "places": pa.array([], pa.binary())})
-        t = in_order(left)
-        hashes, offsets = words_of(t.column(text_col))
+        t = left.sort_by(place_col)
+        hashes, offsets = words_of(t.column(text_col), OTHER_BASE)
         near = spread(np.flatnonzero(marked(right, len(hashes))), offsets, PERIOD - 1, 0)
         got = windows(hashes, length, 2)
         place = np.flatnonzero(near[: len(got)])
         row = np.searchsorted(offsets, place, "right") - 1
         place = place[place + length <= offsets[row + 1]]
-        return bundles(t.column("_blk")[0].as_py(), got[place], place, buckets)
+        return bundles(t.column(block)[0].as_py(), got[place], place, buckets)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        t = in_order(left)
+        t = left.sort_by(place_col)
         texts = t.column(text_col).cast(pa.large_binary()).to_pylist()
         words = [x.split() if x else [] for x in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -152,6 +153,6 @@ def without_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
 
     result = [*(c for c in names if c not in ("n_words", "n_removed", "kept_text")), "n_words", "n_removed", "kept_text"]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in result[:-3])
-    found = repeated(blocks.groupBy("_blk").applyInArrow(anchors, BUNDLES), n)
-    again = repeated(blocks.groupBy("_blk").cogroup(found.groupBy("_blk")).applyInArrow(extended, BUNDLES), n)
-    return blocks.groupBy("_blk").cogroup(again.groupBy("_blk")).applyInArrow(cut, f"{kept}, n_words long, n_removed long, kept_text string")
+    found = repeated(blocks.groupBy(block).applyInArrow(anchors, BUNDLES), n)
+    again = repeated(blocks.groupBy(block).cogroup(found.groupBy("_blk")).applyInArrow(extended, BUNDLES), n)
+    return blocks.groupBy(block).cogroup(again.groupBy("_blk")).applyInArrow(cut, f"{kept}, n_words long, n_removed long, kept_text string")

@@ -365,3 +365,46 @@ def test_digests(docs):
     x = next(x for x in bpe.digests(bpe.decode(bpe.encode(docs, ranks, PATTERN), ranks)).collect() if x.doc_id == 3)
     ids = bpe.encoding(ranks, PATTERN).encode_ordinary("one")
     assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(b"one").hexdigest())
+
+
+def brute_pipeline(rows):
+    """The pieces that the stages leave of rows (id, text), ids unique or null."""
+    rows = [x for x in rows if re.search(r"[^\W\d_]", x[1] or "")]
+    of = {i: c for i, c in brute_classes(rows) if i is not None}
+    rows = [x for x in rows if x[0] is None or of[x[0]] == x[0]]
+    cut, texts = brute_substrings(rows), []
+    for i, t in rows:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        left = next(k for k in cut if k[0] == i and k[1] == n and (k[2] or cut[k]) and (not k[2] or set(k[3].split(" ")) <= set(re.split(r"[\x20\x09-\x0D]+", t))))
+        texts.append((i, left[3] if left[2] else t))
+    t, out = Tokenizer.from_file(path("byte_bpe_50k.json")), Counter()
+    for i, text in texts:
+        kept, at = "", 0
+        for s, _, e in brute_spans(text):
+            kept, at = (kept + text[at:s] + "[SECRET]" if s >= at else kept), max(at, e)
+        ids = np.array([*t.encode(kept + text[at:], add_special_tokens=False).ids, 0], "<u4")
+        stop, start, piece = (len(ids) - 1) % 2048 + 1, 0, 0
+        while start < len(ids):
+            out[i, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes())] += 1
+            start, stop, piece = stop, stop + 2048, piece + 1
+    return out
+
+
+def test_pipeline_matches_brute_force_with_nulls_and_clashing_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [x for x in corpus()[:20] if len(x[1] or "") < 4000] + corpus()[-2:]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("blob", "spans", "size", "node", "_h", "_blk", "_row", "key", "score"):
+        df = df.withColumn(c, F.lit("x"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got) == brute_pipeline([x[:2] for x in rows])
+    check_sequences([(x.sequence_id, x.offset, x.length) for x in got])
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_stages_keep_the_columns_of_documents(spark, docs):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns, name
