@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import langid, neardup, packing, secrets, substrings
-from fieldloom.llm.common import written
+from fieldloom.llm.common import looked_up, unused, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced."""
     found, _ = secrets.audit(docs)
-    # Only documents with findings are joined by id; a document's findings depend on its content alone.
-    spans = found.where("size(spans) > 0").groupBy("blob").agg(F.max("spans").alias("spans"))
-    marked = docs.withColumn("blob", F.sha2(secrets.content().cast("binary"), 256)).join(spans, "blob", "left")
-    text = F.when(F.col("spans").isNotNull(), secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    # A document's findings depend on its content alone, so only content with findings is looked up, each once.
+    blob, spans = unused(docs, "_blob"), unused(docs, "_spans")
+    known = found.where("size(spans) > 0").groupBy(F.col("blob").alias(blob)).agg(F.max("spans").alias(spans), F.count("*").alias("size"))
+    marked = looked_up(docs.withColumn(blob, F.sha2(secrets.content().cast("binary"), 256)), written(known, "findings"), blob, "left")
+    text = F.when(F.col(spans).isNotNull(), secrets.redacted(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     return marked.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
