@@ -28,5 +28,7 @@ def may_reach(a: Column, b: Column, least: float) -> Column:
 def plates_match(found: Column, requested: Column, least: float = 0.85) -> Column:
     """Whether two plates are one but for glyphs read for one another, or for a little noise."""
     a, b = plate_confusables(found), plate_confusables(requested)
-    near = F.when(may_reach(a, b, least), ratio(a, b) >= least).otherwise(False)
+    # Pairs that cannot reach it go to Python as nulls: a condition around a Python function would not spare it a row.
+    reach = may_reach(a, b, least) & (a != b)
+    near = F.coalesce(ratio(F.when(reach, a), F.when(reach, b)) >= least, F.lit(False))
     return F.when((normalize_plate(found) == "") | (normalize_plate(requested) == ""), False).otherwise((a == b) | near)

@@ -83,7 +83,7 @@ def parse_int(s: Column) -> Column:
 
 
 def distinct_characters(s: Column) -> Column:
-    return F.size(F.array_distinct(F.filter(F.split(F.lower(s), ""), lambda c: c != "")))
+    return F.size(F.array_remove(F.array_distinct(F.split(F.lower(s), "")), ""))
 
 
 def looks_masked(s: Column, confidence: Column) -> Column:
@@ -92,9 +92,10 @@ def looks_masked(s: Column, confidence: Column) -> Column:
     packed = F.regexp_replace(s, r"(?U)\s+", "")
     word = F.regexp_replace(s, "[^A-Za-z0-9]", "")
     n, kinds = F.length(word), distinct_characters(word)
-    few = (kinds <= 3) & (n >= 6)
-    doubtful = F.coalesce(confidence <= 30.0, F.lit(False)) & (kinds <= F.greatest(F.lit(3), F.floor(n / 2)))
-    return F.coalesce(packed.rlike(r"^[#*░-▓]{3,}\z") | ((n >= 4) & ~word.rlike("[0-9]") & (few | doubtful)), F.lit(False))
+    # The most kinds of letters it may have; what cannot be a redaction is not counted at all.
+    most = F.when(F.coalesce(confidence <= 30.0, F.lit(False)), F.greatest(F.lit(3), F.floor(n / 2))).when(n >= 6, 3).otherwise(0)
+    cut = F.when((n < 4) | (most == 0) | word.rlike("[0-9]"), False).otherwise(kinds <= most)
+    return F.coalesce(packed.rlike(r"^[#*░-▓]{3,}\z") | cut, F.lit(False))
 
 
 def number_json(value: Column) -> Column:
@@ -116,3 +117,13 @@ def file_stem(s: Column) -> Column:
 def redact(entries: Column, names: list[str]) -> Column:
     """A map with the values of the given keys, in either case, hidden."""
     return F.transform_values(entries, lambda k, v: F.when(F.lower(k).isin(*names), F.lit("[REDACTED]")).otherwise(v))
+
+
+def missing_codes(wanted: Column, available: Column) -> Column:
+    """Of codes joined by plus signs, those that are not available, in order."""
+    return F.filter(F.split(wanted, "[+]"), lambda c: ~F.array_contains(available, c))
+
+
+def same_members(a: Column, b: Column) -> Column:
+    """Whether two arrays have the same members, however often."""
+    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)

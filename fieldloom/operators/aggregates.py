@@ -29,3 +29,10 @@ def shares(df: DataFrame, keys: list[str]) -> DataFrame:
     """Counts by keys, and their share of all rows."""
     total = df.agg(F.count("*").alias("_total"))
     return df.groupBy(*keys).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select(*keys, "n", (F.col("n") / F.col("_total")).alias("share"))
+
+
+def all_hold(df: DataFrame, keys: list[str], name: str, ok: Column) -> DataFrame:
+    """Rows (keys, all_ok, failed): whether a check holds on every row of a group, and the names of those where it does
+    not, in order. A check that gives null does not hold."""
+    holds = F.coalesce(ok, F.lit(False))
+    return df.groupBy(*keys).agg(F.bool_and(holds).alias("all_ok"), F.array_join(F.array_sort(F.collect_set(F.when(~holds, F.col(name)))), ", ").alias("failed"))

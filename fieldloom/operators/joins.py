@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .windows import first_by
@@ -31,10 +32,13 @@ def within_tolerance(left: DataFrame, right: DataFrame, keys: list[str], a: str,
 
 
 def first_after(anchors: DataFrame, items: DataFrame, keys: list[str], anchor: str, value: str, name: str, otherwise: Column, tolerance: Column | int = 0) -> DataFrame:
-    """anchors with `name`: the least value of equal keys beyond anchor + tolerance, or `otherwise`."""
-    beyond = anchors.select(*keys, anchor).distinct().join(items.select(*keys, value), keys).where(F.col(value) > F.col(anchor) + tolerance)
-    found = beyond.groupBy(*keys, anchor).agg(F.min(value).alias(name))
-    return anchors.join(found, [*keys, anchor], "left").withColumn(name, F.coalesce(name, otherwise))
+    """anchors with `name`: the least value of equal keys beyond anchor + tolerance, or `otherwise`. Both sides lie on one
+    line per key and each anchor takes the value before it from above, so no anchor meets more than one value."""
+    line = anchors.withColumns({"_at": F.col(anchor) + tolerance, "_is_anchor": F.lit(True)})
+    line = line.unionByName(items.select(*keys, F.col(value).alias("_at"), F.col(value).alias("_value"), F.lit(False).alias("_is_anchor")), allowMissingColumns=True)
+    above = W.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_is_anchor")).rowsBetween(W.unboundedPreceding, -1)
+    found = line.withColumn("_next", F.last("_value", ignorenulls=True).over(above)).where("_is_anchor")
+    return found.withColumn(name, F.coalesce(F.when(F.col("_at").isNotNull(), F.col("_next")), otherwise)).select(*anchors.columns, name)
 
 
 def absent(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,8 +48,6 @@ def absent(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
 
 def chosen_or_all(df: DataFrame, keys: list[str], chosen: Column) -> DataFrame:
     """Of each group the chosen rows, or all rows where none is chosen."""
-    from pyspark.sql import Window as W
-
     good = F.coalesce(chosen, F.lit(False))
     return df.withColumn("_any", F.bool_or(good).over(W.partitionBy(*keys))).where(good | ~F.col("_any")).drop("_any")
 

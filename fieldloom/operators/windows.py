@@ -54,5 +54,7 @@ def consecutive(df: DataFrame, keys: list[str], order: list[str], value: str, n:
     return df.withColumn(name, F.array(F.col(value), *(F.lead(value, k).over(w) for k in range(1, n))))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+def neighbours(values: Column) -> Column:
+    """Of an array, the pairs (a, b) of values that follow one another, without a shuffle of its values."""
+    after = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
+    return F.slice(F.arrays_zip(values.alias("a"), after.alias("b")), F.lit(1), F.greatest(F.size(values) - 1, F.lit(0)))

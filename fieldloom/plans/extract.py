@@ -3,7 +3,8 @@ are rows of `rejects`."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +31,19 @@ MESSAGES = {
 }
 
 
-@dataclass(frozen=True)
 class Extraction:
-    results: DataFrame
-    warnings: DataFrame
-    documents: DataFrame
+    """What a run gives. Documents and warnings are only made, once, where they are asked for."""
+
+    def __init__(self, results: DataFrame, documents: Callable[[], DataFrame], warnings: Callable[[DataFrame], DataFrame]):
+        self.results, self._documents, self._warnings = results, documents, warnings
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return stored(self._documents(), "documents")
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        return self._warnings(self.documents)
 
 
 def message(code: Column, first: Column, second: Column | str = "") -> Column:
@@ -66,27 +75,32 @@ def extract(tokens: DataFrame, pages: DataFrame, requests: DataFrame | None = No
     )
     results = stored(results, "results")
 
-    sections = geometry.sections(inside).join(cols.groupBy("doc_id").agg(F.bool_or("fallback").alias("used_fallback_columns")), "doc_id", "left")
-    plates = first.where("field = 'PLACA'").select("doc_id", F.nullif("token_text", F.lit("")).alias("plate_in_document"))
-    counts = results.groupBy("doc_id").agg(F.count_if(F.col("status") == "extracted").alias("found_count"))
-    text = inside.groupBy("doc_id").agg(ordered_text("text", ["center_y", "x", "ord"]).alias("section_text"))
-    documents = pages.select("doc_id").distinct()
-    for part in (sections, plates, counts, text):
-        documents = documents.join(part, "doc_id", "left")
-    documents = stored(documents, "documents")
-
-    own = results.select("doc_id", "field", "spec_ord", "matched", "source_label", F.posexplode("codes").alias("k", "code"))
-    said = F.when((F.col("code") == "FIELD_NOT_FOUND") & F.col("source_label").isNull(), "LABEL_MISSING").otherwise(F.col("code"))
-    warnings = own.select("doc_id", (F.col("spec_ord") * 10 + F.col("k") + 10).alias("ord"), "code", message(said, F.col("field"), F.coalesce("matched", F.lit(""))).alias("message"), "field")
-    weights = pivoted(results, ["doc_id"], "field", "value_number", ["PESO_NETO", "PESO_BRUTO"]).where("PESO_BRUTO < PESO_NETO")
-    warnings = warnings.unionByName(weights.select("doc_id", F.lit(1000).alias("ord"), F.lit("VALIDATION_FAILED").alias("code"), F.lit(MESSAGES["WEIGHTS"]).alias("message"), F.lit("PESO_BRUTO").alias("field")))
-    whole = documents.where(~F.coalesce("header_found", F.lit(False))).select("doc_id", F.lit(0).alias("ord"), F.lit("SECTION_FALLBACK_USED").alias("code"), F.lit(MESSAGES["SECTION_FALLBACK_USED"]).alias("message"), F.lit(None).cast("string").alias("field"))
-    warnings = warnings.unionByName(whole)
-    if requests is not None:
-        asked = normalize_plate(F.col("plate"))
-        other = documents.where("plate_in_document is not null").join(requests.select("doc_id", "plate"), "doc_id").where(~plates_match(F.col("plate_in_document"), F.col("plate")))
-        warnings = warnings.unionByName(other.select("doc_id", F.lit(2000).alias("ord"), F.lit("PLATE_MISMATCH").alias("code"), message(F.lit("PLATE_MISMATCH"), normalize_plate(F.col("plate_in_document")), asked).alias("message"), F.lit(None).cast("string").alias("field")))
-    return Extraction(results, warnings, documents)
+    def documents() -> DataFrame:
+        sections = geometry.sections(inside).join(cols.groupBy("doc_id").agg(F.bool_or("fallback").alias("used_fallback_columns")), "doc_id", "left")
+        plates = first.where("field = 'PLACA'").select("doc_id", F.nullif("token_text", F.lit("")).alias("plate_in_document"))
+        counts = results.groupBy("doc_id").agg(F.count_if(F.col("status") == "extracted").alias("found_count"))
+        text = inside.groupBy("doc_id").agg(ordered_text("text", ["center_y", "x", "ord"]).alias("section_text"))
+        whole = pages.select("doc_id").distinct()
+        for part in (sections, plates, counts, text):
+            whole = whole.join(part, "doc_id", "left")
+        return whole
+
+    def warnings(documents: DataFrame) -> DataFrame:
+        nothing = F.lit(None).cast("string").alias("field")
+        own = results.select("doc_id", "field", "spec_ord", "matched", "source_label", F.posexplode("codes").alias("k", "code"))
+        said = F.when((F.col("code") == "FIELD_NOT_FOUND") & F.col("source_label").isNull(), "LABEL_MISSING").otherwise(F.col("code"))
+        out = own.select("doc_id", (F.col("spec_ord") * 10 + F.col("k") + 10).alias("ord"), "code", message(said, F.col("field"), F.coalesce("matched", F.lit(""))).alias("message"), "field")
+        weights = pivoted(results, ["doc_id"], "field", "value_number", ["PESO_NETO", "PESO_BRUTO"]).where("PESO_BRUTO < PESO_NETO")
+        out = out.unionByName(weights.select("doc_id", F.lit(1000).alias("ord"), F.lit("VALIDATION_FAILED").alias("code"), F.lit(MESSAGES["WEIGHTS"]).alias("message"), F.lit("PESO_BRUTO").alias("field")))
+        whole = documents.where(~F.coalesce("header_found", F.lit(False))).select("doc_id", F.lit(0).alias("ord"), F.lit("SECTION_FALLBACK_USED").alias("code"), F.lit(MESSAGES["SECTION_FALLBACK_USED"]).alias("message"), nothing)
+        out = out.unionByName(whole)
+        if requests is not None:
+            asked = normalize_plate(F.col("plate"))
+            other = documents.where("plate_in_document is not null").join(requests.select("doc_id", "plate"), "doc_id").where(~plates_match(F.col("plate_in_document"), F.col("plate")))
+            out = out.unionByName(other.select("doc_id", F.lit(2000).alias("ord"), F.lit("PLATE_MISMATCH").alias("code"), message(F.lit("PLATE_MISMATCH"), normalize_plate(F.col("plate_in_document")), asked).alias("message"), nothing))
+        return out
+
+    return Extraction(results, documents, warnings)
 
 
 def values(results: DataFrame) -> DataFrame:

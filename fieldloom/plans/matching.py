@@ -39,7 +39,12 @@ def label_candidates(cells: DataFrame, options: Options = Options()) -> DataFram
 def whole_patterns(labels: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
     """Matches of a whole pattern by consecutive tokens."""
     most = max(len(p) for f in fields for p in f.patterns)
-    runs = consecutive(labels, ROW, ["start"], "norm", most, "norms").withColumn("_p", F.explode(dimension(fields)))
+    runs = consecutive(labels, ROW, ["start"], "norm", most, "norms")
+    # Tokens that begin no pattern are not paired with all of them.
+    begins = F.lit(False)
+    for word in sorted({p[0] for f in fields for p in f.patterns}):
+        begins = begins | fits(F.col("norm"), F.lit(word))
+    runs = runs.where(begins).withColumn("_p", F.explode(dimension(fields)))
     all_fit = F.lit(True)
     for k in range(most):
         all_fit = all_fit & ((F.size("_p.words") <= k) | F.coalesce(fits(F.get("norms", F.lit(k)), F.get("_p.words", F.lit(k))), F.lit(False)))
@@ -57,12 +62,19 @@ def located(cells: DataFrame, options: Options = Options()) -> DataFrame:
     labels = label_candidates(cells, options)
     slim = labels.select(*ROW, "norm", "start")
     exact = whole_patterns(slim, (*FIELDS, PLATE))
-    words = slim.withColumn("_p", F.explode(dimension(FIELDS)))
     word, long = F.col("_p.keyword"), F.length("_p.keyword") >= options.fuzzy_length
-    keyword = single(words.where(F.col("norm").startswith(word) | (long & F.col("norm").endswith(word))), 2, F.lit(0.0))
+    words = sorted({p[-1] for f in FIELDS for p in f.patterns})
+    some = F.lit(False)
+    for w in words:
+        some = some | F.col("norm").startswith(w) | (F.col("norm").endswith(w) if len(w) >= options.fuzzy_length else F.lit(False))
+    keyword = single(slim.where(some).withColumn("_p", F.explode(dimension(FIELDS))).where(F.col("norm").startswith(word) | (long & F.col("norm").endswith(word))), 2, F.lit(0.0))
     sure = stored(first_by(exact.unionByName(keyword), ["doc_id", "field"], ["tier", "column_index", "band", "pattern", "worse", "start"]), "labels")
     tail = F.expr("right(norm, length(_p.keyword))")
-    rest = words.withColumn("field", F.col("_p.field")).where(long & (F.length("norm") >= F.length(word)) & may_reach(tail, word, options.fuzzy_ratio))
+    # Only documents that lack a field, and only tokens as long as the shortest keyword of this tier.
+    complete = sure.where(F.col("field") != PLATE.name).groupBy("doc_id").agg(F.count_distinct("field").alias("n")).where(F.col("n") == len(FIELDS))
+    least = min(len(w) for w in words if len(w) >= options.fuzzy_length)
+    open_rows = slim.where(F.length("norm") >= least).join(complete, "doc_id", "left_anti").withColumn("_p", F.explode(dimension(FIELDS)))
+    rest = open_rows.withColumn("field", F.col("_p.field")).where(long & (F.length("norm") >= F.length(word)) & may_reach(tail, word, options.fuzzy_ratio))
     rest = absent(rest, sure.select("doc_id", "field"), ["doc_id", "field"]).drop("field")
     similar = rest.withColumn("likeness", ratio(tail, word)).where(F.col("likeness") >= options.fuzzy_ratio)
     fuzzy = single(similar, 3, -F.col("likeness"))

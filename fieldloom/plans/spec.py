@@ -75,8 +75,20 @@ def pixels(share: float, size: str) -> Column:
     return (F.lit(float(share)) * F.col(size)).cast("int")
 
 
-#: Error codes and their HTTP status.
+#: Error codes, their HTTP status and message.
 ERRORS = {
-    "INVALID_REQUEST": 422, "UNAUTHORIZED": 401, "DRIVE_FILE_NOT_FOUND": 404, "DRIVE_ACCESS_DENIED": 403, "INVALID_DOCUMENT_TYPE": 415,
-    "FILE_TOO_LARGE": 413, "PDF_INVALID": 422, "TARGET_SECTION_NOT_FOUND": 422, "OCR_FAILED": 500, "DOCUMENT_PROCESSING_FAILED": 500,
+    "INVALID_REQUEST": (422, "The request payload is invalid."),
+    "UNAUTHORIZED": (401, "Missing or invalid API key."),
+    "DRIVE_FILE_NOT_FOUND": (404, "The requested Drive file does not exist."),
+    "DRIVE_PERMISSION_DENIED": (403, "The service account cannot read the requested Drive file."),
+    "INVALID_DOCUMENT_TYPE": (415, "Expected a PDF document."),
+    "FILE_TOO_LARGE": (413, "The document exceeds the configured size limit."),
+    "PDF_INVALID": (422, "The downloaded file could not be opened as a PDF."),
+    "TARGET_SECTION_NOT_FOUND": (422, "The 'Caracteristicas del Vehiculo' section could not be located."),
+    "OCR_TIMEOUT": (504, "OCR did not finish within the configured timeout."),
+    "OCR_FAILED": (500, "OCR failed to process the document."),
+    "DOCUMENT_PROCESSING_FAILED": (500, "The document could not be processed."),
+    "INTERNAL_ERROR": (500, "An unexpected error occurred."),
 }
+#: The code of a bare HTTP status.
+STATUS_CODES = {401: "UNAUTHORIZED", 403: "UNAUTHORIZED", 404: "NOT_FOUND", 405: "INVALID_REQUEST"}

@@ -154,9 +154,8 @@ def prefix_label_match(t):
 p AS (SELECT w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM w)
 SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20""")
 def token_ngrams(t):
-    w = t("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
-    p = O.consecutive(w, ["doc_id"], ["i"], "w", 2, "pair").select(F.get("pair", F.lit(0)).alias("a"), F.get("pair", F.lit(1)).alias("b"))
-    return p.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 20")
+    p = t("documents").select(F.inline(O.neighbours(F.split("text", " "))).alias("a", "b"))
+    return p.groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 20")
 
 
 BANDS = "(VALUES ('F', 0, 40000), ('F', 30000, 90000), ('O', 0, 60000), ('O', 50000, 250000), ('P', 0, 1000000))"
@@ -320,3 +319,144 @@ def document_fields(t):
     tokens, pages = from_table(t("customer"))
     return values(extract(tokens, pages).results)
 
+
+FIELD_BASE = """d AS (SELECT s_suppkey AS k, s_suppkey % 10 AS odd FROM supplier),
+base(ord, field, usual) AS (VALUES (0, 'NUM_CILINDROS', '4'), (1, 'PESO_NETO', '2.89'), (2, 'PESO_BRUTO', '4.6'), (3, 'NUM_ASIENTOS', '20'), (4, 'NUM_PASAJEROS', '19'), (5, 'NUM_EJES', NULL),
+  (6, 'NUM_RUEDAS', '6'), (7, 'LONGITUD', '6.99'), (8, 'ANCHO', NULL), (9, 'ALTURA', '2.76'), (10, 'NUM_PARTIDA', NULL), (11, 'TIPO_USO', 'Transporte interprovincial')),
+f AS (SELECT k, odd, ord, field,
+  CASE WHEN field = 'NUM_EJES' AND odd = 7 OR field = 'PESO_NETO' AND odd = 2 OR field = 'ANCHO' AND odd = 3 THEN NULL WHEN field = 'NUM_EJES' AND odd = 5 THEN '0' WHEN field = 'PESO_BRUTO' AND odd = 9 THEN '1.5'
+    WHEN field = 'NUM_EJES' THEN (k % 12 + 1)::VARCHAR WHEN field = 'ANCHO' THEN (k % 9 + 1) || '.' || lpad((k % 97)::VARCHAR, 2, '0') WHEN field = 'NUM_PARTIDA' THEN lpad(k::VARCHAR, 8, '0') ELSE usual END AS value_text,
+  CASE WHEN field = 'PESO_NETO' AND odd = 2 THEN 'FIELD_UNAVAILABLE' WHEN field = 'ANCHO' AND odd = 3 THEN 'FIELD_NOT_FOUND' WHEN field = 'NUM_EJES' AND odd = 7 THEN 'UNPARSEABLE_VALUE' WHEN field = 'NUM_EJES' AND odd = 5 THEN 'VALIDATION_FAILED'
+    WHEN field = 'NUM_ASIENTOS' AND odd = 4 THEN 'LABEL_FUZZY_MATCH' WHEN field IN ('NUM_EJES', 'NUM_RUEDAS') AND odd = 1 THEN 'LOW_CONFIDENCE_FIELD' END AS code FROM d, base)"""
+
+
+def odd_pages(suppliers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    from .sources.synthetic import from_table
+
+    return from_table(suppliers, "s_suppkey", varied=True)
+
+
+@query(f"""WITH {FIELD_BASE} SELECT k::VARCHAR AS doc_id, field, value_text, CASE WHEN value_text IS NOT NULL THEN 'extracted' WHEN code = 'FIELD_UNAVAILABLE' THEN 'unavailable' ELSE 'not_found' END AS status,
+CASE WHEN value_text IS NOT NULL THEN coalesce(code, '') <> 'VALIDATION_FAILED' END AS valid, coalesce(code, '') AS codes FROM f""")
+def field_states(t):
+    """Values, states and codes over pages that are fused, masked, incomplete, covered, without header or colons."""
+    from .plans.extract import extract
+
+    return extract(*odd_pages(t("supplier"))).results.select("doc_id", "field", "value_text", "status", "valid", F.array_join("codes", ",").alias("codes"))
+
+
+@query(f"""WITH {FIELD_BASE},
+w AS (SELECT k, ord * 10 + 10 AS ord, CASE code WHEN 'FIELD_NOT_FOUND' THEN 'FIELD_NOT_FOUND' ELSE code END AS code, CASE code WHEN 'FIELD_NOT_FOUND' THEN 'Label for ' || field || ' was not found in the section.'
+    WHEN 'FIELD_UNAVAILABLE' THEN field || ' is redacted in the document and was not inferred.' WHEN 'UNPARSEABLE_VALUE' THEN 'The value read for ' || field || ' could not be parsed and was not guessed.'
+    WHEN 'VALIDATION_FAILED' THEN field || ' failed its plausibility check and was returned unmodified.' WHEN 'LOW_CONFIDENCE_FIELD' THEN 'The two independent reads of ' || field || ' disagreed.'
+    ELSE 'The label for ' || field || ' was overlapped by neighbouring text and recovered by approximate matching (read as ''AMARWNiABientos'').' END AS message FROM f WHERE code IS NOT NULL
+  UNION ALL SELECT k, 0, 'SECTION_FALLBACK_USED', 'The section header was not found; the whole page was searched instead.' FROM d WHERE odd = 6
+  UNION ALL SELECT k, 1000, 'VALIDATION_FAILED', 'PESO_BRUTO is lower than PESO_NETO; both values are reported as read.' FROM d WHERE odd = 9
+  UNION ALL SELECT k, 2000, 'PLATE_MISMATCH', 'The document''s plate (A0A952) differs from the requested plate (B1C234).' FROM d WHERE k % 7 = 0),
+g AS (SELECT k, string_agg(code, ', ' ORDER BY ord) AS codes, string_agg(message, ' ' ORDER BY ord) AS messages FROM w GROUP BY 1)
+SELECT d.k::INT AS row_number, CASE WHEN d.k % 11 = 0 THEN 'ERROR:FILE_TOO_LARGE' WHEN codes IS NULL THEN 'OK' ELSE 'REVISAR' END AS "ESTADO", CASE WHEN d.k % 11 = 0 THEN '' ELSE coalesce(codes, '') END AS "AVISOS",
+  CASE WHEN d.k % 11 <> 0 THEN CASE WHEN odd = 2 THEN NULL ELSE '2.89' END END AS "PESO_NETO", messages
+FROM d LEFT JOIN g ON g.k = d.k""")
+def queue_updates(t):
+    """A whole run of the queue: pages are read, results and errors meet in one table and are written back by row number."""
+    from .operators.tables import stored
+    from .plans.extract import extract
+    from .streaming.queue import RESULT, run_batch, updates
+
+    tokens, pages = odd_pages(t("supplier"))
+    rows = t("supplier").select(F.col("s_suppkey").cast("int").alias("row_number"), F.col("s_suppkey").cast("string").alias("doc_id"), F.when(F.col("s_suppkey") % 7 == 0, "B1C-234").otherwise("A0A-952").alias("plate"))
+    e = extract(tokens, pages, rows)
+    large = rows.where("row_number % 11 = 0").select("doc_id", F.lit("FILE_TOO_LARGE").alias("error_code"))
+    queue = rows.select("row_number", *(F.lit(None).cast("string").alias(c) for c in RESULT))
+    written = run_batch(queue, lambda todo: updates(e, rows.join(todo.select("row_number"), "row_number"), large), None)
+    said = stored(e.warnings, "warnings").groupBy("doc_id").agg(A.ordered_text("message", ["ord"]).alias("messages"))
+    return written.select("row_number", "ESTADO", "AVISOS", "PESO_NETO").join(said.select(F.col("doc_id").cast("int").alias("row_number"), "messages"), "row_number", "left")
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT::VARCHAR AS x, CASE l_linenumber % 4 WHEN 0 THEN l_quantity::INT::VARCHAR WHEN 1 THEN (l_quantity * 10)::INT::VARCHAR WHEN 2 THEN '' ELSE 'abc' END AS y, l_discount AS cx, l_tax AS cy FROM lineitem),
+b AS (SELECT *, CASE WHEN regexp_full_match(y, '[0-9]+') THEN y END AS v, x::INT BETWEEN 1 AND 40 AS okx, coalesce(try_cast(y AS INT) BETWEEN 1 AND 40, false) AS oky FROM a),
+c AS (SELECT *, v IS NOT NULL AND v <> x AS differ, v IS NOT NULL AND v <> x AND (oky, cy) > (okx, cx) AS second FROM b)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN second THEN v ELSE x END AS value_text, CASE WHEN v = x THEN greatest(cx, cy) WHEN second THEN cy ELSE cx END AS conf,
+  CASE WHEN second THEN oky ELSE okx END AS valid, concat_ws(',', CASE WHEN differ THEN 'LOW_CONFIDENCE_FIELD' END, CASE WHEN NOT CASE WHEN second THEN oky ELSE okx END THEN 'VALIDATION_FAILED' END) AS codes FROM c""")
+def readings_resolved(t):
+    """The engine's reconciliation of two readings, with its plausible ranges."""
+    from .plans.reading import resolved
+
+    x, n = F.col("l_quantity").cast("int"), F.col("l_linenumber") % 4
+    y = F.when(n == 0, x.cast("string")).when(n == 1, (F.col("l_quantity") * 10).cast("int").cast("string")).when(n == 2, "").otherwise("abc")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    r = t("lineitem").select(*keys, F.lit("NUM_RUEDAS").alias("field"), F.lit("int").alias("kind"), F.lit("N° Ruedas").alias("label"), F.lit(True).alias("found"), F.lit(1).alias("tier"), x.cast("string").alias("token_text"), F.col("l_discount").alias("token_conf"), y.alias("crop_text"), F.col("l_tax").alias("crop_conf"))
+    return resolved(r).select(*keys, "value_text", F.col("ocr_confidence").alias("conf"), "valid", F.array_join("codes", ",").alias("codes"))
+
+
+@query("""WITH a AS (SELECT conv_id::VARCHAR AS doc_id, turn::INT + 1 AS page, CASE WHEN conv_id % 3 = 0 THEN 'native' WHEN conv_id % 3 = 1 THEN 'ocr' WHEN turn = 1 THEN 'native' ELSE 'ocr' END AS source_kind, text, turn, conv_id FROM conversations),
+b AS (SELECT doc_id, page, source_kind, len(string_split(trim(text), ' ')) AS words, (turn + conv_id) % 4 = 2 AS headed FROM a WHERE trim(text) <> ''),
+c AS (SELECT *, CASE WHEN source_kind = 'native' AND words >= 40 AND headed THEN 0 WHEN source_kind = 'ocr' AND page <= 3 AND headed THEN 1 WHEN source_kind = 'ocr' AND page <= 3 THEN 2 WHEN source_kind = 'native' AND words >= 40 THEN 3 WHEN source_kind = 'native' THEN 4 END AS rank FROM b)
+SELECT doc_id, page, source_kind FROM c WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank, page) = 1""")
+def page_choice(t):
+    """Pages made of turns: words of a text layer go through native_tokens, others are recognised, some have a header."""
+    from .sources.tokens import chosen_pages, native_tokens
+
+    kind = F.when(F.col("conv_id") % 3 == 0, "native").when(F.col("conv_id") % 3 == 1, "ocr").when(F.col("turn") == 1, "native").otherwise("ocr")
+    headed = (F.col("turn") + F.col("conv_id")) % 4 == 2
+    words = F.transform(F.split(F.trim("text"), " "), lambda w, i: F.struct(i.alias("ord"), F.when(headed & (i == 0), F.lit("Características")).otherwise(w).alias("text")))
+    each = t("conversations").where("trim(text) <> ''").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("page"), kind.alias("kind"), F.inline(words))
+    layer = each.where("kind = 'native'").select("doc_id", "page", "ord", "text", *(F.lit(float(v)).alias(c) for c, v in (("x0", 1), ("y0", 1), ("x1", 9), ("y1", 5))))
+    seen = native_tokens(layer).select("doc_id", "page", "source_kind", "text").unionByName(each.where("kind = 'ocr'").select("doc_id", (F.col("page") + 1).cast("int").alias("page"), F.lit("ocr").alias("source_kind"), "text"))
+    return chosen_pages(seen).select("doc_id", "page", "source_kind")
+
+
+@query("""WITH a AS (SELECT l_partkey::VARCHAR AS doc_id, l_suppkey::INT AS page, median(CASE WHEN l_linenumber >= 2 AND l_quantity > 0 THEN l_quantity::INT END) AS m FROM lineitem GROUP BY ALL),
+b AS (SELECT *, CASE WHEN m IS NULL THEN 1.5 ELSE greatest(1.5, least(4.0, 39.0 / m)) END AS s FROM a) SELECT doc_id, page, CASE WHEN abs(s - 1.5) > 0.25 THEN s ELSE 1.5 END AS render_scale FROM b""")
+def page_scales(t):
+    from .sources.tokens import render_scales
+
+    line = t("lineitem").select(F.col("l_partkey").cast("string").alias("doc_id"), F.col("l_suppkey").cast("int").alias("page"), F.repeat(F.lit("x"), F.col("l_linenumber").cast("int")).alias("text"), F.col("l_quantity").cast("int").alias("height"))
+    return render_scales(line).select("doc_id", "page", F.col("render_scale").cast("double").alias("render_scale"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'DRIVE_FILE_NOT_FOUND' WHEN strlen(html) > 3000 THEN 'FILE_TOO_LARGE' END AS error_code,
+CASE WHEN page_id % 17 = 0 THEN 404 WHEN strlen(html) > 3000 THEN 413 END AS http_status,
+CASE WHEN page_id % 17 = 0 THEN 'The requested Drive file does not exist.' WHEN strlen(html) > 3000 THEN 'The document exceeds the configured size limit.' END AS message FROM pages""")
+def size_recheck(t):
+    """Files judged by the bytes that are there, and what each error says."""
+    from .plans.errors import described
+    from .plans.spec import Options
+    from .sources.files import rechecked
+
+    content = t("pages").select("page_id", F.when(F.col("page_id") % 17 != 0, F.encode("html", "UTF-8")).alias("content"))
+    kept, bad = rechecked(content, Options(max_bytes=3000))
+    both = kept.select("page_id", F.lit(None).cast("string").alias("error_code")).unionByName(bad.select("page_id", "error_code"))
+    return described(both)
+
+
+@query("""WITH c(status, code) AS (VALUES (401, 'UNAUTHORIZED'), (403, 'UNAUTHORIZED'), (404, 'NOT_FOUND'), (405, 'INVALID_REQUEST'), (418, 'INTERNAL_ERROR'))
+SELECT event_id, code, '{"status":"error","error":{"code":"' || code || '","message":null},"request_id":"' || event_id || '"}' AS body FROM events JOIN c ON c.status = CASE event_id % 5 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 405 ELSE 418 END""")
+def error_bodies(t):
+    from .plans.errors import code_of_status, error_json
+
+    status = F.element_at(F.array(*map(F.lit, (401, 403, 404, 405, 418))), (F.col("event_id") % 5 + 1).cast("int"))
+    e = t("events").select("event_id", code_of_status(status).alias("code"))
+    return e.select("event_id", "code", error_json(F.col("code"), F.lit(None).cast("string"), F.col("event_id").cast("string")).alias("body"))
+
+
+@query("""SELECT user_id, bool_and(value >= 5) AS all_ok, coalesce(string_agg(DISTINCT event_type, ', ' ORDER BY event_type) FILTER (NOT value >= 5), '') AS failed FROM events GROUP BY 1""")
+def checks_hold(t):
+    return A.all_hold(t("events"), ["user_id"], "event_type", F.col("value") >= 5)
+
+
+@query("""WITH a AS (SELECT doc_id, lang || '+eng+' || source AS wanted FROM documents)
+SELECT doc_id, array_to_string(list_filter(string_split(wanted, '+'), lambda x: x NOT IN ('en', 'eng', 'src1')), ',') AS missing,
+  len(list_filter(string_split(wanted, '+'), lambda x: x NOT IN ('en', 'eng', 'src1'))) = 0 AND len(list_filter(['en', 'eng', 'src1'], lambda x: NOT list_contains(string_split(wanted, '+'), x))) = 0 AS same FROM a""")
+def code_sets(t):
+    wanted, known = F.concat_ws("+", "lang", F.lit("eng"), "source"), F.array(*map(F.lit, ("en", "eng", "src1")))
+    return t("documents").select("doc_id", F.array_join(X.missing_codes(wanted, known), ",").alias("missing"), X.same_members(F.split(wanted, "[+]"), known).alias("same"))
+
+
+@query("""SELECT '{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+0000","level":"INFO","logger":"app","event":"' || event_type || '","request_id":null,"user":"' || user_id || '","token":"[REDACTED]"}' AS value FROM events""")
+def event_log(t):
+    from .streaming.events import event_lines
+
+    fields = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("token"), F.col("props"), F.lit("level"), F.lit("x"))
+    e = t("events").withColumn("at", F.col("ts").cast("timestamp"))
+    return event_lines(e, F.col("at"), F.lit("INFO"), F.lit("app"), F.col("event_type"), F.lit(None).cast("string"), fields)

@@ -49,6 +49,14 @@ def admitted(wanted: DataFrame, meta: DataFrame, options: Options = Options()) -
     return judged.where("error_code is null").drop("error_code"), judged.where("error_code is not null")
 
 
+def rechecked(content: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejects) of files by the bytes that are really there, whatever their metadata said; a missing content is no
+    document. Rejects carry no content."""
+    size = F.octet_length("content")
+    judged = content.withColumn("error_code", F.when(F.col("content").isNull(), "DRIVE_FILE_NOT_FOUND").when(size > options.max_bytes, "FILE_TOO_LARGE"))
+    return judged.where("error_code is null").drop("error_code"), judged.where("error_code is not null").drop("content")
+
+
 def pdf_words(content: DataFrame) -> DataFrame:
     """Words of the text layer of PDF files (doc_id, content), by an optional library: rows as native_tokens takes them,
     and one with an error for each file that cannot be opened or has no page."""

@@ -66,30 +66,48 @@ def tables(spark: SparkSession, rows: list[tuple]) -> tuple[DataFrame, DataFrame
     return spark.createDataFrame(rows, TOKENS), spark.createDataFrame([(n, 1, WIDTH, HEIGHT) for n in names], "doc_id string, page int, width int, height int")
 
 
-def from_table(customers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One page for each customer, made without the driver: the base document with the number of axles, the width and the
-    entry number taken from the row."""
+def from_table(rows: DataFrame, key: str = "c_custkey", varied: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One page for each row, made without the driver: the base document with the number of axles, the width and the entry
+    number taken from the row's key. With `varied` the last digit of the key says what is odd about the page: 1 two colons
+    fused with their values, 2 a masked weight, 3 a missing row, 4 a label that is covered, 5 an implausible number, 6 no
+    header, 7 a number in words, 8 no colons, 9 a decimal comma and a gross weight below the net one."""
     from pyspark.sql import functions as F
 
-    cells = [(c, r, label, value) for c, column in enumerate(base()) for r, (label, value) in enumerate(column)]
+    k = F.col(key)
+    odd = lambda n: (k % 10 == n) if varied else F.lit(False)
+    pick = lambda usual, *others: F.coalesce(*(F.when(odd(n), F.lit(v)) for n, v in others), usual if not isinstance(usual, str) else F.lit(usual))
+    axles, width = (k % 12 + 1).cast("string"), F.format_string("%d.%02d", (k % 9 + 1).cast("int"), (k % 97).cast("int"))
     changed = {
-        "N° Ejes": (F.col("c_custkey") % 12 + 1).cast("string"), "Ancho": F.format_string("%d.%02d", (F.col("c_custkey") % 9 + 1).cast("int"), (F.col("c_custkey") % 97).cast("int")),
-        "N° Partida": F.lpad(F.col("c_custkey").cast("string"), 8, "0"),
+        "N° Ejes": pick(axles, (5, "0"), (7, "muchos")), "Ancho": width, "N° Partida": F.lpad(k.cast("string"), 8, "0"),
+        "Peso Neto": pick("2.89", (2, "##########"), (9, "2,89")), "Peso Bruto": pick("4.6", (9, "1.5")),
     }
-    lines = [(f"{w}", x, 1071, CONFIDENCE) for w, x in (("Características", 82), ("del", 300), ("Vehículo", 360))] + [(w, x, 1920, CONFIDENCE) for w, x in (("NO", 1100), ("REGISTRA", 1150), ("AFECTACIONES", 1300))]
-    each = [(F.lit(w), F.lit(x), y, conf) for w, x, y, conf in lines]
-    for c, r, label, value in cells:
-        y, x = FIRST_ROW + PITCH * r, LABEL_LEFT[c]
-        for word in label.split():
-            each.append((F.lit(word), F.lit(x), y, CONFIDENCE))
-            x += (len(word) + 1) * GLYPH
-        each.append((F.lit(":"), F.lit(COLON[c]), y, None))
-        x = VALUE_LEFT[c]
-        for word in value.split():
-            each.append((changed.get(label, F.lit(word)), F.lit(x), y, CONFIDENCE))
-            x += (len(word) + 1) * GLYPH
-    structs = [F.struct(F.lit(k).alias("ord"), t.alias("text"), x.alias("x"), F.lit(y).alias("y"), F.lit(conf).cast("double").alias("confidence")) for k, (t, x, y, conf) in enumerate(each)]
-    key = F.col("c_custkey").cast("string").alias("doc_id")
-    tokens = customers.select(key, "c_custkey", F.inline(F.array(*structs)))
+    low = F.when(odd(2), 0.0).otherwise(CONFIDENCE)
+    each: list[tuple] = []
+
+    def add(text, x: int, y: int, shown, confidence=CONFIDENCE) -> None:
+        each.append((F.when(shown, text if not isinstance(text, str) else F.lit(text)), x, y, confidence))
+
+    for word, x, y in (("Características", 82, 1071), ("del", 300, 1071), ("Vehículo", 360, 1071), ("NO", 1100, 1920), ("REGISTRA", 1150, 1920), ("AFECTACIONES", 1300, 1920)):
+        add(word, x, y, ~odd(6))
+    for c, column in enumerate(base()):
+        for r, (label, value) in enumerate(column):
+            y, x, there = FIRST_ROW + PITCH * r, LABEL_LEFT[c], ~odd(3) if label == "Ancho" else F.lit(True)
+            covered, fused = label == "N° Asientos", label in ("N° Ejes", "N° Ruedas")
+            for word in label.split():
+                add(word, x, y, there & ~odd(4) if covered else there)
+                x += (len(word) + 1) * GLYPH
+            if covered:
+                cover = "AMARWNiABientos"
+                add(cover, LABEL_LEFT[c] + int((COLON[c] - LABEL_LEFT[c]) * 0.75) - len(cover) * GLYPH, y, odd(4), 17.0)
+            add(":", COLON[c], y, there & ~odd(8) & (~odd(1) if fused else F.lit(True)), None)
+            if fused:
+                add(F.concat(F.lit("2"), changed.get(label, F.lit(value))), COLON[c], y, odd(1))
+            x = VALUE_LEFT[c]
+            for word in value.split():
+                add(changed.get(label, word), x, y, there & (~odd(1) if fused else F.lit(True)), low if label == "Peso Neto" else CONFIDENCE)
+                x += (len(word) + 1) * GLYPH
+    structs = [F.struct(F.lit(n).alias("ord"), t.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"), (conf if conf is low else F.lit(conf)).cast("double").alias("confidence")) for n, (t, x, y, conf) in enumerate(each)]
+    doc = k.cast("string").alias("doc_id")
+    tokens = rows.select(doc, F.inline(F.array(*structs))).where("text is not null")
     tokens = tokens.select("doc_id", F.lit(1).alias("page"), F.lit("ocr").alias("source_kind"), "ord", "text", "x", "y", F.greatest(F.lit(4), F.length("text") * GLYPH).alias("width"), F.lit(TALL).alias("height"), "confidence")
-    return tokens, customers.select(key, F.lit(1).alias("page"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+    return tokens, rows.select(doc, F.lit(1).alias("page"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))

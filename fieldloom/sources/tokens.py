@@ -44,10 +44,11 @@ def render_scales(tokens: DataFrame, options: Options = Options()) -> DataFrame:
 
 def chosen_pages(tokens: DataFrame, options: Options = Options()) -> DataFrame:
     """Rows (doc_id, page, source_kind): the first page whose text layer has enough words and the header; else, of the
-    first pages that were recognised, the first with the header; else the first recognised page."""
+    first pages that were recognised, the first with the header; else the first recognised page. Where no page was
+    recognised, the first with enough words in its text layer, or else the first with any."""
     page = tokens.groupBy("doc_id", "page", "source_kind").agg(F.count("*").alias("words"), F.bool_or(label_token(F.col("text")).startswith(HEADER)).alias("headed"))
-    native = (F.col("source_kind") == "native") & (F.col("words") >= options.native_words) & F.col("headed")
+    native, enough = F.col("source_kind") == "native", F.col("words") >= options.native_words
     ocr = (F.col("source_kind") == "ocr") & (F.col("page") <= options.ocr_pages)
-    rank = F.when(native, 0).when(ocr & F.col("headed"), 1).when(ocr, 2)
+    rank = F.when(native & enough & F.col("headed"), 0).when(ocr & F.col("headed"), 1).when(ocr, 2).when(native & enough, 3).when(native, 4)
     best = page.withColumn("rank", rank).where("rank is not null").groupBy("doc_id").agg(F.min(F.struct("rank", "page", "source_kind")).alias("b"))
     return best.select("doc_id", "b.page", "b.source_kind")
