@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, counts, langid, lattice, media, neardup, packing, secrets, substrings, warc
+from .common import written
 
 path = public_tokenizers.path
 
@@ -65,11 +66,22 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as an archive, audited against a replica in which fixed records are damaged or lost."""
-    manifest = warc.written(warc.archive(table(spark, sf_dir, "pages")), "manifest")
-    damaged = F.when(F.col("id") % 97 == 13, F.sha2(F.concat("sha256", F.lit("!")).cast("binary"), 256)).otherwise(F.col("sha256"))
-    replica = manifest.where(F.coalesce(F.col("id") % 389 != 7, F.lit(True))).withColumn("sha256", damaged)
-    found = manifest.join(warc.audit(manifest, replica), ["volume", "offset"], "left")
+    """All pages as an archive, audited against a replica. Its records are hashed from their own bytes, of which fixed ones
+    have a byte changed; others are lost, and some volumes have a record more at their end. One row for each record, with
+    a null page_id for those that only the replica has."""
+    r = F.col("record")
+    last = F.length(r) - 4  # before the two line ends that close a record
+    other = F.when(F.substring(r, last, 1) == "#", "*").otherwise("#")
+    damaged = F.when(F.col("id") % 97 == 13, F.overlay(r, other, last)).otherwise(r)
+    lost = F.coalesce(F.col("id") % 389 == 7, F.lit(False))
+    both = written(warc.archive(table(spark, sf_dir, "pages"), copy=damaged, lost=lost), "archive")
+    manifest = both.select("volume", "offset", "length", "sha256", "id")
+    replica = both.where("not lost").select("volume", "offset", F.col("copy_length").alias("length"), F.col("copy_sha256").alias("sha256"), "id")
+    ends = both.where("volume % 5 = 3").groupBy("volume").agg(F.max(F.col("offset") + F.col("length")).alias("offset"))
+    more = F.lit("WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
+    extra = ends.select("volume", "offset", F.octet_length(more).cast("long").alias("length"), F.sha2(more.cast("binary"), 256).alias("sha256"), F.lit(None).cast(manifest.schema["id"].dataType).alias("id"))
+    replica = written(replica.unionByName(extra), "replica")
+    found = manifest.join(warc.audit(manifest, replica), ["volume", "offset"], "full")
     return found.select(F.col("id").alias("page_id"), "volume", "offset", "length", "sha256", F.coalesce("status", F.lit("intact")).alias("status"))
 
 
@@ -122,15 +134,14 @@ SELECT docs.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n
 FROM docs LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 _WARC = r"""
-WITH r AS (
-  SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-    || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
-    || chr(13) || chr(10) || chr(13) || chr(10) AS r FROM pages),
-s AS (SELECT page_id, page_id // 1000 AS volume, strlen(r)::BIGINT AS length, sha256(r) AS sha256 FROM r)
-SELECT page_id, volume::BIGINT AS volume,
-  coalesce(sum(length) OVER (PARTITION BY volume ORDER BY page_id, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
-  length, sha256, CASE WHEN page_id % 389 = 7 THEN 'missing' WHEN page_id % 97 = 13 THEN 'corrupt' ELSE 'intact' END AS status
-FROM s"""
+WITH h AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(coalesce(url, '') || ' ' || coalesce(html, '')) AS h, chr(13) || chr(10) AS nl FROM pages),
+r AS (
+  SELECT page_id, 'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>'
+    || nl || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Length: ' || strlen(html) || nl || nl || html || nl || nl AS r FROM h),
+s AS (SELECT page_id, page_id // 1000 AS volume, strlen(r)::BIGINT AS length, sha256(r) AS sha256 FROM r),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY volume ORDER BY page_id, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM s)
+SELECT page_id, volume::BIGINT AS volume, "offset", length, sha256, CASE WHEN page_id % 389 = 7 THEN 'missing' WHEN page_id % 97 = 13 THEN 'corrupt' ELSE 'intact' END AS status FROM o
+UNION ALL SELECT NULL, volume::BIGINT, sum(length)::BIGINT, NULL, NULL, 'extra' FROM s WHERE volume % 5 = 3 GROUP BY volume"""
 
 _VECTORS = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),

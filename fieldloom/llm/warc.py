@@ -5,7 +5,8 @@ FAN_OUT ranges to one, up to a root for each volume. Replicas are compared by th
 differ are descended, level by level, down to the records.
 
 Null urls and bodies are empty; rows without an id are in volumes by a hash of their content; equal rows are records of
-their own, told apart by their order; an empty table gives an empty table. Extra columns are not read.
+their own, told apart by their order; an empty table gives an empty table. Extra columns are not read. A record is one row
+while it is hashed, however long, and does not leave its task.
 """
 
 from __future__ import annotations
@@ -18,22 +19,33 @@ from .common import written
 
 #: Ids of a volume; bytes of the lowest ranges; ranges to a range of the next level.
 VOLUME, RANGE, FAN_OUT = 1000, 1 << 16, 16
-
-
-def record(url: Column, body: Column) -> Column:
-    """The bytes of a WARC record, as text."""
-    body = F.coalesce(body, F.lit(""))
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    return F.concat(head, body, F.lit("\r\n\r\n"))
-
-
-def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """The manifest of an archive: rows (volume, offset, length, sha256, id) of its records."""
-    made = pages.select(F.col(id_col).alias("id"), record(F.col(url_col), F.col(body_col)).alias("r"))
-    made = made.select("id", F.octet_length("r").cast("long").alias("length"), F.sha2(F.col("r").cast("binary"), 256).alias("sha256"))
-    volume = F.coalesce(F.floor(F.col("id") / VOLUME), -1 - F.pmod(F.xxhash64("sha256"), F.lit(VOLUME))).cast("long")
+#: The date in the headers of records, where a table has none: a fixed one keeps their bytes the same in every run.
+DATE = "1970-01-01T00:00:00Z"
+
+
+def record(url: Column, body: Column, date: str = DATE) -> Column:
+    """The bytes of a WARC record, as text: its id is made from its content, so equal records have equal bytes."""
+    url, body = F.coalesce(url, F.lit("")), F.coalesce(body, F.lit(""))
+    h = F.md5(F.concat(url, F.lit(" "), body).cast("binary"))
+    uuid = F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    lines = [F.lit("WARC/1.0"), F.lit("WARC-Type: resource"), F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), uuid, F.lit(">")), F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), url), F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"))]
+    return F.concat_ws("\r\n", *lines, F.lit(""), body, F.lit(""), F.lit(""))
+
+
+def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = DATE, copy: Column | None = None, lost: Column | None = None) -> DataFrame:
+    """The manifest of an archive: rows (volume, offset, length, sha256, id) of its records. With `copy`, a replica's bytes
+    as an expression of `record` and `id`, also copy_length and copy_sha256 of these at the same place; with `lost` (of
+    `id`) whether the replica lacks the record. No record moves: lengths and hashes are taken where it is read."""
+    made = pages.select(F.col(id_col).alias("id"), record(F.col(url_col), F.col(body_col), date).alias("record"))
+    hashed = lambda r, name: [F.octet_length(r).cast("long").alias(f"{name}length"), F.sha2(r.cast("binary"), 256).alias(f"{name}sha256")]
+    more = ([] if copy is None else hashed(copy, "copy_")) + ([] if lost is None else [lost.alias("lost")])
+    made = made.select("id", *hashed(F.col("record"), ""), *more)
+    # Rows without an id go by their content to as many volumes as keep each at about VOLUME records.
+    strays = max(1, -(-pages.where(F.col(id_col).isNull()).count() // VOLUME))
+    volume = F.coalesce(F.floor(F.col("id") / VOLUME), -1 - F.pmod(F.xxhash64("sha256"), F.lit(strays))).cast("long")
     order = W.partitionBy("volume").orderBy("id", "sha256").rowsBetween(W.unboundedPreceding, -1)
-    return made.withColumn("volume", volume).select("volume", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"), "length", "sha256", "id")
+    made = made.withColumn("volume", volume).withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
+    return made.select("volume", "offset", "length", "sha256", "id", *(c for c in made.columns if c.startswith("copy_") or c == "lost"))
 
 
 def levels(manifest: DataFrame) -> int:
