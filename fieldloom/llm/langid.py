@@ -117,13 +117,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The languages, sorted, and the weights, from rows that are not held out."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(id_col).alias("held"))
     rows = rows.where("not held and lang is not null and text rlike '\\\\p{L}'")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return [], {}
     # A rate per language, by a hash of id and text: a bounded sample without a sort or a hot group. Rows that repeat an id
-    # and a text give the same windows, which count once.
-    rate = F.create_map(*[F.lit(x) for c in counts for x in (c["lang"], min(1.0, sample / c["count"]))])
-    chosen = rows.where((F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)) < rate[F.col("lang")])
+    # and a text are one to it, and give the same windows, which count once.
+    rate = F.create_map(*[F.lit(x) for c in counts for x in (c["lang"], min(1.0, sample / c["texts"]))])
+    chosen = rows.where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < rate[F.col("lang")])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,6 +139,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     got = sorted(map(tuple, chosen.select("id", "text", "lang").mapInArrow(windows, "id string, lang string, bytes binary").distinct().collect()))
     names = sorted({x[1] for x in got})
+    if not names:
+        return [], {}
     x = np.frombuffer(b"".join(x[2] for x in got), np.uint8).reshape(-1, WINDOW)
     return names, fit(x, np.array([names.index(g[1]) for g in got]), len(names), epochs)
 
