@@ -197,7 +197,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text
 
 def decode(df: DataFrame, ranks: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """df with out_col: the bytes of the ids in ids_col, joined with the token-byte table, which each task holds whole
-    (it is bounded by the vocabulary). Null ids give null, unknown ids no bytes."""
+    (it is bounded by the vocabulary). Null ids give null, unknown ids no bytes; a column named out_col is replaced."""
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(ranks)
@@ -210,9 +210,10 @@ def decode(df: DataFrame, ranks: str, ids_col: str = "ids", out_col: str = "deco
                     out.append(None if got is None else b"".join(map(table.__getitem__, got)))
                 except IndexError:
                     out.append(b"".join(table[i] for i in got if 0 <= i < size))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.binary())], [*names, out_col])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    names = [c for c in df.columns if c != out_col]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names)
     return df.mapInArrow(look_up, f"{kept}, `{out_col}` binary")
 
 
