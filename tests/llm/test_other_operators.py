@@ -72,6 +72,72 @@ def test_unreadable_audio_has_no_fingerprint(spark):
     assert media.fingerprints(df, ["id"]).count() == 0
 
 
+def wav(samples, rate, channels=1):
+    with wave.open(held := io.BytesIO(), "wb") as w:
+        w.setnchannels(channels), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes(np.asarray(samples).astype("<i2").tobytes())
+    return held.getvalue()
+
+
+def test_audio_search_against_brute_force(spark):
+    r, rows = random.Random(21), []
+    for k in range(40):
+        words = tune(r, r.randrange(25, 90)).split()
+        rows.append((100 * k, " ".join(words)))
+        for j in range(1, 4):  # cut at either end, with 3 or 6 % of the words changed
+            near = words[r.randrange(8) : len(words) - r.randrange(8)]
+            near = [f"n{r.random()}" if r.random() < 0.03 * (j - 1) else w for w in near]
+            rows.append((100 * k + j, " ".join(near)))
+    made = {x.id: bytes(x.audio) for x in media.sonified(spark.createDataFrame(rows, "id long, text string"), ["id"]).collect()}
+    df = spark.createDataFrame(list(made.items()), "id long, audio binary")
+    _, matches = media.search(df, F.col("id") % 100 == 0, ["id"])
+    got = {(x["class"].id, x.match.id): x for x in matches.collect()}
+    prints = {i: media.fingerprint(*media.samples_of(a)).view(np.uint32) for i, a in made.items()}
+
+    def errors(x, y, o):
+        n = min(len(x), len(y) + o) - max(o, 0)
+        a, b = x[max(o, 0) : max(o, 0) + n], y[max(-o, 0) : max(-o, 0) + n]
+        return np.bitwise_count(a ^ b).sum() / (32 * n), n
+
+    close = set()
+    for q in (i for i in prints if i % 100 == 0):
+        for i, y in prints.items():
+            x = prints[q]
+            if i != q and made[i] != made[q] and any(e <= 0.15 and n >= 8 and 2 * n >= min(len(x), len(y)) for e, n in (errors(x, y, o) for o in range(4 - len(y), len(x) - 3))):
+                close.add((q, i))
+    assert len(close) >= 50 and len(close & set(got)) >= 0.9 * len(close)
+    for (q, i), m in got.items():
+        e, n = errors(prints[q], prints[i], m.offset)
+        assert abs(e - m.bit_errors) < 1e-9 and n == m.overlap and e <= media.BIT_ERRORS
+
+
+def test_audio_of_other_rates_and_broken_headers(spark):
+    r = random.Random(22)
+    words = tune(r, 60)
+    a = bytes(media.sonified(spark.createDataFrame([(1, words)], "id long, text string"), ["id"]).first().audio)
+    x = media.samples_of(a)[0]
+    double = np.interp(np.arange(2 * len(x)) / 2, np.arange(len(x)), x)
+    no_rate = a[:24] + bytes(4) + a[28:]
+    rows = [(100, a, "s"), (1, wav(double, 8000), "s"), (2, wav(np.repeat(x, 2), 4000, 2), "s"), (3, no_rate, "s"), (4, a[:30], "s"), (5, a[:22] + bytes(2) + a[24:], "s"), (6, wav([], 4000), "s"), (7, wav(np.zeros(5000), 4000), "s"), (8, None, "s")]
+    df = spark.createDataFrame(rows, "id long, audio binary, sha string")
+    assert sorted(x.id for x in media.fingerprints(df, ["id"]).collect()) == [1, 2, 100]
+    _, matches = media.search(df, F.col("id") % 100 == 0, ["id"])
+    assert {x.match.id for x in matches.collect()} == {1, 2}
+
+
+def test_archives_of_rows_without_ids_and_damaged_bytes(spark):
+    rows = [(i, f"u{i}", "body" * i, 1, "x") for i in range(40)] + [(None, None, str(i), 1, "x") for i in range(2500)] + [(None, None, "0", 1, "x"), (3, None, None, 2, "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, volume int, sha256 string")
+    both = common.written(warc.archive(df, copy=F.overlay("record", F.lit("w"), F.lit(1)), lost=F.coalesce(F.col("id") == 5, F.lit(False))), "both")
+    assert both.count() == len(rows) and both.groupBy("volume", "offset").count().where("count > 1").count() == 0
+    assert both.where("volume < 0").select("volume").distinct().count() == 3
+    assert both.where("copy_sha256 = sha256 or copy_length <> length").count() == 0 and [x.id for x in both.where("lost").collect()] == [5]
+    text = spark.createDataFrame([("http://x", "abc")], "u string, b string").select(warc.record(F.col("u"), F.col("b")).alias("r")).first().r
+    head, body = text.split("\r\n\r\n", 1)
+    fields = dict(line.split(": ", 1) for line in head.split("\r\n")[1:])
+    assert body == "abc\r\n\r\n" and list(fields) == ["WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Length"] and len(fields["WARC-Record-ID"]) == 47
+
+
 def test_merkle_audit_locates_damage(spark):
     r = random.Random(4)
     rows = [(i, f"http://x/{i}", tune(r, 300)) for i in range(2500)] + [(None, None, "lost id"), (7, "http://x/7", "again"), (8, None, None)]

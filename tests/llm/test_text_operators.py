@@ -227,6 +227,38 @@ def test_tables_are_the_convolution():
     assert np.allclose(langid.log_probabilities(x, p, langid.tables(p)), z - np.log(np.exp(z).sum(axis=1, keepdims=True)), atol=1e-4)
 
 
+def brute_language(text, names, p):
+    """One text at a time, one window at a time, by the convolution as it is defined."""
+    if not re.search(r"[^\W\d_]", text or ""):
+        return "und", 1.0
+    data, total = text.encode(), 0
+    parts = [data[k : k + langid.WINDOW].ljust(langid.WINDOW, b"\0") for k in range(0, len(data), langid.WINDOW)]
+    for part in parts:
+        e = p["embed"][np.frombuffer(part, np.uint8)]
+        h = [max(0.0, max(sum(e[at + o] @ p[f"conv{w}"][o][:, f] for o in range(w)) for at in range(langid.WINDOW - w + 1)) + p[f"shift{w}"][f]) for w in langid.WIDTHS for f in range(langid.FILTERS)]
+        z = np.array(h) @ p["dense"] + p["bias"]
+        total = total + z - z.max() - np.log(np.exp(z - z.max()).sum())
+    mean = np.exp(total / len(parts))
+    return names[int(mean.argmax())], float(mean.max() / mean.sum())
+
+
+def test_language_predictions_match_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names, weights = langid.train(df, epochs=2)
+    few = df.select("doc_id", "text").where("length(text) < 900").limit(12).collect()
+    few += [(-1, None), (-2, "12 34"), (-3, "ß"), (-4, "a" * 256), (-5, "é" * 129)]
+    got = {x.doc_id: x for x in langid.predict(spark.createDataFrame(few, "doc_id long, text string"), names, weights).collect()}
+    for i, text in few:
+        name, score = brute_language(text, names, weights)
+        assert got[i].lang_pred == name and abs(got[i].score - score) < 1e-4
+
+
+def test_training_rows_that_repeat_an_id_count_once(spark):
+    rows = [(7, f"some words of {lang}", lang) for lang in ("a", "b") for _ in range(3000)]
+    names, _ = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=2000, epochs=1)
+    assert names == ["a", "b"]
+
+
 def brute_spans(text):
     rules = (
         ("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
@@ -408,3 +440,35 @@ def test_pipeline_matches_brute_force_with_nulls_and_clashing_columns(spark, tmp
 def test_stages_keep_the_columns_of_documents(spark, docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns, name
+
+
+CLASHING = ("ids", "counts", "places", "words", "_blk", "_bucket", "h", "n", "keys", "node", "size", "blob", "path", "spans", "piece", "start", "length", "task", "rank", "sequence_id", "lang_pred", "decoded")
+
+
+def test_extra_columns_with_clashing_names_change_nothing(docs):
+    from pyspark.sql import functions as F
+
+    more = docs.withColumns({c: F.lit("x") for c in CLASHING})
+    ranks, args = path("byte_bpe_multi_50k.tiktoken"), (path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json"), PATTERN)
+    runs = {
+        "bpe": lambda d: bpe.digests(bpe.decode(bpe.encode(d, ranks, PATTERN), ranks)), "neardup": lambda d: neardup.classes(d.where("text is null or length(text) < 4000")),
+        "secrets": lambda d: secrets.audit(d)[0].select("doc_id", "spans"), "packing": lambda d: packing.packed(d, *args).select("doc_id", "piece", "start", "length", "ids_crc32"),
+    }
+    for name, run in runs.items():
+        a, b = run(docs), run(more)
+        assert a.columns == b.columns and Counter(map(str, a.collect())) == Counter(map(str, b.collect())), name
+
+
+def test_very_long_texts(spark):
+    r = random.Random(12)
+    words = some_words(r, 150_000, 10**7)
+    near = words.copy()
+    near[75_000] = "token=abcdefgh"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in neardup.classes(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {x.doc_id: (x.n_words, x.n_removed) for x in substrings.without_repeats(df).collect()} == {1: (150_000, 149_999), 2: (150_000, 149_999), 3: (1, 0)}
+    assert {x.doc_id: len(x.spans) for x in secrets.audit(df)[0].collect()} == {1: 0, 2: 1, 3: 0}
+    t = Tokenizer.from_file(path("word_bpe_49k.json"))
+    assert {x.doc_id: x.n_tokens for x in counts.token_counts(df, path("word_bpe_49k.json")).collect()} == {i: len(t.encode(x, add_special_tokens=False)) for i, x in rows}
+    assert langid.predict(df, *langid.train(df.selectExpr("doc_id", "text", "'a' as lang"), epochs=1)).count() == 3
