@@ -8,9 +8,13 @@ L / (n + m - L), the order-keeping form of the Jaccard similarity, and texts are
 connected components of the links.
 
 Equal texts are one node, so copies never meet each other. In a bucket, nodes are compared with one pivot, not with each
-other. Two nodes that are both linked to their pivot are in one class already; where one is not, how both differ from
-the pivot bounds from below how they differ from each other, and they are compared only if that bound leaves room for a
-link. So no link between nodes that share a bucket is lost, and no step lists the pairs of a group.
+other. Nodes that are linked to one pivot are in one class already, and groups of one component are left out. Where two
+nodes are in different components, how both differ from the pivot and the parity of their shingles bound from below how
+they differ from each other, and they are compared only if these bounds leave room for a link. Both are exact, so no link
+between nodes that share a bucket is lost. The rows that come out of the joins are pairs that are nearly all links.
+
+Texts of at most SHORT shingles have SHORT_SLOTS slots of SHORT_KEEP besides, because a slot of KEEP would hold most of
+them. Texts are hashed in slices of about a megabyte, a longer text alone, so memory is bounded by the longest text.
 
 Texts of fewer than five words are one shingle. Null, empty and wordless texts are classes of their own, as are rows
 without an id. Rows with equal ids are one document, linked if any of their texts are. Only ids, texts and result
