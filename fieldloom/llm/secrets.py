@@ -7,7 +7,8 @@ Matches come from a split by the rule's pattern: the pieces between matches and
 in code points. A failing match is dropped after the search, so it still uses up its characters.
 
 Null texts are empty; repeated rows and ids are versions of their own; an empty table gives an empty table. Only ids,
-texts and result columns are used, so extra columns cannot clash.
+texts and result columns are used, so extra columns cannot clash. A text is one row throughout, however long, and its
+matches are rows of their own before they are gathered again.
 """
 
 from __future__ import annotations
