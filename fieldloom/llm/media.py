@@ -2,33 +2,41 @@
 
 A WAV recording becomes frames of twelve pitch classes. Filters, sums over rectangles of the frames read from an
 integral image, are compared and packed, two bits each, into one integer per place. Recordings that share integers vote
-for the offset between them; the best offset is checked by the share of differing bits over the whole overlap, and of
-offsets with equal votes the one that differs least counts.
+for the offset between them; offsets with at least half as many votes as the best are checked by the share of differing
+bits over the whole overlap, and the one that differs least counts.
 
 A pair needs VOTES votes, or half as many as the shorter recording has integers, if that is less, but one at least. So a
 recording of any length is searched and found; what shares no integer with it at the right offset is not, whatever its
 bit errors. A recording of one integer (up to 19 words as made here) is found only where that integer stands unchanged.
 
 Equal recordings are one class, compared once: matches are pairs of classes, each named by its smallest id, beside the
-class of every recording. So copies are found, but never listed as pairs. Null, empty, silent or unreadable recordings
-have no fingerprint, no class and no match. Rows that repeat an id are recordings of their own. Only the named columns
-are used, so extra columns cannot clash; an empty table gives empty tables.
+class of every recording. So copies are found, but never listed as pairs. Null, empty, silent or unreadable recordings,
+among them those whose header names no rate or no channel, have no fingerprint, no class and no match; 16-bit samples are
+read. Every recording is brought to RATE first, so one tune at two rates agrees. Rows that repeat an id are recordings of
+their own. Only the named columns are used, so extra columns cannot clash; an empty table gives empty tables.
+
+Integers that are common are dealt over tasks, so none makes a hot group. Memory is bounded by BATCH recordings and by the
+longest one.
 """
 
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looked_up, written
+from .common import dealt_join, frequent, looked_up, written
 
 RATE, FRAME, HOP, SPAN = 4000, 1024, 256, 16
+#: Recordings sent to Python at once.
+BATCH = 256
 #: Filters: (kind, first pitch class, pitch classes, first frame, frames) within a span of 16 frames.
 FILTERS = [(k % 4, (5 * k) % 12, 1 + k % 4, k % 8, 4 + 2 * (k % 5)) for k in range(16)]
 #: Votes a pair of long recordings needs at its best offset, and the greatest share of differing bits.
@@ -91,44 +99,77 @@ def samples_of(data: bytes | None) -> tuple[np.ndarray, int]:
                 return np.zeros(0, np.int16), RATE
             raw = np.frombuffer(w.readframes(w.getnframes()), "<i2")
             return raw[: len(raw) // w.getnchannels() * w.getnchannels()].reshape(-1, w.getnchannels()).mean(axis=1), w.getframerate()
-    except (wave.Error, EOFError):
+    except (wave.Error, EOFError, ValueError, ZeroDivisionError, struct.error):
         return np.zeros(0, np.int16), RATE
 
 
+def resampled(samples: np.ndarray, rate: int) -> np.ndarray:
+    """The samples at RATE: between two of them on a line, and each the mean around it where there are more than needed."""
+    if rate == RATE or not len(samples):
+        return samples
+    if rate <= 0:
+        return np.zeros(0)
+    x = samples.astype(np.float64)
+    if (wide := rate // RATE) > 1:
+        total = np.concatenate([[0.0], np.cumsum(x)])
+        at = np.arange(len(x))
+        low, high = np.maximum(0, at - wide // 2), np.minimum(len(x), at - wide // 2 + wide)
+        x = (total[high] - total[low]) / (high - low)
+    n = max(1, int(len(x) * RATE / rate))
+    return np.interp(np.arange(n) * (rate / RATE), np.arange(len(x)), x)
+
+
 def fingerprints(df: DataFrame, id_cols: list[str], audio_col: str = "audio") -> DataFrame:
     """Rows (id columns, sha, prints array<int>) of the recordings that have a fingerprint."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [fingerprint(*samples_of(x.as_py())) for x in b.column(len(id_cols) + 1)]
+            got = [fingerprint(resampled(*samples_of(x.as_py()))) for x in b.column(len(id_cols) + 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.list_(pa.int32()))], [*id_cols, "sha", "prints"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols)
     return df.select(*id_cols, F.sha2(audio_col, 256).alias("sha"), audio_col).mapInArrow(each, f"{kinds}, sha string, prints array<int>").where("size(prints) > 0")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside sends BATCH rows to Python at once: recordings are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def search(df: DataFrame, queries: Column, id_cols: list[str], audio_col: str = "audio", votes: int = VOTES, bit_errors: float = BIT_ERRORS) -> tuple[DataFrame, DataFrame]:
     """(members, matches). Members: for each recording with a fingerprint the id columns, class (the smallest id of an
     equal recording) and copies (equal recordings besides it). Matches: for each class with a recording that `queries`
     selects, each other class that aligns with it: class, match, offset (frames of the query before the match begins),
     overlap (frames compared) and bit_errors."""
     rec = F.struct(*id_cols)
-    prints = written(fingerprints(df, id_cols, audio_col).withColumn("asked", F.coalesce(queries, F.lit(False))), "prints")
+    with small_batches(df.sparkSession):
+        prints = written(fingerprints(df, id_cols, audio_col).withColumn("asked", F.coalesce(queries, F.lit(False))), "prints")
     nodes = written(prints.groupBy("sha").agg(F.min(rec).alias("node"), F.count("*").alias("size"), F.max("asked").alias("asked")), "classes")
     unique = prints.select("sha", rec.alias("node"), "prints").join(nodes, ["sha", "node"]).dropDuplicates(["sha"])
     unique = written(unique, "recordings")
     index = unique.select("sha", F.size("prints").alias("n"), F.posexplode("prints").alias("at", "key"))
+    # Rows of a common integer are dealt over shares, each with all queries that have it.
+    sizes = index.groupBy("key").agg(F.count("*").alias("size"))
+    hot = frequent(sizes, unique.agg(F.sum(F.size("prints"))).first()[0] or 0)
     asked = index.join(unique.where("asked").select("sha"), "sha", "left_semi").select(F.col("sha").alias("q"), F.col("n").alias("m"), F.col("at").alias("qat"), "key")
-    hits = asked.join(index, "key").where("q <> sha").groupBy("q", "sha", "m", "n", (F.col("qat") - F.col("at")).alias("offset")).count()
+    hits = dealt_join(index, asked, ["key"], hot).where("q <> sha").groupBy("q", "sha", "m", "n", (F.col("qat") - F.col("at")).alias("offset")).count()
     shorter, overlap = F.least("m", "n"), lambda o: F.least(F.col("m"), F.col("n") + o) - F.greatest(o, F.lit(0))
     enough = (F.col("count") >= F.least(F.lit(votes), F.greatest(F.lit(1), F.floor(shorter / 2)))) & (overlap(F.col("offset")) >= F.least(F.lit(votes), shorter))
-    best = hits.where(enough).groupBy("q", "sha", "m", "n", "count").agg(F.collect_list("offset").alias("o")).groupBy("q", "sha", "m", "n").agg(F.max(F.struct("count", "o"))["o"].alias("offsets"))
+    voted = hits.where(enough).groupBy("q", "sha", "m", "n").agg(F.collect_list(F.struct("count", "offset")).alias("o"), F.max("count").alias("most"))
+    best = voted.select("q", "sha", "m", "n", F.expr("transform(filter(o, x -> 2 * x.count >= most), x -> x.offset)").alias("offsets"))
     left = unique.select(F.col("sha").alias("q"), F.col("node").alias("class"), F.col("prints").alias("x"))
     both = best.join(left, "q").join(unique.select("sha", F.col("node").alias("match"), F.col("prints").alias("y")), "sha")
 
     def compared(o: Column) -> Column:
         begin = F.greatest(o, F.lit(0))
-        differ = F.zip_with(F.slice("x", begin + 1, overlap(o)), F.slice("y", begin - o + 1, overlap(o)), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        differ = F.zip_with(F.slice("x", begin + 1, overlap(o)), F.slice("y", begin - o + 1, overlap(o)), lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))))
         return F.struct((F.aggregate(differ, F.lit(0), lambda a, b: a + b) / (32.0 * overlap(o))).alias("bit_errors"), o.alias("offset"), overlap(o).alias("overlap"))
 
     found = both.select("class", "match", F.array_min(F.transform("offsets", compared)).alias("b")).select("class", "match", "b.*").where(F.col("bit_errors") <= bit_errors)
