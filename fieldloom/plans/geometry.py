@@ -57,8 +57,10 @@ def columns(inside: DataFrame, options: Options = Options()) -> DataFrame:
     limits = inside.groupBy("doc_id").agg((F.lit(options.run_gap_glyphs) * glyph).alias("limit"))
     at = rows.select("doc_id", "band", "text", "x", "right", "center_y", "ord").join(anchors, "doc_id").join(limits, "doc_id")
     row = ["doc_id", "colon_x", "band"]
-    marked = F.bool_or(F.col("text").startswith(":") & (F.abs(F.col("x") - F.col("colon_x")) <= tol)).over(W.partitionBy(*row))
-    left = at.withColumn("_marked", marked).where(F.col("_marked") & (F.col("right") <= F.col("colon_x") + 2))
+    # Only colons on the anchor and what lies left of it count, so other tokens do not reach the window.
+    is_colon, is_left = F.col("text").startswith(":") & (F.abs(F.col("x") - F.col("colon_x")) <= tol), F.col("right") <= F.col("colon_x") + 2
+    at = at.where(is_colon | is_left).withColumn("_marked", F.bool_or(is_colon).over(W.partitionBy(*row)))
+    left = at.where(F.col("_marked") & is_left)
     run = walk_back(left, row, [F.desc("x"), F.desc("center_y"), F.desc("ord")], "x", "right", F.col("limit"))
     starts = run.groupBy(*row).agg(F.min("x").alias("start"))
     lefts = starts.groupBy("doc_id", "colon_x").agg(median("start").cast("int").alias("label_left"))
