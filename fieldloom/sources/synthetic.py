@@ -73,41 +73,49 @@ def from_table(rows: DataFrame, key: str = "c_custkey", varied: bool = False) ->
     header, 7 a number in words, 8 no colons, 9 a decimal comma and a gross weight below the net one."""
     from pyspark.sql import functions as F
 
-    k = F.col(key)
-    odd = lambda n: (k % 10 == n) if varied else F.lit(False)
-    pick = lambda usual, *others: F.coalesce(*(F.when(odd(n), F.lit(v)) for n, v in others), usual if not isinstance(usual, str) else F.lit(usual))
-    axles, width = (k % 12 + 1).cast("string"), F.format_string("%d.%02d", (k % 9 + 1).cast("int"), (k % 97).cast("int"))
-    changed = {
-        "N° Ejes": pick(axles, (5, "0"), (7, "muchos")), "Ancho": width, "N° Partida": F.lpad(k.cast("string"), 8, "0"),
-        "Peso Neto": pick("2.89", (2, "##########"), (9, "2,89")), "Peso Bruto": pick("4.6", (9, "1.5")),
-    }
-    low = F.when(odd(2), 0.0).otherwise(CONFIDENCE)
-    each: list[tuple] = []
-
-    def add(text, x: int, y: int, shown, confidence=CONFIDENCE) -> None:
-        each.append((F.when(shown, text if not isinstance(text, str) else F.lit(text)), x, y, confidence))
+    every = (1 << 10) - 1
+    without = lambda *digits: every - sum(1 << n for n in digits)
+    each: list[tuple] = []  # text, x, y, confidence, and a bit for each last digit of the keys whose pages have it
+
+    def add(text: str, x: int, y: int, pages: int = every, confidence: float | None = CONFIDENCE) -> None:
+        each.append((text, x, y, confidence, pages))
 
+    others = {"N° Ejes": {5: "0", 7: "muchos"}, "Peso Neto": {2: "##########", 9: "2,89"}, "Peso Bruto": {9: "1.5"}}
+    from_row = {"N° Ejes": "{axles}", "Ancho": "{width}", "N° Partida": "{entry}"}
     for word, x, y in (("Características", 82, 1071), ("del", 300, 1071), ("Vehículo", 360, 1071), ("NO", 1100, 1920), ("REGISTRA", 1150, 1920), ("AFECTACIONES", 1300, 1920)):
-        add(word, x, y, ~odd(6))
+        add(word, x, y, without(6))
     for c, column in enumerate(base()):
         for r, (label, value) in enumerate(column):
-            y, x, there = FIRST_ROW + PITCH * r, LABEL_LEFT[c], ~odd(3) if label == "Ancho" else F.lit(True)
+            y, x, there = FIRST_ROW + PITCH * r, LABEL_LEFT[c], without(3) if label == "Ancho" else every
             covered, fused = label == "N° Asientos", label in ("N° Ejes", "N° Ruedas")
             for word in label.split():
-                add(word, x, y, there & ~odd(4) if covered else there)
+                add(word, x, y, there & without(4) if covered else there)
                 x += (len(word) + 1) * GLYPH
             if covered:
                 cover = "AMARWNiABientos"
-                add(cover, LABEL_LEFT[c] + int((COLON[c] - LABEL_LEFT[c]) * 0.75) - len(cover) * GLYPH, y, odd(4), 17.0)
-            add(":", COLON[c], y, there & ~odd(8) & (~odd(1) if fused else F.lit(True)), None)
+                add(cover, LABEL_LEFT[c] + int((COLON[c] - LABEL_LEFT[c]) * 0.75) - len(cover) * GLYPH, y, 1 << 4, 17.0)
+            add(":", COLON[c], y, there & without(8) & (without(1) if fused else every), None)
+            usual = from_row.get(label, value)
             if fused:
-                add(F.concat(F.lit("2"), changed.get(label, F.lit(value))), COLON[c], y, odd(1))
+                add("2" + usual, COLON[c], y, 1 << 1)
+                there &= without(1)
+            for digit, text in others.get(label, {}).items():
+                add(text, VALUE_LEFT[c], y, 1 << digit, 0.0 if digit == 2 else CONFIDENCE)
             x = VALUE_LEFT[c]
-            for word in value.split():
-                add(changed.get(label, word), x, y, there & (~odd(1) if fused else F.lit(True)), low if label == "Peso Neto" else CONFIDENCE)
+            for word in usual.split():
+                add(word, x, y, there & without(*others.get(label, {})))
                 x += (len(word) + 1) * GLYPH
-    structs = [F.struct(F.lit(n).alias("ord"), t.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"), (conf if conf is low else F.lit(conf)).cast("double").alias("confidence")) for n, (t, x, y, conf) in enumerate(each)]
-    doc = k.cast("string").alias("doc_id")
-    tokens = rows.select(doc, F.inline(F.array(*structs))).where("text is not null")
-    tokens = tokens.select("doc_id", F.lit(1).alias("page"), F.lit("ocr").alias("source_kind"), "ord", "text", "x", "y", F.greatest(F.lit(4), F.length("text") * GLYPH).alias("width"), F.lit(TALL).alias("height"), "confidence")
+    # The template is one constant; only the words in braces depend on the row.
+    template = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(t).alias("template"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(conf).cast("double").alias("confidence"), F.lit(pages).alias("pages")) for n, (t, x, y, conf, pages) in enumerate(each)])
+    k = F.col(key)
+    tokens = rows.select(k.cast("string").alias("doc_id"), k.alias("_key"), F.inline(template))
+    if varied:
+        tokens = tokens.where("(pages & shiftleft(1, cast(_key % 10 as int))) <> 0")
+    else:
+        tokens = tokens.where("(pages & 1) <> 0")
+    k, text = F.col("_key"), F.col("template")
+    width = F.format_string("%d.%02d", (k % 9 + 1).cast("int"), (k % 97).cast("int"))
+    text = F.when(text == "{axles}", (k % 12 + 1).cast("string")).when(text == "2{axles}", F.concat(F.lit("2"), (k % 12 + 1).cast("string"))).when(text == "{width}", width).when(text == "{entry}", F.lpad(k.cast("string"), 8, "0")).otherwise(text)
+    tokens = tokens.withColumn("text", text).select("doc_id", F.lit(1).alias("page"), F.lit("ocr").alias("source_kind"), "ord", "text", "x", "y", F.greatest(F.lit(4), F.length("text") * GLYPH).alias("width"), F.lit(TALL).alias("height"), "confidence")
+    doc = F.col(key).cast("string").alias("doc_id")
     return tokens, rows.select(doc, F.lit(1).alias("page"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
