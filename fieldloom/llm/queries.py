@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators over their whole tables, and the SQL that gives the same rows."""
+"""The thin queries of the operators over their whole tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, langid, lattice, media, neardup, packing, secrets, substrings, warc
+from . import bpe, counts, infill, langid, lattice, media, neardup, packing, quality, secrets, substrings, variants, warc
 from .common import written
 
 path = public_tokenizers.path
@@ -93,8 +93,28 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.linked(table(spark, sf_dir, "embeddings"))
 
 
+def op11_nearest_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.word_counts(table(spark, sf_dir, "documents"), change=variants.thinned(97)))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    shas = [F.sha2(c.cast("binary"), 256).alias(name) for name, c in (("output_sha256", F.col("output")), ("restored_sha256", back))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *shas)
+
+
 def queries() -> dict:
-    ops = op1_byte_bpe, op2_order_minhash, op3_substring_dedup, op4_language_id, op5_secret_scans, op6_audio_fingerprints, op7_best_fit_packing, op8_token_counts, op9_merkle_fixity, op10_lattice
+    ops = (
+        op1_byte_bpe, op2_order_minhash, op3_substring_dedup, op4_language_id, op5_secret_scans, op6_audio_fingerprints, op7_best_fit_packing, op8_token_counts, op9_merkle_fixity,
+        op10_lattice, op11_nearest_votes, op12_spelling_variants, op13_fill_in_middle,
+    )
     return {f.__name__: f for f in ops}
 
 
@@ -157,5 +177,43 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, c = vec_id
 FROM v JOIN lows ON lows.node = vec_id LEFT JOIN degrees ON degrees.a = vec_id"""
 
 
+#: crc32 byte by byte from a table of its 256 values, which the rule of its polynomial gives.
+_VARIANTS = r"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS crc FROM (SELECT unnest(range(256)) AS b)),
+runs AS MATERIALIZED (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c // 256, t.crc[1 + xor(c % 256, b)])), 4294967295) AS h FROM bytes, t),
+w AS MATERIALIZED (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+stars AS (SELECT word, n, k, substr(word, 1, k - 1) || '*' || substr(word, k + 1) AS key FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM w)),
+fewer AS (SELECT DISTINCT word, n, replace(key, '*', '') AS key FROM stars),
+links AS MATERIALIZED (
+  SELECT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM stars a JOIN stars b ON a.key = b.key AND a.word <> b.word
+  UNION ALL SELECT f.word, f.n, w.word, w.n FROM fewer f JOIN w ON f.key = w.word
+  UNION ALL SELECT w.word, w.n, f.word, f.n FROM fewer f JOIN w ON f.key = w.word),
+best AS (SELECT a, count(*) AS n_near FROM links GROUP BY a),
+forms AS MATERIALIZED (SELECT a, b, bn FROM links QUALIFY row_number() OVER (PARTITION BY a ORDER BY bn DESC, encode(b)) = 1 AND bn >= 2 * an),
+chain AS (SELECT word AS start, word AS low FROM w UNION ALL SELECT chain.start, forms.b FROM chain JOIN forms ON forms.a = chain.low),
+ends AS (SELECT start, low AS root FROM chain WHERE NOT EXISTS (SELECT 1 FROM forms WHERE forms.a = chain.low))
+SELECT w.word, forms.b AS form, root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, bn AS form_n
+FROM w LEFT JOIN best ON best.a = w.word LEFT JOIN forms ON forms.a = w.word JOIN ends ON ends.start = w.word"""
+
+_INFILL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, len(u)::BIGINT AS n, ('0x' || x[1:8])::BIGINT % (len(u) + 1) AS h1, ('0x' || x[9:16])::BIGINT % (len(u) + 1) AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, CASE WHEN text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, array_to_string(u[1 : least(h1, h2)], '') AS p, array_to_string(u[least(h1, h2) + 1 : greatest(h1, h2)], '') AS m, array_to_string(u[greatest(h1, h2) + 1 :], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _SUBSTRINGS, "op5_secret_scans": _SECRETS, "op9_merkle_fixity": _WARC, "op10_lattice": _VECTORS}
+    return {"op12_spelling_variants": _VARIANTS, "op13_fill_in_middle": _INFILL, "op3_substring_dedup": _SUBSTRINGS, "op5_secret_scans": _SECRETS, "op9_merkle_fixity": _WARC, "op10_lattice": _VECTORS}
