@@ -111,7 +111,8 @@ def drive_id(s: Column) -> Column:
 
 
 def file_stem(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?<=[^.])\.[^.]*\z", "")
+    """A path without the extension of its last part; leading dots of that part begin none."""
+    return F.regexp_replace(s, r"([^/.][^/]*)\.[^/.]*\z", "$1")
 
 
 def redact(entries: Column, names: list[str]) -> Column:

@@ -6,9 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import stored
 from .windows import first_by
 
 
+#: A key is frequent if it stands on more than one row in so many, and on more than FEW rows: fewer than so many keys are.
+FREQUENT, FEW = 1000, 1000
+
+
+def dealt_pairs(left: DataFrame, right: DataFrame, key: str, few: int = FEW) -> DataFrame:
+    """The inner join of two tables that may both have many rows of one key. The rows of a frequent key are dealt over
+    shares on their own side and copied to the other side's shares, so its pairs are spread over a grid of tasks. Only the
+    frequent keys are broadcast: fewer than twice FREQUENT, whatever the input."""
+    left, right = stored(left, "left"), stored(right, "right")
+    counted = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    most = [max(few, df.count() // FREQUENT) for df in (left, right)]
+    hot = counted(left, "_n").join(counted(right, "_m"), key).where((F.col("_n") > most[0]) | (F.col("_m") > most[1]))
+    hot = hot.select(key, F.ceil(F.col("_n") / most[0]).cast("int").alias("_rows"), F.ceil(F.col("_m") / most[1]).cast("int").alias("_cols")).collect()
+    if not hot:
+        return left.join(right, key)
+    grid = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(key, F.lit(0).alias("_rows"), F.lit(0).alias("_cols")).schema))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        shares = lambda c: F.coalesce(F.col(c), F.lit(1))
+        at = F.pmod(F.xxhash64(*df.columns), shares(own)).cast("int")
+        return df.join(grid, key, "left").withColumns({f"{own}_at": at, f"{other}_at": F.explode(F.sequence(F.lit(0), shares(other) - 1))}).select(*df.columns, "_rows_at", "_cols_at")
+
+    return dealt(left, "_rows", "_cols").join(dealt(right, "_cols", "_rows"), [key, "_rows_at", "_cols_at"]).drop("_rows_at", "_cols_at")
+
+
 def interval_overlap(left: DataFrame, right: DataFrame, keys: list[str], begin: str, end: str, low: str, high: str) -> DataFrame:
     """Pairs with equal keys whose intervals [begin, end] and [low, high) meet; many to many."""
     return left.join(right, keys).where((F.col(end) >= F.col(low)) & (F.col(begin) < F.col(high)))
@@ -22,6 +48,70 @@ def contained(points: DataFrame, boxes: DataFrame, keys: list[str], axes: list[t
     return points.join(boxes, keys).where(inside)
 
 
+#: The size of the smallest tiles: shorter intervals are as long to the index.
+SMALLEST = 2.0**-20
+
+
+def _level(length: Column) -> Column:
+    """The power of two from which tiles are at least as long, so that an interval reaches into two of them at most."""
+    return F.ceil(F.log2(F.greatest(length, F.lit(SMALLEST))) + 1e-9).cast("int")
+
+
+def _tile(at: Column, level: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), level))
+
+
+def _levels(df: DataFrame, names: list[str]) -> list:
+    """The levels that there are: a few dozen on each axis, however many rows."""
+    return df.select(*names).distinct().collect()
+
+
+def tiled_pairs(left: DataFrame, right: DataFrame, keys: list[str], begin: str, end: str, low: str, high: str) -> DataFrame:
+    """The pairs that tiled_overlap tries: those that share a tile, each in one tile only."""
+    left = left.where((F.col(begin) <= F.col(end)) & F.col(begin).isNotNull()).withColumn("_l", _level(F.col(end) - F.col(begin)))
+    right = right.where((F.col(low) <= F.col(high)) & F.col(low).isNotNull()).withColumn("_r", _level(F.col(high) - F.col(low)))
+    mine, theirs = ([x[0] for x in _levels(df, [c])] for df, c in ((left, "_l"), (right, "_r")))
+    levels = lambda found: F.array(*map(F.lit, found)).cast("array<int>")
+
+    def tiled(df: DataFrame, own: str, other: str, others: list[int], a: str, b: str) -> DataFrame:
+        # Under each level of the other side, the tiles of the larger of both levels.
+        df = df.withColumn(other, F.explode(levels(others)))
+        level = F.greatest("_l", "_r")
+        return df.withColumn("_t", F.explode(F.sequence(_tile(F.col(a), level), _tile(F.col(b), level))))
+
+    met = tiled(left, "_l", "_r", theirs, begin, end).join(tiled(right, "_r", "_l", mine, low, high), [*keys, "_l", "_r", "_t"])
+    first = _tile(F.greatest(begin, low), F.greatest("_l", "_r"))
+    return met.where(F.col("_t") == first).drop("_l", "_r", "_t")
+
+
+def tiled_overlap(left: DataFrame, right: DataFrame, keys: list[str], begin: str, end: str, low: str, high: str) -> DataFrame:
+    """interval_overlap for few keys with many intervals, of finite numbers, by an index of tiles. A tile is a power of two
+    long, at least as long as the intervals of its level, so each interval stands in two tiles at most for each level of the
+    other side, and long intervals do not fill many small tiles. A pair is taken from the tile in which the later of the
+    two begins. Intervals that end before they begin meet nothing."""
+    met = tiled_pairs(left, right, keys, begin, end, low, high)
+    found = met.where((F.col(end) >= F.col(low)) & (F.col(begin) < F.col(high)))
+    return found.select(*left.columns, *(c for c in right.columns if c not in keys))
+
+
+def tiled_contained(points: DataFrame, boxes: DataFrame, keys: list[str], axes: list[tuple[str, str, str]]) -> DataFrame:
+    """contained for few keys with many boxes, of finite numbers, by a grid of tiles: a box stands in two tiles at most on
+    each axis, of a size of its own, and a point in one tile for each size that there is, so each pair meets once."""
+    whole = F.lit(True)
+    for _, low, high in axes:
+        whole = whole & F.coalesce(F.col(low) <= F.col(high), F.lit(False))
+    sizes = [f"_l{i}" for i in range(len(axes))]
+    tiles = [f"_t{i}" for i in range(len(axes))]
+    found = boxes.where(whole).withColumns({s: _level(F.col(high) - F.col(low)) for s, (_, low, high) in zip(sizes, axes)})
+    levels = [F.struct(*(F.lit(x[s]).alias(s) for s in sizes)) for x in _levels(found, sizes)]
+    if not levels:
+        return points.join(boxes.limit(0), keys)
+    for s, t, (_, low, high) in zip(sizes, tiles, axes):
+        found = found.withColumn(t, F.explode(F.sequence(_tile(F.col(low), F.col(s)), _tile(F.col(high), F.col(s)))))
+    at = points.select("*", F.inline(F.array(*levels))).withColumns({t: _tile(F.col(value), F.col(s)) for s, t, (value, _, _) in zip(sizes, tiles, axes)})
+    return contained(at, found, [*keys, *sizes, *tiles], axes).select(*points.columns, *(c for c in boxes.columns if c not in keys))
+
+
 def within_tolerance(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tolerance: Column) -> DataFrame:
     """Rows of left with a partner of equal keys at most the tolerance away."""
     r = right.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(b).alias("_b"))

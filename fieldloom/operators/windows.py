@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 
 def gap_islands(df: DataFrame, keys: list[str], value: str, order: list[str], tolerance: Column, name: str, inclusive: bool = True) -> DataFrame:
     """df with `name`: the number from 0 of the run a row is in, along `value`. A gap to the row before that exceeds the
@@ -54,7 +56,46 @@ def consecutive(df: DataFrame, keys: list[str], order: list[str], value: str, n:
     return df.withColumn(name, F.array(F.col(value), *(F.lead(value, k).over(w) for k in range(1, n))))
 
 
-def neighbours(values: Column) -> Column:
-    """Of an array, the pairs (a, b) of values that follow one another, without a shuffle of its values."""
-    after = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-    return F.slice(F.arrays_zip(values.alias("a"), after.alias("b")), F.lit(1), F.greatest(F.size(values) - 1, F.lit(0)))
+def neighbours(df: DataFrame, values: str, a: str, b: str) -> DataFrame:
+    """The pairs (a, b) of values of an array column that follow one another, without a shuffle of its values: each value is
+    read with the one at the next place."""
+    at = df.select(F.col(values).alias("_values"), F.posexplode(values).alias("_at", a))
+    return at.where(F.col("_at") < F.size("_values") - 1).select(a, F.get("_values", F.col("_at") + 1).alias(b))
+
+
+def _ranged(df: DataFrame, keys: list[str], order: list[Column | str], carried: Column, opens: Column, name: str, ranges: int | None) -> DataFrame:
+    """df with `name`: how many rows of the group, up to this one in `order`, open a run. `opens` compares a row with `_before`,
+    the carried value of the row before it.
+
+    Rows are sorted into ranges of (keys, order), so that a very large group is spread over many tasks. Each range counts
+    its own openings, apart from its first row, which needs the range before; a scan over one summary row a range settles
+    these and adds up what lies before. Summaries are as many as groups and ranges together."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.withColumn("_carried", carried).repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id())
+    spread = stored(spread, "ranges")
+    within = W.partitionBy(*keys, "_range").orderBy(*order)
+    some = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    rows = spread.withColumns({"_before": F.lag("_carried").over(within), "_first": F.row_number().over(within) == 1}).withColumn("_opens", some(opens & ~F.col("_first")))
+    whole = within.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    summary = rows.withColumns({"_last": F.last("_carried").over(whole), "_count": F.sum("_opens").over(whole)}).where("_first").drop("_before", "_carried", "_opens")
+    summary = stored(summary, "summaries")
+    along = W.partitionBy(*keys).orderBy("_range")
+    summary = summary.withColumn("_before", F.lag("_last").over(along)).withColumn("_opens", some(opens & F.col("_before").isNotNull()))
+    summary = summary.withColumn("_base", F.sum(F.col("_opens") + F.col("_count")).over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("_count"))
+    base = summary.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), "_base")
+    counted = rows.withColumn("_own", F.sum("_opens").over(within.rowsBetween(W.unboundedPreceding, 0)))
+    here = counted["_range"] == base["_r"]
+    for i, k in enumerate(keys):
+        here = here & counted[k].eqNullSafe(base[f"_k{i}"])
+    return counted.join(base, here).select(*(counted[c] for c in df.columns), (F.col("_base") + F.col("_own")).alias(name))
+
+
+def ranged_islands(df: DataFrame, keys: list[str], value: str, order: list[str], tolerance: Column, name: str, inclusive: bool = True, ranges: int | None = None) -> DataFrame:
+    """gap_islands for groups that are too large for one task; the order has to begin with the value."""
+    gap = F.col(value) - F.col("_before")
+    return _ranged(df, keys, order, F.col(value), (gap > tolerance) if inclusive else (gap >= tolerance), name, ranges)
+
+
+def ranged_walk_back(df: DataFrame, keys: list[str], order: list[Column], begin: str, end: str, limit: Column, ranges: int | None = None) -> DataFrame:
+    """walk_back for groups that are too large for one task."""
+    return _ranged(df, keys, order, F.col(begin), F.col("_before") - F.col(end) > limit, "_broken", ranges).where("_broken = 0").drop("_broken")

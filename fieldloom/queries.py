@@ -93,9 +93,13 @@ def url_id_extract(t):
     return t("pages").select("page_id", X.drive_id(link).alias("file_id"))
 
 
-@query("SELECT page_id, regexp_replace(url, '([^.])[.][^.]*$', '\\1') AS stem FROM pages")
+@query("""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '.tar.gz' WHEN 2 THEN url || '/..hidden' ELSE url || '/a..b' END AS url FROM pages),
+b AS (SELECT page_id, url, regexp_extract(url, '[^/]*$') AS part FROM p)
+SELECT page_id, CASE WHEN contains(ltrim(part, '.'), '.') THEN left(url, length(url) - 1 - length(string_split(part, '.')[-1])) ELSE url END AS stem FROM b""")
 def url_stem(t):
-    return t("pages").select("page_id", X.file_stem(F.col("url")).alias("stem"))
+    k = F.col("page_id") % 4
+    path = F.when(k == 0, F.col("url")).when(k == 1, F.concat("url", F.lit(".tar.gz"))).when(k == 2, F.concat("url", F.lit("/..hidden"))).otherwise(F.concat("url", F.lit("/a..b")))
+    return t("pages").select("page_id", X.file_stem(path).alias("stem"))
 
 
 @query("""WITH a AS (SELECT user_id, event_id, epoch(ts) AS s FROM events),
@@ -107,6 +111,28 @@ def event_islands(t):
     return O.gap_islands(e, ["user_id"], "s", ["s", "event_id"], F.lit(21600.0), "island").groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
 
 
+@query("""WITH a AS (SELECT event_id, epoch(ts) AS s FROM events),
+b AS (SELECT *, CASE WHEN s - lag(s) OVER w > 600 THEN 1 ELSE 0 END AS o FROM a WINDOW w AS (ORDER BY s, event_id)),
+c AS (SELECT *, sum(o) OVER (ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS island FROM b)
+SELECT island::BIGINT AS island, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event FROM c GROUP BY 1""")
+def event_islands_one_key(t):
+    """The islands of all events as one group, which are found in ranges of time."""
+    e = t("events").select(F.lit("all").alias("k"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
+    found = O.ranged_islands(e, ["k"], "s", ["s", "event_id"], F.lit(600.0), "island")
+    return found.groupBy("island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+
+
+@query("""WITH a AS (SELECT o_orderstatus, o_orderkey, o_totalprice AS p FROM orders),
+b AS (SELECT *, CASE WHEN lag(p) OVER w - p > 150 THEN 1 ELSE 0 END AS k FROM a WINDOW w AS (PARTITION BY o_orderstatus ORDER BY p DESC, o_orderkey DESC)),
+c AS (SELECT *, sum(k) OVER (PARTITION BY o_orderstatus ORDER BY p DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS broken FROM b)
+SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS low, max(p) AS most FROM c WHERE broken = 0 GROUP BY 1""")
+def run_walk_few_keys(t):
+    """The run of the dearest orders of each of three states, down to the first gap in price."""
+    o = t("orders").select("o_orderstatus", "o_orderkey", F.col("o_totalprice").alias("p"))
+    run = O.ranged_walk_back(o, ["o_orderstatus"], [F.desc("p"), F.desc("o_orderkey")], "p", "p", F.lit(150.0))
+    return run.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.max("p").alias("most"))
+
+
 @query("""WITH b AS (SELECT c_nationkey, c_acctbal, CASE WHEN c_acctbal - lag(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) > 25.0 THEN 1 ELSE 0 END AS o FROM customer),
 c AS (SELECT *, sum(o) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal ROWS UNBOUNDED PRECEDING) AS cluster FROM b)
 SELECT c_nationkey, cluster::BIGINT AS cluster, min(c_acctbal) AS first, max(c_acctbal) AS last, count(*) AS size FROM c GROUP BY 1, 2 HAVING count(*) >= 3""")
@@ -154,8 +180,15 @@ def prefix_label_match(t):
 p AS (SELECT w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM w)
 SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20""")
 def token_ngrams(t):
-    p = t("documents").select(F.inline(O.neighbours(F.split("text", " "))).alias("a", "b"))
-    return p.groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 20")
+    """The frequent pairs: those that occur 20 times or more."""
+    return token_pairs(t).where("n >= 20")
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+p AS (SELECT w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM w) SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY 1, 2""")
+def token_pairs(t):
+    """All pairs of words that follow one another, with how often they do."""
+    return O.neighbours(t("documents").select(F.split("text", " ").alias("w")), "w", "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 BANDS = "(VALUES ('F', 0, 40000), ('F', 30000, 90000), ('O', 0, 60000), ('O', 50000, 250000), ('P', 0, 1000000))"
@@ -174,6 +207,27 @@ def overlap_join(t):
     return j.groupBy("o_orderstatus", "low", "high").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+@query("""WITH i AS (SELECT l_linenumber, CASE l_returnflag WHEN 'A' THEN 'F' WHEN 'N' THEN 'O' ELSE 'P' END AS o_orderstatus, l_extendedprice * 4 AS low, l_extendedprice * 4 + l_quantity AS high FROM lineitem)
+SELECT o_orderkey, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM orders JOIN i USING (o_orderstatus) WHERE o_totalprice + 20 >= low AND o_totalprice < high GROUP BY 1""")
+def tiled_overlap_join(t):
+    """Orders as intervals of price against all intervals of the line items with one of three states."""
+    o = t("orders").select("o_orderstatus", "o_orderkey", F.col("o_totalprice").alias("begin"), (F.col("o_totalprice") + 20).alias("end"))
+    state = F.when(F.col("l_returnflag") == "A", "F").when(F.col("l_returnflag") == "N", "O").otherwise("P")
+    i = t("lineitem").select(state.alias("o_orderstatus"), "l_linenumber", (F.col("l_extendedprice") * 4).alias("low"), (F.col("l_extendedprice") * 4 + F.col("l_quantity")).alias("high"))
+    return J.tiled_overlap(o, i, ["o_orderstatus"], "begin", "end", "low", "high").groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
+@query("""WITH b AS (SELECT event_type, event_id AS box, epoch(ts) - 900 * (event_id % 5) AS x0, epoch(ts) + 900 * (event_id % 5) AS x1, value - 2 AS y0, value + 2 AS y1 FROM events)
+SELECT event_id, count(*) AS n, sum(box)::BIGINT AS boxes FROM events JOIN b USING (event_type) WHERE epoch(ts) BETWEEN x0 AND x1 AND value BETWEEN y0 AND y1 GROUP BY 1""")
+def tiled_box_join(t):
+    """Events as points of time and value against boxes around all events of their type."""
+    e = t("events").select("event_type", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), "value")
+    reach = 900 * (F.col("event_id") % 5)
+    b = e.select("event_type", F.col("event_id").alias("box"), (F.col("s") - reach).alias("x0"), (F.col("s") + reach).alias("x1"), (F.col("value") - 2).alias("y0"), (F.col("value") + 2).alias("y1"))
+    found = J.tiled_contained(e, b, ["event_type"], [("s", "x0", "x1"), ("value", "y0", "y1")])
+    return found.groupBy("event_id").agg(F.count("*").alias("n"), F.sum("box").alias("boxes"))
+
+
 @query("""WITH b AS (SELECT user_id, min(ts) + INTERVAL 1 DAY AS low, min(ts) + INTERVAL 15 DAY AS high, 10.0 AS least, 60.0 AS most FROM events GROUP BY 1)
 SELECT event_id, user_id FROM events JOIN b USING (user_id) WHERE ts BETWEEN low AND high AND value BETWEEN least AND most""")
 def containment_join(t):
@@ -229,6 +283,13 @@ def median_by_group(t):
     return t("lineitem").groupBy("l_returnflag").agg(A.median("l_quantity").alias("m"), unit.alias("unit"))
 
 
+@query("SELECT l_returnflag, median(l_extendedprice) AS price, median(l_quantity) AS quantity FROM lineitem GROUP BY 1")
+def median_large_groups(t):
+    """Exact medians of three groups that hold all line items, by histograms."""
+    price, quantity = (A.exact_medians(t("lineitem"), ["l_returnflag"], c, name) for c, name in (("l_extendedprice", "price"), ("l_quantity", "quantity")))
+    return price.join(quantity, "l_returnflag")
+
+
 @query("SELECT user_id, round(avg(CASE WHEN value >= 20 THEN value END), 6) AS conf FROM events GROUP BY 1")
 def avg_nonnull_conf(t):
     return t("events").groupBy("user_id").agg(F.round(F.avg(F.when(F.col("value") >= 20, F.col("value"))), 6).alias("conf"))
@@ -308,64 +369,94 @@ def fuzzy_ratio(t):
     return c.where(may_reach(F.col("a"), F.col("b"), 0.85)).select("c_custkey", ratio("a", "b").alias("ratio"), plates_match(F.col("a"), F.col("b")).alias("same"))
 
 
-@query("""SELECT c_custkey::VARCHAR AS doc_id, '4' AS "NUM_CILINDROS", '2.89' AS "PESO_NETO", '4.6' AS "PESO_BRUTO", '20' AS "NUM_ASIENTOS", '19' AS "NUM_PASAJEROS",
-(c_custkey % 12 + 1)::VARCHAR AS "NUM_EJES", '6' AS "NUM_RUEDAS", '6.99' AS "LONGITUD", (c_custkey % 9 + 1) || '.' || lpad((c_custkey % 97)::VARCHAR, 2, '0') AS "ANCHO",
-'2.76' AS "ALTURA", lpad(c_custkey::VARCHAR, 8, '0') AS "NUM_PARTIDA", 'Transporte interprovincial' AS "TIPO_USO" FROM customer""")
+#: Of two texts x and y, the longest common substring, the first of several: its length and its places, negated.
+LONGEST = """list_max(flatten(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(y) + 1), lambda j: list_transform(range(1, least(length(x) - i, length(y) - j) + 2),
+  lambda k: CASE WHEN substr(x, i, k) = substr(y, j, k) THEN [k, -i, -j] ELSE [0, 0, 0] END))))))"""
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT c_custkey, translate(upper(substr(md5(c_custkey::VARCHAR), 1, 6)), 'ODQILSZB', '00011528') AS a FROM customer),
+g AS (SELECT s_suppkey, upper(substr(md5((s_suppkey * 11)::VARCHAR), 1, 6)) AS w FROM supplier),
+h AS (SELECT s_suppkey, translate(CASE s_suppkey % 6 WHEN 1 THEN w[1:2] || w[4:6] WHEN 2 THEN w[1:2] || 'X' || w[3:6] WHEN 3 THEN w[1:3] || 'Y' || w[5:6] WHEN 4 THEN w || w[6] || 'T' WHEN 5 THEN replace(w, '0', 'O') ELSE w END, 'ODQILSZB', '00011528') AS b FROM g),
+p AS MATERIALIZED (SELECT c_custkey, s_suppkey, a, b FROM f, h WHERE levenshtein(a, b) <= 0.15 * (length(a) + length(b))),
+r AS (SELECT c_custkey, s_suppkey, 1 AS way, a AS x, b AS y FROM p UNION ALL SELECT c_custkey, s_suppkey, 2, b, a FROM p
+  UNION ALL SELECT c_custkey, s_suppkey, way, unnest([substr(x, 1, -q[2] - 1), substr(x, q[1] - q[2])]), unnest([substr(y, 1, -q[3] - 1), substr(y, q[1] - q[3])])
+  FROM (SELECT *, {LONGEST} AS q FROM r WHERE x <> '' AND y <> '') WHERE q[1] > 0),
+s AS (SELECT c_custkey, s_suppkey, sum(CASE WHEN way = 1 THEN q[1] END) AS m1, sum(CASE WHEN way = 2 THEN q[1] END) AS m2 FROM (SELECT *, CASE WHEN x <> '' AND y <> '' THEN {LONGEST} END AS q FROM r) GROUP BY ALL)
+SELECT c_custkey, s_suppkey, 2.0 * m1 / (length(a) + length(b)) AS forth, 2.0 * m2 / (length(a) + length(b)) AS back FROM s JOIN p USING (c_custkey, s_suppkey) WHERE greatest(m1, m2) * 2.0 >= 0.85 * (length(a) + length(b))""")
+def plate_search(t):
+    """All plates of one table that are near plates of another, some of them read with a glyph lost, added or changed."""
+    from .operators.similar import similar_pairs
+
+    w = F.upper(F.substring(F.md5((F.col("s_suppkey") * 11).cast("string").cast("binary")), 1, 6))
+    part = lambda i, n: F.substring(w, i, n)
+    n = F.col("s_suppkey") % 6
+    noisy = F.when(n == 1, F.concat(part(1, 2), part(4, 3))).when(n == 2, F.concat(part(1, 2), F.lit("X"), part(3, 4))).when(n == 3, F.concat(part(1, 3), F.lit("Y"), part(5, 2)))
+    noisy = noisy.when(n == 4, F.concat(w, part(6, 1), F.lit("T"))).when(n == 5, F.replace(w, F.lit("0"), F.lit("O"))).otherwise(w)
+    known = t("customer").select("c_custkey", X.plate_confusables(F.substring(F.md5(F.col("c_custkey").cast("string").cast("binary")), 1, 6)).alias("a"))
+    read = t("supplier").select("s_suppkey", X.plate_confusables(noisy).alias("b"))
+    found = similar_pairs(known, read, "a", "b")
+    return found.join(known, "a").join(read, "b").select("c_custkey", "s_suppkey", "forth", "back")
+
+
+#: The value of each field of a form, by the rule of its key k.
+FORM_VALUES = {
+    "NUM_CILINDROS": "(k % 8 + 3)::VARCHAR", "PESO_NETO": "(k % 20 + 1) || '.' || (k % 9 + 1)", "PESO_BRUTO": "(k % 20 + 21) || '.' || (k % 9 + 1)", "NUM_ASIENTOS": "(k % 60 + 2)::VARCHAR",
+    "NUM_PASAJEROS": "(k % 60 + 1)::VARCHAR", "NUM_EJES": "(k % 5 + 2)::VARCHAR", "NUM_RUEDAS": "(2 * (k % 5 + 2))::VARCHAR", "LONGITUD": "(k % 7 + 4) || '.' || (k % 80 + 10)",
+    "ANCHO": "(k % 3 + 1) || '.' || (k % 70 + 20)", "ALTURA": "(k % 4 + 1) || '.' || (k % 60 + 30)", "NUM_PARTIDA": "'E' || lpad(k::VARCHAR, 7, '0')",
+    "TIPO_USO": "['Reparto local', 'Servicio escolar', 'Carga regional'][k % 3 + 1]",
+}
+
+
+@query("SELECT k::VARCHAR AS doc_id, " + ", ".join(f'{v} AS "{n}"' for n, v in FORM_VALUES.items()) + " FROM (SELECT c_custkey AS k FROM customer)")
 def document_fields(t):
-    """The extraction plan over one synthetic page for each customer, with values of the row in its cells."""
+    """The extraction plan over one synthetic form for each customer, with values of the row's key in its cells."""
     from .plans.extract import extract, values
-    from .sources.synthetic import from_table
+    from .sources.synthetic import plain_forms
 
-    tokens, pages = from_table(t("customer"))
-    return values(extract(tokens, pages).results)
+    return values(extract(*plain_forms(t("customer"), "c_custkey")).results)
 
 
-FIELD_BASE = """d AS (SELECT s_suppkey AS k, s_suppkey % 10 AS odd FROM supplier),
-base(ord, field, usual) AS (VALUES (0, 'NUM_CILINDROS', '4'), (1, 'PESO_NETO', '2.89'), (2, 'PESO_BRUTO', '4.6'), (3, 'NUM_ASIENTOS', '20'), (4, 'NUM_PASAJEROS', '19'), (5, 'NUM_EJES', NULL),
-  (6, 'NUM_RUEDAS', '6'), (7, 'LONGITUD', '6.99'), (8, 'ANCHO', NULL), (9, 'ALTURA', '2.76'), (10, 'NUM_PARTIDA', NULL), (11, 'TIPO_USO', 'Transporte interprovincial')),
+FIELD_BASE = f"""d AS (SELECT s_suppkey AS k, s_suppkey % 10 AS odd FROM supplier),
+base AS ({" UNION ALL ".join(f"SELECT k, odd, {n} AS ord, '{f}' AS field, {v} AS usual FROM d" for n, (f, v) in enumerate(FORM_VALUES.items()))}),
 f AS (SELECT k, odd, ord, field,
-  CASE WHEN field = 'NUM_EJES' AND odd = 7 OR field = 'PESO_NETO' AND odd = 2 OR field = 'ANCHO' AND odd = 3 THEN NULL WHEN field = 'NUM_EJES' AND odd = 5 THEN '0' WHEN field = 'PESO_BRUTO' AND odd = 9 THEN '1.5'
-    WHEN field = 'NUM_EJES' THEN (k % 12 + 1)::VARCHAR WHEN field = 'ANCHO' THEN (k % 9 + 1) || '.' || lpad((k % 97)::VARCHAR, 2, '0') WHEN field = 'NUM_PARTIDA' THEN lpad(k::VARCHAR, 8, '0') ELSE usual END AS value_text,
+  CASE WHEN field = 'NUM_EJES' AND odd = 7 OR field = 'PESO_NETO' AND odd = 2 OR field = 'ANCHO' AND odd = 3 THEN NULL WHEN field = 'NUM_EJES' AND odd = 5 THEN '0' WHEN field = 'PESO_BRUTO' AND odd = 9 THEN '1.25'
+    WHEN field = 'PESO_NETO' AND odd = 9 THEN '9.5' ELSE usual END AS value_text,
   CASE WHEN field = 'PESO_NETO' AND odd = 2 THEN 'FIELD_UNAVAILABLE' WHEN field = 'ANCHO' AND odd = 3 THEN 'FIELD_NOT_FOUND' WHEN field = 'NUM_EJES' AND odd = 7 THEN 'UNPARSEABLE_VALUE' WHEN field = 'NUM_EJES' AND odd = 5 THEN 'VALIDATION_FAILED'
-    WHEN field = 'NUM_ASIENTOS' AND odd = 4 THEN 'LABEL_FUZZY_MATCH' WHEN field IN ('NUM_EJES', 'NUM_RUEDAS') AND odd = 1 THEN 'LOW_CONFIDENCE_FIELD' END AS code FROM d, base)"""
-
-
-def odd_pages(suppliers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    from .sources.synthetic import from_table
-
-    return from_table(suppliers, "s_suppkey", varied=True)
+    WHEN field = 'NUM_ASIENTOS' AND odd = 4 THEN 'LABEL_FUZZY_MATCH' WHEN field IN ('NUM_EJES', 'NUM_RUEDAS') AND odd = 1 THEN 'LOW_CONFIDENCE_FIELD' END AS code FROM base)"""
 
 
 @query(f"""WITH {FIELD_BASE} SELECT k::VARCHAR AS doc_id, field, value_text, CASE WHEN value_text IS NOT NULL THEN 'extracted' WHEN code = 'FIELD_UNAVAILABLE' THEN 'unavailable' ELSE 'not_found' END AS status,
 CASE WHEN value_text IS NOT NULL THEN coalesce(code, '') <> 'VALIDATION_FAILED' END AS valid, coalesce(code, '') AS codes FROM f""")
 def field_states(t):
-    """Values, states and codes over pages that are fused, masked, incomplete, covered, without header or colons."""
+    """Values, states and codes over forms that are joined, masked, incomplete, covered, without header or colons."""
     from .plans.extract import extract
+    from .sources.synthetic import odd_forms
 
-    return extract(*odd_pages(t("supplier"))).results.select("doc_id", "field", "value_text", "status", "valid", F.array_join("codes", ",").alias("codes"))
+    return extract(*odd_forms(t("supplier"), "s_suppkey")).results.select("doc_id", "field", "value_text", "status", "valid", F.array_join("codes", ",").alias("codes"))
 
 
 @query(f"""WITH {FIELD_BASE},
 w AS (SELECT k, ord * 10 + 10 AS ord, CASE code WHEN 'FIELD_NOT_FOUND' THEN 'FIELD_NOT_FOUND' ELSE code END AS code, CASE code WHEN 'FIELD_NOT_FOUND' THEN 'Label for ' || field || ' was not found in the section.'
     WHEN 'FIELD_UNAVAILABLE' THEN field || ' is redacted in the document and was not inferred.' WHEN 'UNPARSEABLE_VALUE' THEN 'The value read for ' || field || ' could not be parsed and was not guessed.'
     WHEN 'VALIDATION_FAILED' THEN field || ' failed its plausibility check and was returned unmodified.' WHEN 'LOW_CONFIDENCE_FIELD' THEN 'The two independent reads of ' || field || ' disagreed.'
-    ELSE 'The label for ' || field || ' was overlapped by neighbouring text and recovered by approximate matching (read as ''AMARWNiABientos'').' END AS message FROM f WHERE code IS NOT NULL
+    ELSE 'The label for ' || field || ' was overlapped by neighbouring text and recovered by approximate matching (read as ''VERDEAsiemtos'').' END AS message FROM f WHERE code IS NOT NULL
   UNION ALL SELECT k, 0, 'SECTION_FALLBACK_USED', 'The section header was not found; the whole page was searched instead.' FROM d WHERE odd = 6
   UNION ALL SELECT k, 1000, 'VALIDATION_FAILED', 'PESO_BRUTO is lower than PESO_NETO; both values are reported as read.' FROM d WHERE odd = 9
-  UNION ALL SELECT k, 2000, 'PLATE_MISMATCH', 'The document''s plate (A0A952) differs from the requested plate (B1C234).' FROM d WHERE k % 7 = 0),
+  UNION ALL SELECT k, 2000, 'PLATE_MISMATCH', 'The document''s plate (T' || lpad((k % 1000)::VARCHAR, 3, '0') || 'R) differs from the requested plate (WXY777).' FROM d WHERE k % 7 = 0),
 g AS (SELECT k, string_agg(code, ', ' ORDER BY ord) AS codes, string_agg(message, ' ' ORDER BY ord) AS messages FROM w GROUP BY 1)
 SELECT d.k::INT AS row_number, CASE WHEN d.k % 11 = 0 THEN 'ERROR:FILE_TOO_LARGE' WHEN codes IS NULL THEN 'OK' ELSE 'REVISAR' END AS "ESTADO", CASE WHEN d.k % 11 = 0 THEN '' ELSE coalesce(codes, '') END AS "AVISOS",
-  CASE WHEN d.k % 11 <> 0 THEN CASE WHEN odd = 2 THEN NULL ELSE '2.89' END END AS "PESO_NETO", messages
-FROM d LEFT JOIN g ON g.k = d.k""")
+  CASE WHEN d.k % 11 <> 0 THEN value_text END AS "PESO_NETO", messages
+FROM d LEFT JOIN g ON g.k = d.k JOIN f ON f.k = d.k AND f.field = 'PESO_NETO'""")
 def queue_updates(t):
-    """A whole run of the queue: pages are read, results and errors meet in one table and are written back by row number."""
+    """A whole run of the queue: forms are read, results and errors meet in one table and are written back by row number."""
     from .operators.tables import stored
     from .plans.extract import extract
+    from .sources.synthetic import odd_forms
     from .streaming.queue import RESULT, run_batch, updates
 
-    tokens, pages = odd_pages(t("supplier"))
-    rows = t("supplier").select(F.col("s_suppkey").cast("int").alias("row_number"), F.col("s_suppkey").cast("string").alias("doc_id"), F.when(F.col("s_suppkey") % 7 == 0, "B1C-234").otherwise("A0A-952").alias("plate"))
-    e = extract(tokens, pages, rows)
+    plate = F.when(F.col("s_suppkey") % 7 == 0, "WXY-777").otherwise(F.concat(F.lit("T-"), F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0"), F.lit("R")))
+    rows = t("supplier").select(F.col("s_suppkey").cast("int").alias("row_number"), F.col("s_suppkey").cast("string").alias("doc_id"), plate.alias("plate"))
+    e = extract(*odd_forms(t("supplier"), "s_suppkey"), rows)
     large = rows.where("row_number % 11 = 0").select("doc_id", F.lit("FILE_TOO_LARGE").alias("error_code"))
     queue = rows.select("row_number", *(F.lit(None).cast("string").alias(c) for c in RESULT))
     written = run_batch(queue, lambda todo: updates(e, rows.join(todo.select("row_number"), "row_number"), large), None)

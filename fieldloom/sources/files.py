@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_plate
+from ..functions.text import file_stem, normalize_plate
 from ..plans.spec import Options
 
 REQUEST = "row_number int, plate string, drive_file_id string"
@@ -20,7 +20,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(F.lower(name).endswith(".pdf"), PDF).otherwise("application/octet-stream")
-    return f.select(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("id"), name.alias("name"), kind.alias("mime_type"), F.col("length").alias("size"), F.col("modificationTime").cast("string").alias("modified_time"), "content")
+    return f.select(file_stem(name).alias("id"), name.alias("name"), kind.alias("mime_type"), F.col("length").alias("size"), F.col("modificationTime").cast("string").alias("modified_time"), "content")
 
 
 def admission_error(mime_type: Column, size: Column, options: Options = Options()) -> Column:

@@ -1,121 +1,127 @@
-"""Token tables of synthetic documents, for tests and demonstrations."""
+"""Synthetic forms for tests and demonstrations, made from the rows of any table.
+
+A form is a table of cells, one row for each label and its value; laid_out turns cells into positioned tokens. Both are
+column expressions, so a form for each row of a large table is made where the row is."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import DataFrame, SparkSession
-
-TOKENS = "doc_id string, page int, source_kind string, ord int, text string, x int, y int, width int, height int, confidence double"
-WIDTH, HEIGHT, GLYPH, TALL, CONFIDENCE = 2380, 3368, 17, 26, 96.0
-LABEL_LEFT, COLON, VALUE_LEFT = (80, 842, 1608), (323, 1087, 1883), (342, 1106, 1902)
-FIRST_ROW, PITCH = 1154, 56
-#: A document in which every field can be read.
-BASE = (
-    "Placa=A0A952|Tipo Uso=Transporte interprovincial|Categoría=M2|Carrocería=MINIBUS|Marca=MERCEDES BENZ|Modelo=SPRINTER 413CDI/ C4025|Año Mod=2010|Año Fab=2010|N° Versión=SIN VERSION|N° Serie=8AC904663BE038811|N° de VIN=8AC904663BE038811|Color 1=BLANCO|Color 2=##########",
-    "Color 3=##########|N° Motor=61198170115239|Tipo Combus=DIESEL|Pot. Motor=90@3800|N° Cilindros=4|Cilindrada=##########|Peso Neto=2.89|Peso Bruto=4.6|Carga Útil=1.71|N° Asientos=20|N° Pasajer.=19",
-    "N° Partida=52172133|N° Ejes=2|N° Ruedas=6|Longitud=6.99|Ancho=1.99|Altura=2.76|Form. Rodan.=4X2|Inmatriculac.=INSCRIPCION|Fec. Prop=15/07/2015|Condición=VIGENTE",
-)
-
-
-def base() -> list[list[tuple[str, str]]]:
-    return [[tuple(cell.split("=", 1)) for cell in column.split("|")] for column in BASE]
-
-
-def document(doc_id: str, columns=None, fused: Iterable = (), confidence: dict | None = None, overlap: dict | None = None, headed: bool = True) -> list[tuple]:
-    """Token rows of one document. fused: cells (column, row) whose colon and value are one token; confidence: of the
-    values of some cells; overlap: a token that covers the label of some cells."""
-    rows: list[tuple] = []
-
-    def add(text: str, x: int, y: int, conf: float | None) -> None:
-        rows.append((doc_id, 1, "ocr", len(rows), text, x, y, max(4, len(text) * GLYPH), TALL, conf))
-
-    def line(text: str, x: int, y: int, conf: float | None = CONFIDENCE) -> None:
-        for word in text.split():
-            add(word, x, y, conf)
-            x += (len(word) + 1) * GLYPH
-
-    if headed:
-        for word, x in (("Características", 82), ("del", 300), ("Vehículo", 360)):
-            add(word, x, 1071, CONFIDENCE)
-    for c, cells in enumerate(base() if columns is None else columns):
-        for r, (label, value) in enumerate(cells):
-            y, conf = FIRST_ROW + PITCH * r, (confidence or {}).get((c, r), CONFIDENCE)
-            if cover := (overlap or {}).get((c, r)):
-                add(cover, LABEL_LEFT[c] + int((COLON[c] - LABEL_LEFT[c]) * 0.75) - len(cover) * GLYPH, y, 17.0)
-            else:
-                line(label, LABEL_LEFT[c], y)
-            if (c, r) in fused:
-                add("2" + value, COLON[c], y, conf)
-            else:
-                add(":", COLON[c], y, None)
-                line(value, VALUE_LEFT[c], y, conf)
-    if headed:
-        for word, x in (("NO", 1100), ("REGISTRA", 1150), ("AFECTACIONES", 1300)):
-            add(word, x, 1920, CONFIDENCE)
-    return rows
-
-
-def row_y(row: int) -> int:
-    return FIRST_ROW + PITCH * row + TALL // 2
-
-
-def tables(spark: SparkSession, rows: list[tuple]) -> tuple[DataFrame, DataFrame]:
-    """The token table and the page table of some documents."""
-    names = sorted({r[0] for r in rows})
-    return spark.createDataFrame(rows, TOKENS), spark.createDataFrame([(n, 1, WIDTH, HEIGHT) for n in names], "doc_id string, page int, width int, height int")
-
-
-def from_table(rows: DataFrame, key: str = "c_custkey", varied: bool = False) -> tuple[DataFrame, DataFrame]:
-    """One page for each row, made without the driver: the base document with the number of axles, the width and the entry
-    number taken from the row's key. With `varied` the last digit of the key says what is odd about the page: 1 two colons
-    fused with their values, 2 a masked weight, 3 a missing row, 4 a label that is covered, 5 an implausible number, 6 no
-    header, 7 a number in words, 8 no colons, 9 a decimal comma and a gross weight below the net one."""
-    from pyspark.sql import functions as F
-
-    every = (1 << 10) - 1
-    without = lambda *digits: every - sum(1 << n for n in digits)
-    each: list[tuple] = []  # text, x, y, confidence, and a bit for each last digit of the keys whose pages have it
-
-    def add(text: str, x: int, y: int, pages: int = every, confidence: float | None = CONFIDENCE) -> None:
-        each.append((text, x, y, confidence, pages))
-
-    others = {"N° Ejes": {5: "0", 7: "muchos"}, "Peso Neto": {2: "##########", 9: "2,89"}, "Peso Bruto": {9: "1.5"}}
-    from_row = {"N° Ejes": "{axles}", "Ancho": "{width}", "N° Partida": "{entry}"}
-    for word, x, y in (("Características", 82, 1071), ("del", 300, 1071), ("Vehículo", 360, 1071), ("NO", 1100, 1920), ("REGISTRA", 1150, 1920), ("AFECTACIONES", 1300, 1920)):
-        add(word, x, y, without(6))
-    for c, column in enumerate(base()):
-        for r, (label, value) in enumerate(column):
-            y, x, there = FIRST_ROW + PITCH * r, LABEL_LEFT[c], without(3) if label == "Ancho" else every
-            covered, fused = label == "N° Asientos", label in ("N° Ejes", "N° Ruedas")
-            for word in label.split():
-                add(word, x, y, there & without(4) if covered else there)
-                x += (len(word) + 1) * GLYPH
-            if covered:
-                cover = "AMARWNiABientos"
-                add(cover, LABEL_LEFT[c] + int((COLON[c] - LABEL_LEFT[c]) * 0.75) - len(cover) * GLYPH, y, 1 << 4, 17.0)
-            add(":", COLON[c], y, there & without(8) & (without(1) if fused else every), None)
-            usual = from_row.get(label, value)
-            if fused:
-                add("2" + usual, COLON[c], y, 1 << 1)
-                there &= without(1)
-            for digit, text in others.get(label, {}).items():
-                add(text, VALUE_LEFT[c], y, 1 << digit, 0.0 if digit == 2 else CONFIDENCE)
-            x = VALUE_LEFT[c]
-            for word in usual.split():
-                add(word, x, y, there & without(*others.get(label, {})))
-                x += (len(word) + 1) * GLYPH
-    # The template is one constant; only the words in braces depend on the row.
-    template = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(t).alias("template"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(conf).cast("double").alias("confidence"), F.lit(pages).alias("pages")) for n, (t, x, y, conf, pages) in enumerate(each)])
-    k = F.col(key)
-    tokens = rows.select(k.cast("string").alias("doc_id"), k.alias("_key"), F.inline(template))
-    if varied:
-        tokens = tokens.where("(pages & shiftleft(1, cast(_key % 10 as int))) <> 0")
-    else:
-        tokens = tokens.where("(pages & 1) <> 0")
-    k, text = F.col("_key"), F.col("template")
-    width = F.format_string("%d.%02d", (k % 9 + 1).cast("int"), (k % 97).cast("int"))
-    text = F.when(text == "{axles}", (k % 12 + 1).cast("string")).when(text == "2{axles}", F.concat(F.lit("2"), (k % 12 + 1).cast("string"))).when(text == "{width}", width).when(text == "{entry}", F.lpad(k.cast("string"), 8, "0")).otherwise(text)
-    tokens = tokens.withColumn("text", text).select("doc_id", F.lit(1).alias("page"), F.lit("ocr").alias("source_kind"), "ord", "text", "x", "y", F.greatest(F.lit(4), F.length("text") * GLYPH).alias("width"), F.lit(TALL).alias("height"), "confidence")
-    doc = F.col(key).cast("string").alias("doc_id")
-    return tokens, rows.select(doc, F.lit(1).alias("page"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.spec import FALLBACK_COLUMNS
+
+CELLS = "doc_id string, col int, line int, label string, value string, joined boolean, confidence double, cover string"
+#: The page, the width of a glyph and of a space, the height of a token, and where the lines are.
+WIDTH, HEIGHT, GLYPH, SPACE, TALL = 2100, 2900, 15, 18, 24
+TOP, FIRST_LINE, LEADING, LINES = 700, 780, 50, 6
+#: Where labels, colons and values of the three columns begin: at the usual shares of the width.
+PLACES = tuple(tuple(round(share * WIDTH) for share in column) for column in FALLBACK_COLUMNS)
+CONFIDENCE = 91.5
+
+#: The cells of a form by column: the label, and its value as an expression of the key k.
+FORM = (
+    (
+        ("Placa", "concat('T', lpad(k % 1000, 3, '0'), 'R')"),
+        ("Tipo Uso", "element_at(array('Reparto local', 'Servicio escolar', 'Carga regional'), int(k % 3 + 1))"),
+        ("Longitud", "concat(k % 7 + 4, '.', k % 80 + 10)"),
+        ("Ancho", "concat(k % 3 + 1, '.', k % 70 + 20)"),
+        ("Altura", "concat(k % 4 + 1, '.', k % 60 + 30)"),
+        ("Sede", "concat('Oficina ', k % 9)"),
+    ),
+    (
+        ("Peso Neto", "concat(k % 20 + 1, '.', k % 9 + 1)"),
+        ("Peso Bruto", "concat(k % 20 + 21, '.', k % 9 + 1)"),
+        ("N° Cilindros", "string(k % 8 + 3)"),
+        ("Tono", "'Gris'"),
+        ("N° Pasajer.", "string(k % 60 + 1)"),
+        ("N° Asientos", "string(k % 60 + 2)"),
+    ),
+    (
+        ("N° Ejes", "string(k % 5 + 2)"),
+        ("N° Ruedas", "string(2 * (k % 5 + 2))"),
+        ("N° Partida", "concat('E', lpad(k, 7, '0'))"),
+        ("Emisión", "'Segunda'"),
+        ("Folio", "string(k % 500 + 1)"),
+        ("Zona", "'Norte'"),
+    ),
+)
+
+
+def forms(rows: DataFrame, key: str) -> DataFrame:
+    """The cells of one form for each row, whose id is its key; `k` stays for further changes."""
+    each = [
+        F.struct(F.lit(c).alias("col"), F.lit(line).alias("line"), F.lit(label).alias("label"), F.expr(value).alias("value"))
+        for c, column in enumerate(FORM)
+        for line, (label, value) in enumerate(column)
+    ]
+    k = rows.select(F.col(key).cast("long").alias("k"))
+    return k.select(F.col("k").cast("string").alias("doc_id"), "k", F.inline(F.array(*each))).withColumns(
+        {"joined": F.lit(False), "confidence": F.lit(CONFIDENCE), "cover": F.lit(None).cast("string")}
+    )
+
+
+def laid_out(cells: DataFrame, headed: Column | bool = True, colons: Column | bool = True) -> DataFrame:
+    """The tokens of forms (see CELLS). A joined cell has its colon and value in one token; a cover is a token printed over a
+    label, up to just before the colon. `headed` and `colons` tell of each cell's document whether it has header and footer,
+    and colons."""
+    say = lambda c: F.lit(c) if isinstance(c, bool) else c
+    place = [F.element_at(F.array(*(F.lit(p[k]) for p in PLACES)), F.col("col") + 1) for k in range(3)]
+    confidence = F.col("confidence")
+
+    def token(nth: Column | int, text: Column, x: Column, conf: Column, y: Column | int = F.lit(FIRST_LINE) + LEADING * F.col("line")) -> Column:
+        nth, y = (v if isinstance(v, Column) else F.lit(v) for v in (nth, y))
+        return F.struct(nth.cast("int").alias("nth"), text.alias("text"), x.cast("int").alias("x"), y.cast("int").alias("y"), conf.cast("double").alias("confidence"))
+
+    def words(first: int, text: Column, left: Column, conf: Column) -> Column:
+        parts = F.filter(F.split(text, " "), lambda w: w != "")
+        passed = lambda k: GLYPH * F.length(F.array_join(F.slice(parts, 1, k), "")) + SPACE * k
+        return F.transform(parts, lambda w, k: token(first + k, w, left + passed(k), conf))
+
+    def only(condition: Column, tokens: Column) -> Column:
+        return F.when(condition, tokens).otherwise(F.array().cast("array<struct<nth:int,text:string,x:int,y:int,confidence:double>>"))
+
+    covered = F.col("cover").isNotNull()
+    label = only(~covered, words(0, F.col("label"), place[0], F.lit(CONFIDENCE)))
+    over = only(covered, F.array(token(0, F.col("cover"), place[1] - 24 - GLYPH * F.length("cover"), F.lit(20.0))))
+    colon = only(say(colons) & ~F.col("joined"), F.array(token(20, F.lit(":"), place[1], F.lit(None))))
+    fused = only(F.col("joined"), F.array(token(20, F.concat(F.lit("8"), F.col("value")), place[1], confidence)))
+    value = only(~F.col("joined"), words(30, F.col("value"), place[2], confidence))
+    # Header and footer come with the first cell of a form.
+    around = [("Características", 75, TOP), ("técnicas", 340, TOP), ("Títulos", 75, FIRST_LINE + LEADING * (LINES + 1)), ("anotados", 210, FIRST_LINE + LEADING * (LINES + 1))]
+    frame = only(say(headed) & (F.col("col") == 0) & (F.col("line") == 0), F.array(*(token(90 + k, F.lit(t), F.lit(x), F.lit(CONFIDENCE), y) for k, (t, x, y) in enumerate(around))))
+    tokens = cells.select("doc_id", F.col("col").alias("_c"), F.col("line").alias("_l"), F.inline(F.concat(label, over, colon, fused, value, frame)))
+    return tokens.select(
+        "doc_id", F.lit(1).alias("page"), F.lit("ocr").alias("source_kind"), (1000 * F.col("_c") + 100 * F.col("_l") + F.col("nth")).alias("ord"), "text", "x", "y",
+        (GLYPH * F.length("text")).alias("width"), F.lit(TALL).alias("height"), "confidence",
+    )
+
+
+def sheets(rows: DataFrame, key: str) -> DataFrame:
+    """The page of each form."""
+    return rows.select(F.col(key).cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+
+
+def plain_forms(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens and pages of forms in which every field can be read."""
+    return laid_out(forms(rows, key)), sheets(rows, key)
+
+
+def odd_forms(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens and pages of forms of which the key's last digit says what is odd: 1 two colons joined with their values, 2 a
+    masked weight, 3 a missing line, 4 a covered label, 5 an implausible number, 6 no header, 7 a number in words, 8 no colons,
+    9 a decimal comma and a gross weight below the net one, 0 nothing."""
+    digit, label = F.col("k") % 10, F.col("label")
+    is_ = lambda n, *names: (digit == n) & label.isin(*names)
+    masked = is_(2, "Peso Neto")
+    value = F.when(masked, "########").when(is_(5, "N° Ejes"), "0").when(is_(7, "N° Ejes"), "varios").when(is_(9, "Peso Neto"), "9,5").when(is_(9, "Peso Bruto"), "1.25").otherwise(F.col("value"))
+    cells = forms(rows, key).where(~is_(3, "Ancho")).withColumns({
+        "value": value,
+        "joined": is_(1, "N° Ejes", "N° Ruedas"),
+        "confidence": F.when(masked, 0.0).otherwise(F.col("confidence")),
+        "cover": F.when(is_(4, "N° Asientos"), "VERDEAsiemtos"),
+    })
+    return laid_out(cells, digit != 6, digit != 8), sheets(rows, key)
+
+
+def line_center(line: int) -> int:
+    return FIRST_LINE + LEADING * line + TALL // 2

@@ -7,52 +7,63 @@ from fieldloom.plans import extract, geometry
 from fieldloom.plans.spec import NAMES, Options
 from fieldloom.sources import synthetic as s
 
-EXPECTED = dict(zip(NAMES, ("4", "2.89", "4.6", "20", "19", "2", "6", "6.99", "1.99", "2.76", "52172133", "Transporte interprovincial")))
+#: The form of key 7.
+EXPECTED = dict(zip(NAMES, ("10", "8.8", "28.8", "9", "8", "4", "8", "4.17", "2.27", "4.37", "E0000007", "Servicio escolar")))
 
 
-def cells(**changes):
-    """The base document with the values of some labels changed, a label renamed (old=(new, value)) or dropped (None)."""
+@pytest.fixture(scope="module")
+def base(spark):
+    rows = s.forms(spark.createDataFrame([(7,)], "k long"), "k").collect()
+    return {r.label: r.asDict() for r in rows}
+
+
+def form(base, doc, **changes):
+    """Cells of the base form under another name: labels map to a new value, a dict of changed members, or None to drop."""
     out = []
-    for column in s.base():
-        out.append([])
-        for label, value in column:
-            change = changes.get(label, value)
-            if change is not None:
-                out[-1].append((label, change) if isinstance(change, str) else change)
+    for label, cell in base.items():
+        change = changes.get(label, {})
+        if change is not None:
+            change = {"value": change} if isinstance(change, str) else change
+            out.append(cell | {"doc_id": doc} | change)
     return out
 
 
 def variant(label, names):
-    return {f"{label} as {n}": dict(columns=cells(**{label: (n, dict(sum(s.base(), []))[label])})) for n in names}
+    return {f"{label} as {n}": {label: {"label": n}} for n in names}
 
 
 DOCUMENTS = {
     "base": {},
-    "fused": dict(fused=[(2, 1), (2, 2)]),
-    "masked_hash": dict(columns=cells(**{"Peso Neto": "##########"}), confidence={(1, 6): 0.0}),
-    "masked_ocr": dict(columns=cells(**{"Peso Neto": "AAAAAIAAAAAAE"}), confidence={(1, 6): 0.0}),
-    "missing": dict(columns=cells(Ancho=None)),
-    "implausible": dict(columns=cells(**{"N° Ejes": "0"})),
-    "comma": dict(columns=cells(**{"Peso Neto": "2,89"})),
-    "weights": dict(columns=cells(**{"Peso Bruto": "1.5"})),
-    "overlap_kw": dict(overlap={(1, 9): "Asientos"}),
-    "overlap_kw2": dict(overlap={(1, 9): "ARUAsientos"}),
-    "overlap_fuzzy": dict(overlap={(1, 9): "AMARWNiABientos"}),
-    "overlap_destroyed": dict(overlap={(1, 9): "ESMERALDANANMétitdsO"}),
-    "unparseable": dict(columns=cells(**{"N° Ejes": "muchos"})),
-    "width": dict(columns=cells(Ancho="23"), confidence={(2, 4): 38.0}),
+    "fused": {"N° Ejes": {"joined": True}, "N° Ruedas": {"joined": True}},
+    "masked_hash": {"Peso Neto": {"value": "######", "confidence": 0.0}},
+    "masked_ocr": {"Peso Neto": {"value": "EEEEIEEEIE", "confidence": 0.0}},
+    "missing": {"Ancho": None},
+    "implausible": {"N° Ejes": "0"},
+    "comma": {"Peso Neto": "8,8"},
+    "weights": {"Peso Bruto": "1.5"},
+    "overlap_kw": {"N° Asientos": {"cover": "Asientos"}},
+    "overlap_kw2": {"N° Asientos": {"cover": "ROJOAsientos"}},
+    "overlap_fuzzy": {"N° Asientos": {"cover": "VERDEAsiemtos"}},
+    "overlap_destroyed": {"N° Asientos": {"cover": "VERDExslzmbts"}},
+    "unparseable": {"N° Ejes": "varios"},
+    "width": {"Ancho": {"value": "227", "confidence": 38.0}},
     "text": {},
-    "no_header": dict(columns=[[("Placa", "X")], [], []], headed=False),
-    "other_plate": dict(columns=cells(Placa="B1C234")),
-    "noisy_plate": dict(columns=cells(Placa="AOA952")),
+    "no_header": {"Placa": {"value": "X"}} | {label: None for column in s.FORM for label, _ in column if label != "Placa"},
+    "other_plate": {"Placa": "K81M22"},
+    "noisy_plate": {"Placa": "TOO7R"},
 } | variant("N° Ejes", ["Nº Ejes", "N Ejes", "N* Ejes", "N? Ejes", "Nro Ejes"]) | variant("N° Pasajer.", ["N° Pasajeros", "Nº Pasajeros", "N* Pasajer."]) | variant("Tipo Uso", ["Tipo de Uso"])
 
 
+def tables(spark, cells):
+    df = spark.createDataFrame([tuple(c[n.split()[0]] for n in s.CELLS.split(", ")) for c in cells], s.CELLS)
+    return s.laid_out(df, F.col("doc_id") != "no_header"), s.sheets(df.select("doc_id").distinct(), "doc_id")
+
+
 @pytest.fixture(scope="module")
-def found(spark):
-    tokens, pages = s.tables(spark, [r for name, kw in DOCUMENTS.items() for r in s.document(name, **kw)])
-    requests = pages.select("doc_id", F.lit("A0A-952").alias("plate"))
-    reads = spark.createDataFrame([("width", s.row_y(4), "2.3", 95.0), ("text", s.row_y(1), "Transporte interprovincia", 80.0)], "doc_id string, y_center int, crop_text string, crop_conf double")
+def found(spark, base):
+    tokens, pages = tables(spark, [c for name, changes in DOCUMENTS.items() for c in form(base, name, **changes)])
+    requests = pages.select("doc_id", F.lit("T-007R").alias("plate"))
+    reads = spark.createDataFrame([("width", s.line_center(3), "2.27", 95.0), ("text", s.line_center(1), "Servicio escola", 80.0)], "doc_id string, y_center int, crop_text string, crop_conf double")
     e = extract.extract(tokens.repartition(5), pages, requests, reads)
     fields = {(r.doc_id, r.field): r for r in e.results.collect()}
     warnings = {}
@@ -78,7 +89,7 @@ def test_all_values(found, doc):
 def test_geometry(found):
     _, _, _, documents = found
     d = documents["base"]
-    assert (d.section_top, d.section_bottom, d.header_found, d.used_fallback_columns) == (1071, 1920, True, False)
+    assert (d.section_top, d.section_bottom, d.header_found, d.used_fallback_columns) == (s.TOP, s.FIRST_LINE + s.LEADING * (s.LINES + 1), True, False)
     d = documents["no_header"]
     assert (d.section_top, d.section_bottom, d.header_found, d.used_fallback_columns) == (0, s.HEIGHT, False, True)
 
@@ -88,13 +99,13 @@ def test_masked_values_are_unavailable(found, doc):
     _, fields, warnings, _ = found
     r = fields[doc, "PESO_NETO"]
     assert (r.status, r.value_text, r.ocr_confidence, r.valid, r.source_label) == ("unavailable", None, None, None, "Peso Neto")
-    assert warnings[doc] == [("FIELD_UNAVAILABLE", "PESO_NETO")] and fields[doc, "PESO_BRUTO"].value_text == "4.6"
+    assert warnings[doc] == [("FIELD_UNAVAILABLE", "PESO_NETO")] and fields[doc, "PESO_BRUTO"].value_text == "28.8"
 
 
 def test_missing_unparseable_implausible(found):
     _, fields, warnings, _ = found
     assert fields["missing", "ANCHO"].source_label is None and warnings["missing"] == [("FIELD_NOT_FOUND", "ANCHO")]
-    assert fields["overlap_destroyed", "NUM_ASIENTOS"].status == "not_found" and fields["overlap_destroyed", "NUM_PASAJEROS"].value_text == "19"
+    assert fields["overlap_destroyed", "NUM_ASIENTOS"].status == "not_found" and fields["overlap_destroyed", "NUM_PASAJEROS"].value_text == "8"
     assert warnings["unparseable"] == [("UNPARSEABLE_VALUE", "NUM_EJES")] and fields["unparseable", "NUM_EJES"].source_label == "N° Ejes"
     r = fields["implausible", "NUM_EJES"]
     assert (r.status, r.value_text, r.valid) == ("extracted", "0", False) and warnings["implausible"] == [("VALIDATION_FAILED", "NUM_EJES")]
@@ -103,9 +114,9 @@ def test_missing_unparseable_implausible(found):
 
 def test_readings_that_disagree(found):
     _, fields, warnings, _ = found
-    assert (fields["width", "ANCHO"].value_text, fields["width", "ANCHO"].ocr_confidence) == ("2.3", 95.0)
+    assert (fields["width", "ANCHO"].value_text, fields["width", "ANCHO"].ocr_confidence) == ("2.27", 95.0)
     assert ("LOW_CONFIDENCE_FIELD", "ANCHO") in warnings["width"]
-    assert fields["text", "TIPO_USO"].value_text == "Transporte interprovincial"
+    assert fields["text", "TIPO_USO"].value_text == "Servicio escolar"
 
 
 def test_documents_without_fields_are_rejects(found):
@@ -126,17 +137,17 @@ def test_values_and_json(found):
     assert "debug" not in json.loads(extract.responses(e).first().json)
 
 
-def test_strings_can_be_masked(spark):
-    tokens, pages = s.tables(spark, s.document("d", cells(**{"N° Partida": "##########"})))
+def test_strings_can_be_masked(spark, base):
+    tokens, pages = tables(spark, form(base, "d", **{"N° Partida": "########"}))
     one = lambda o: extract.extract(tokens, pages, options=o).results.where("field = 'NUM_PARTIDA'").first()
     assert (one(Options()).status, one(Options()).valid) == ("extracted", False)
     assert one(Options(mask_strings=True)).status == "unavailable"
 
 
-def test_column_geometry(spark):
-    tokens, pages = s.tables(spark, s.document("d"))
+def test_column_geometry(spark, base):
+    tokens, pages = tables(spark, form(base, "d"))
     got = geometry.columns(geometry.section_tokens(geometry.placed(tokens, pages))).orderBy("column_index").collect()
-    assert [abs(r.label_left - x) <= 4 and r.colon_x == c for r, x, c in zip(got, s.LABEL_LEFT, s.COLON)] == [True] * 3
+    assert [abs(r.label_left - x) <= 4 and r.colon_x == c for r, (x, c, _) in zip(got, s.PLACES)] == [True] * 3
     assert got[2].column_right == s.WIDTH and not any(r.fallback for r in got)
 
 
