@@ -1,60 +1,57 @@
 """Near-duplicate documents by Order MinHash.
 
-A text is the sequence of its shingles of five words, each labelled with how often it occurred before in the text. A
-sketch slot keeps the few labelled shingles with the smallest hashes and their order in the text, so texts agree in a
-slot if they share those shingles in one order. Texts that share a slot are compared by banded alignment: with L the
-length of the longest common subsequence of the labelled shingles (n and m of them), the similarity is
-L / (n + m - L), the order-keeping form of the Jaccard similarity, and texts are linked from 0.8. Classes are the
-connected components of the links.
-
-Equal texts are one node, so copies never meet each other. In a bucket, nodes are compared with one pivot, not with each
-other. Nodes that are linked to one pivot are in one class already, and groups of one component are left out. Where two
-nodes are in different components, how both differ from the pivot and the parity of their shingles bound from below how
-they differ from each other, and they are compared only if these bounds leave room for a link. Both are exact, so no link
-between nodes that share a bucket is lost. The rows that come out of the joins are pairs that are nearly all links.
-
-Texts of at most SHORT shingles have SHORT_SLOTS slots of SHORT_KEEP besides, because a slot of KEEP would hold most of
-them. Texts are hashed in slices of about a megabyte, a longer text alone, so memory is bounded by the longest text.
-
-Texts of fewer than five words are one shingle. Null, empty and wordless texts are classes of their own, as are rows
+A sketch samples shingles of a text, each labelled with how often it occurred before in the text. A slot keeps the KEEP
+labelled shingles with the smallest hashes and their order in the text, so texts agree in a slot if they share those
+shingles in one order and their lengths do not differ too much. Shingles have five words; edits leave few of these whole in
+short texts, so there are slots of two words besides, 480 by the number of words, which fade out as texts grow. Texts that
+share a slot are compared by banded alignment of their words: with L the length of the longest common subsequence of n and m
+words, the similarity is L / (n + m - L), the order-keeping form of the Jaccard similarity, and texts are linked from 0.8.
+Classes are the connected components of the links.
+
+Equal texts are one node, so copies never meet each other. In a bucket, nodes are compared with one pivot. Where a pivot's
+nodes are of several components still, links between the others are looked for without trying their pairs (see `opened`):
+groups are split by the words in which nodes differ from the group's centre, until each is of one component. Two bounds decide
+it, and both are exact, so no link between nodes that share a bucket is lost.
+
+Texts are hashed in slices of about a megabyte, a longer text alone, so memory is bounded by the longest text. Texts of
+fewer words than a shingle are one shingle. Null, empty and wordless texts are classes of their own, as are rows
 without an id. Rows with equal ids are one document, linked if any of their texts are. Only ids, texts and result
 columns are used, so extra columns cannot clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import U64, components, dealt_join, frequent, looked_up, mix, slices, unused, windows, words_of, written
 
 SHINGLE = 5
-#: Slots and shingles in each: at a similarity of 0.8 a slot agrees with probability 0.26, so 32 slots miss 6 in 100,000.
-SLOTS, KEEP = 32, 6
-#: Texts of few shingles have these slots besides.
-SHORT, SHORT_SLOTS, SHORT_KEEP = 20, 12, 2
-#: Columns of parity bits: 64 in each.
-BITS = [f"parity{k}" for k in range(8)]
+#: Slots and shingles in each: where a tenth of the words are edited, two in five shingles of five words are shared.
+SLOTS, KEEP = 40, 3
+#: Shingles of two words have SHORT_SLOTS slots by the number of words, MOST_SHORT at most.
+SHORT_SHINGLE, SHORT_SLOTS, MOST_SHORT = 2, 480, 32
 #: A similarity of at least 0.8 is a distance n + m - 2 L of at most (n + m) / 9.
 NINTHS = 9
+#: Nodes whose common words are the centre of a group, and nodes whose words tell which words are frequent.
+CENTRE, FREQUENCIES = 5, 2000
 
 
-def labelled(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def labelled(hashes: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The labelled shingles of each row in order, and each row's offsets among them."""
     sizes = np.diff(offsets)
-    counts = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
+    counts = np.where(sizes >= size, sizes - size + 1, np.minimum(sizes, 1))
     ends = np.concatenate([[0], np.cumsum(counts)])
     row = np.repeat(np.arange(len(sizes)), counts)
     place = np.arange(ends[-1]) - ends[row] + offsets[row]
-    full = windows(hashes, SHINGLE, 3)
+    full = windows(hashes, size, 3)
     got = full[np.minimum(place, max(len(full) - 1, 0))] if len(full) else np.zeros(len(place), U64)
-    for i in np.flatnonzero((sizes > 0) & (sizes < SHINGLE)):
+    for i in np.flatnonzero((sizes > 0) & (sizes < size)):
         h = U64(sizes[i])
         for w in hashes[offsets[i] : offsets[i + 1]]:
             h = mix(np.array([h ^ w]))[0]
@@ -70,13 +67,14 @@ def labelled(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(got + label * U64(0xA24BAED4963EE407)), ends
 
 
-def slots(h: np.ndarray, count: int, keep: int, seed: int) -> list[int]:
-    """Of each slot, a hash of the `keep` smallest labelled shingles in text order."""
+def slots(h: np.ndarray, words: int, count: int, seed: int, keep: int = KEEP) -> list[int]:
+    """Of each slot, a hash of the `keep` smallest labelled shingles in text order and of the text's length, which is cut
+    into octaves, elsewhere in each slot."""
     out = []
     for j in range(count):
         v = mix(h ^ U64((seed + j) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         at = np.sort(np.argpartition(v, keep)[:keep]) if len(v) > keep else np.arange(len(v))
-        key = seed + j
+        key = (seed + j) * 64 + int(np.log2(words) + j * 0.6180339887 % 1)
         for x in v[at].tolist():
             key = (key * 0x5851F42D4C957F2D + x + (x >> 29)) & 0xFFFFFFFFFFFFFFFF
             key ^= key >> 31
@@ -84,32 +82,67 @@ def slots(h: np.ndarray, count: int, keep: int, seed: int) -> list[int]:
     return out
 
 
+def sketch(words: np.ndarray, offsets: np.ndarray) -> list[list[int] | None]:
+    """The slots of each row; none for a row without words."""
+    long, ends = labelled(words, offsets)
+    short, begins = labelled(words, offsets, SHORT_SHINGLE)
+    out: list[list[int] | None] = []
+    for i, n in enumerate(np.diff(offsets).tolist()):
+        few = min(MOST_SHORT, -(-SHORT_SLOTS // n)) if n else 0
+        out.append(slots(long[ends[i] : ends[i + 1]], n, SLOTS, 1) + slots(short[begins[i] : begins[i + 1]], n, few, 1001) if n else None)
+    return out
+
+
+def common(a: list[int], b: list[int], band: int) -> int:
+    """The length of the longest common subsequence whose places in a and b are at most `band` apart. A row of the alignment is
+    a bit string, in which a zero stands for a step."""
+    places: dict[int, int] = {}
+    for k, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << k
+    # At row j, bit k of the window stands for place j - band + k of a.
+    full = window = (1 << 2 * band + 1) - 1
+    out = 0
+    for j, w in enumerate(b):
+        if j:
+            out += not window & 1 if j > band else 0
+            window = window >> 1 | 1 << 2 * band
+        if hit := places.get(w):
+            met = window & (hit >> j - band if j >= band else hit << band - j) & full
+            window = (window + met | window - met) & full
+    return out + 2 * band + 1 - window.bit_count()
+
+
 def distance(a: np.ndarray, b: np.ndarray) -> int:
-    """n + m - 2 L of two sequences of distinct labelled shingles if that is at most a ninth of n + m, else a lower bound
-    above it. Being distinct, their common subsequences are the increasing ones of the places in b of what a shares, in
-    a's order; places further apart than the band cannot lie on an alignment that is near enough."""
+    """n + m - 2 L of two sequences; where their lengths or words alone put it above a ninth of n + m, a lower bound that is
+    above it too. An alignment that is near enough lies within a band around the diagonal; only texts of the same words in
+    another order need more than the band."""
     total = len(a) + len(b)
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if NINTHS * (total - 2 * len(i)) > total:
-        return total - 2 * len(i)
-    inside = np.abs(i - j) <= total // NINTHS
-    i, j = i[inside], j[inside]
-    j = j[np.argsort(i)]
-    if len(j) < 2 or (np.diff(j) > 0).all():
-        return total - 2 * len(j)
-    tails: list[int] = []
-    for x in j.tolist():
-        k = bisect_left(tails, x)
-        tails[k : k + 1] = [x]
-    return total - 2 * len(tails)
-
-
-def parities(parts: list[np.ndarray]) -> np.ndarray:
-    """Of each sequence, for each of its bits the parity of how many shingles hash to it. Two sets of shingles differ in at
-    least as many as their parities do."""
-    place = [np.bincount((x >> U64(55)).astype(np.int64), minlength=64 * len(BITS)) & 1 for x in parts]
-    bits = np.array(place, np.uint8).reshape(len(parts), 64 * len(BITS))
-    return np.packbits(bits, axis=1).view("<i8")
+    if NINTHS * abs(len(a) - len(b)) > total:
+        return abs(len(a) - len(b))
+    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    least = total - 2 * int(np.minimum(n[i], m[j]).sum())
+    if NINTHS * least > total:
+        return least
+    short = min(len(a), len(b))
+    other = np.flatnonzero(a[:short] != b[:short])
+    first = int(other[0]) if len(other) else short
+    other = np.flatnonzero(a[first:][::-1][: short - first] != b[first:][::-1][: short - first])
+    last = int(other[0]) if len(other) else short - first
+    inner = a[first : len(a) - last].tolist(), b[first : len(b) - last].tolist()
+    found = total - 2 * (first + last + common(*inner, total // NINTHS))
+    return found if NINTHS * found <= total else total - 2 * (first + last + common(*inner, total))
+
+
+def elements(words: np.ndarray, frequent_words: dict[int, int]) -> np.ndarray:
+    """The words of a text, each labelled with its occurrence, as even numbers in order: rare words before frequent ones."""
+    order = np.argsort(words, kind="stable")
+    w = words[order]
+    fresh = np.concatenate([[True], w[1:] != w[:-1]]) if len(w) else np.zeros(0, bool)
+    at = np.arange(len(w))
+    again = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    rank = np.array([frequent_words.get(x, 0) for x in w.tolist()], U64)
+    return np.sort((rank << U64(57)) | (mix(w + again.astype(U64) * U64(0xA24BAED4963EE407)) >> U64(8)) << U64(1)).view(np.int64)
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,131 +153,148 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for b in batches:
             for part in slices(b.column(1)):
                 c = b.slice(*part)
-                shingles, ends = labelled(*words_of(c.column(1)))
-                keys = []
-                for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                    h = shingles[s:e]
-                    keys.append(None if s == e else slots(h, SLOTS, KEEP, 1) + (slots(h, SHORT_SLOTS, SHORT_KEEP, 1001) if e - s <= SHORT else []))
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(2), pa.array(np.diff(ends), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [id_col, "h", "n", "keys"])
-
-    rows = written(
-        df.select(id_col, text_col, F.md5(F.col(text_col).cast("binary")).alias("h")).mapInArrow(sketched, f"`{id_col}` {kind}, h string, n long, keys array<long>"), "sketches"
-    )
-    has_words = F.col(id_col).isNotNull() & F.col("keys").isNotNull()
+                keys = sketch(*words_of(c.column(1)))
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(2), pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "keys"])
+
+    hashed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("h"))
+    rows = written(hashed.select("id", "text", "h").mapInArrow(sketched, f"id {kind}, h binary, keys array<long>"), "sketches")
+    has_words = F.col("id").isNotNull() & F.col("keys").isNotNull()
     sound = rows.where(has_words)
-    # Equal texts meet in their smallest id; ids that repeat with other texts join these texts' nodes below.
-    nodes = sound.groupBy("h").agg(F.min(id_col).alias("node"), F.count("*").alias("size"))
-    bucket = (
-        sound.join(nodes, "h").where(F.col(id_col) == F.col("node"))
-        .select("node", F.explode("keys").alias("key")).distinct()
-    )
-    bucket = written(bucket, "buckets")
-    shared = bucket.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    live = written(bucket.select("key", "node").join(shared, "key"), "live")
+    # Equal texts are one node; copies are combined before the shuffle.
+    nodes = written(sound.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("size"), F.any_value("keys").alias("keys")), "nodes")
+    bucket = written(nodes.select("h", F.explode(F.array_distinct("keys")).alias("key")), "buckets")
+    shared = written(bucket.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    live = written(looked_up(bucket, shared.withColumn("others", F.col("size")), "key"), "live")
     # The pivot of a bucket is the node that shares most: of a group of edited copies, the text they come from.
-    degrees = live.groupBy("node").agg(F.sum("size").alias("degree"))
-    ranked = live.join(degrees, "node").select("key", "node", F.struct("degree", "node").alias("rank"))
-    pivots = ranked.groupBy("key").agg(F.max("rank").alias("rank")).select("key", F.col("rank.node").alias("pivot"))
-    star = live.select("key", "node").join(pivots, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in range(0, b.num_rows, 512):
-                c = b.slice(part, 512)
-                shingles, ends = labelled(*words_of(c.column(1)))
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([shingles[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:])], pa.binary())], ["node", "seq"])
+    degrees = live.groupBy("h").agg(F.sum("others").alias("degree"))
+    ranked = live.join(degrees, "h").select("key", F.struct("degree", "h").alias("rank"))
+    pivots = written(ranked.groupBy("key").agg(F.max("rank").alias("rank"), F.count("*").alias("size")).select("key", F.col("rank.h").alias("pivot"), "size"), "pivots")
+    star = looked_up(live.select("key", "h"), pivots, "key").where("h <> pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b")).distinct()
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b.column(1)):
+            for part in slices(b.column(2)):
                 c = b.slice(*part)
-                shingles, ends = labelled(*words_of(c.column(1)))
-                parts = [shingles[s:e] for s, e in zip(ends[:-1], ends[1:])]
-                bits = [pa.array(x, pa.int64()) for x in parities(parts).T]
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([x.tobytes() for x in parts], pa.binary()), *bits], ["node", "seq", *BITS])
-
-    # A pivot of very many nodes is looked up in shares, so that no task holds all of them with their texts.
-    wanted = live.select("node").distinct()
-    texts = df.select(F.col(id_col).alias("node"), text_col).join(wanted.hint("merge"), "node", "left_semi").mapInArrow(arrays, f"node {kind}, seq binary, {', '.join(f'{c} long' for c in BITS)}").where("length(seq) > 0").distinct()
+                words, ends = words_of(c.column(2))
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([words[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:])], pa.binary())], ["h", "words"])
+
+    # One text of each node that is compared, found by id and content, so that copies of it are spread by their ids.
+    wanted = nodes.join(live.select("h").distinct(), "h", "left_semi").select("id", "h")
+    texts = hashed.join(wanted.hint("merge"), ["id", "h"], "left_semi").select("h", "id", "text").mapInArrow(counted, "h binary, words binary").dropDuplicates(["h"])
     texts = written(texts, "texts")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near, extra, missing, total = [], [], [], []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                near.append(NINTHS * distance(x, y) <= len(x) + len(y))
-                extra.append(np.setdiff1d(x, y, assume_unique=True).view(np.int64))
-                missing.append(len(y) - len(x) + len(extra[-1]))
-                total.append(len(x))
-            out = [pa.array(near, pa.bool_()), pa.array(total, pa.int64()), pa.array(missing, pa.int64()), pa.array(extra, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], ["a", "b", "near", "n", "missing", "extra"])
+            pairs = [(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in zip(b.column(2), b.column(3))]
+            far = [distance(x, y) for x, y in pairs]
+            near = pa.array([NINTHS * d <= len(x) + len(y) for d, (x, y) in zip(far, pairs)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), near, pa.array(far, pa.int64())], ["a", "b", "near", "distance"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """a has few pairs here, b may have any number."""
-        left = texts.select(F.col("node").alias("a"), F.col("seq").alias("seq_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("seq").alias("seq_b"))
+        left = texts.select(F.col("h").alias("a"), F.col("words").alias("words_a"))
+        right = texts.select(F.col("h").alias("b"), F.col("words").alias("words_b"))
         hot = frequent(pairs.groupBy("b").agg(F.count("*").alias("size")), pairs.count())
-        both = dealt_join(pairs.join(left, "a"), right, ["b"], hot).select("a", "b", "seq_a", "seq_b")
-        return written(both.mapInArrow(aligned, f"a {kind}, b {kind}, near boolean, n long, missing long, extra array<long>"), "compared")
+        both = dealt_join(pairs.join(left, "a"), right, ["b"], hot).select("a", "b", "words_a", "words_b")
+        return written(both.mapInArrow(aligned, "a binary, b binary, near boolean, distance long"), "compared")
 
     compared = verified(written(star, "star"))
-    links = compared.where("near").select("a", "b")
-    reached = components(links)
-    pairs = written(open_pairs(compared, texts.select(F.col("node").alias("a"), *BITS), reached), "pairs")
-    if not pairs.isEmpty():
-        more = verified(pairs).where("near").select("a", "b")
-        reached = components(more.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    names = nodes.join(reached, "node", "left").select("h", "size", F.coalesce("component", "node").alias("class_of"))
+    reached = components(compared.where("near").select("a", "b"))
+    g = F.xxhash64("b").alias("g")
+    groups = compared.select(g, F.col("a").alias("h")).unionByName(compared.select(g, F.col("b").alias("h")).distinct())
+    if not compared.where("not near").isEmpty():
+        reached = opened(groups, texts, reached, verified)
+    joined = written(nodes.select("h", "id", "size").join(reached.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h")), "joined")
     # Ids that stand on several rows tie their texts together.
-    several = sound.groupBy(id_col).agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 <> h2").select(id_col)
+    several = sound.groupBy("id").agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 <> h2").select("id")
     if not several.isEmpty():
-        ties = sound.join(several, id_col).join(names, "h").select(F.col(id_col).alias("a"), F.col("class_of").alias("b"))
-        tied = components(ties.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        names = names.join(tied.select(F.col("node").alias("class_of"), "component"), "class_of", "left").select("h", "size", F.coalesce("component", "class_of").alias("class_of"))
+        told = sound.select("id", "h").join(several, "id").distinct().join(joined.select("h", "component"), "h")
+        first = told.groupBy("id").agg(F.min("component").alias("first"))
+        tied = components(told.join(first, "id").select(F.col("component").alias("a"), F.col("first").alias("b")))
+        tied = tied.withColumnsRenamed({"node": "component", "component": "root"})
+        joined = written(joined.join(tied, "component", "left").select("h", "id", "size", F.coalesce("root", "component").alias("component")), "joined")
+    smallest = written(joined.groupBy("component").agg(F.min("id").alias("class_of"), F.count("*").alias("size")), "smallest")
+    names = looked_up(joined.select("h", F.col("size").alias("copies"), "component"), smallest, "component").select("h", F.col("copies").alias("size"), "class_of")
     # Wordless texts keep their ids and rows without an id have no class: neither takes part in the join.
-    named = looked_up(sound.select(id_col, "h"), written(names, "names"), "h").select(id_col, F.col("class_of").alias("class_id"))
-    return named.unionByName(rows.where(~has_words).select(id_col, F.col(id_col).alias("class_id")))
-
-
-def open_pairs(compared: DataFrame, bits: DataFrame, reached: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a pivot, are in different components, and may be linked.
-
-    At least one of them, far, is not linked to the pivot. With e shingles that a node has beyond the pivot, m that it
-    lacks, and c that two nodes have beyond it in common, the two differ in at least
-    e + e' + |m - m'| - 2 c shingles; they also differ in at least as many as their parity bits do. A link leaves room
-    for a ninth of n + n'. Groups of nodes that are all in one component already give no pair."""
-    here = compared.withColumnRenamed("b", "pivot").join(reached.select(F.col("node").alias("a"), "component"), "a", "left")
-    here = here.withColumn("component", F.coalesce("component", "a")).join(bits, "a")
-    here = written(here.select("pivot", "a", "component", "near", "n", F.col("missing").alias("m"), F.size("extra").alias("e"), "extra", *BITS), "seen")
-    mixed = [F.count("*").alias("size"), (F.bool_or(~F.col("near")) & (F.min("component") < F.max("component"))).alias("open")]
-
-    def room(common: Column | int) -> Column:
-        differ = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in BITS), F.lit(0))
-        least = F.greatest(differ, F.col("e1") + F.col("e2") + F.abs(F.col("m1") - F.col("m2")) - 2 * common)
-        return NINTHS * least <= F.col("n1") + F.col("n2")
-
-    def paired(rows: DataFrame, keys: list[str], common: Column | int) -> DataFrame:
-        rest = [c for c in rows.columns if c not in keys and c != "near"]
-        left, right = (r.select(*keys, *(F.col(c).alias(f"{c}{k}") for c in rest)) for k, r in ((1, rows.where("not near")), (2, rows)))
-        met = left.join(right, keys).where((F.col("component1") != F.col("component2")) & room(common))
-        return met.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"))
-
-    # Nothing in common beyond the pivot: both have at most n / 4 shingles beyond it, and lengths at most 5 : 4.
-    band = F.floor(F.log("n") / F.log(F.lit(1.25)))
-    few = here.where("4 * e <= n").drop("extra").withColumn("band", F.explode(F.array(band, band + 1)))
-    same = written(few.groupBy("pivot", "band").agg(*mixed), "bands").where("open")
-    apart = paired(few.join(same.select("pivot", "band"), ["pivot", "band"], "left_semi"), ["pivot", "band"], 0)
-    # Something in common beyond it: at least e - n / 4 shingles of each, for room is at most n / 4. So they share one of
-    # the rarest n / 4 + 1 of each, and common passages are not looked up. The first shingle that two nodes share, rarest
-    # first, also bounds how many they share by what is left after it.
-    each = here.select("pivot", "a", F.explode("extra").alias("x"))
-    grouped = here.select("pivot", "component", "near", F.explode("extra").alias("x")).groupBy("pivot", "x").agg(*mixed).where("size > 1")
-    marked = looked_up(each, written(grouped.withColumn("often", F.col("size")), "often"), ["pivot", "x"], "left")
-    place = F.row_number().over(W.partitionBy("pivot", "a").orderBy(F.coalesce("often", F.lit(1)), "x"))
-    rare = marked.withColumn("place", place).where("open").join(here.drop("extra"), ["pivot", "a"])
-    rare = written(rare.where("place <= floor(n / 4) + 1").withColumn("left", F.col("e") - F.col("place") + 1).drop("often", "open", "place"), "rare")
-    return apart.unionByName(paired(rare, ["pivot", "x"], F.least("left1", "left2"))).distinct()
+    named = looked_up(sound.select("id", "h"), written(names, "names"), "h").select(F.col("id").alias(id_col), F.col("class_of").alias("class_id"))
+    return named.unionByName(rows.where(~has_words).select(F.col("id").alias(id_col), F.col("id").alias("class_id")))
+
+
+def opened(groups: DataFrame, texts: DataFrame, reached: DataFrame, verified) -> DataFrame:
+    """Components after all links within groups (g, h) are found.
+
+    A group is left as soon as its nodes are of one component. Else let its centre be the words that most of a few of its
+    nodes have, and D a node's difference from it, a set of words that it has beyond the centre or lacks. Two nodes of n and
+    m words differ by at least |D| + |E| - 2 |D and E|, and are linked only if that is at most (n + m) / 9. So
+
+    - either |D| + |E| is at most (n + m) / 9. Then both are as near to the pivot, the node with the largest n / 9 - |D|, by
+      their words, and are compared with it. Only the order of words can keep one from being linked to it. Those that are
+      not, and others whose distances to the pivot leave room for a link with one of them, are a group of the next round;
+    - or they share a word of D and E, and one of the n / 4 + 1 rarest of each, since linked texts are at most 5 : 4 as
+      long. Each such word is a group of its own in the next round, with its own centre, to which the word then belongs. It is
+      never all of the group, so rounds come to an end. Of words with the same nodes one is taken.
+
+    So a passage that many texts share is in the centre, and what they have beside it decides; pairs are never listed."""
+    size = F.octet_length("words") / 8
+    sample = texts.orderBy("h").limit(FREQUENCIES)  # contents' hashes: any bounded sample does, for it only orders words
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(1):
+                w = np.unique(np.frombuffer(x.as_buffer(), U64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64())], ["w"])
+
+    often = sample.mapInArrow(seen, "w long").groupBy("w").count().where("count > 3").collect()
+    ranks = {x["w"] & 0xFFFFFFFFFFFFFFFF: min(63, x["count"].bit_length()) for x in often}
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                c = b.slice(k, 256)
+                sets = [elements(np.frombuffer(x.as_buffer(), U64), ranks) for x in c.column(1)]
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["h", "n", "x"])
+
+    words = written(texts.join(groups.select("h").distinct(), "h", "left_semi").select("h", "words").where(size > 0).mapInArrow(ordered, "h binary, n long, x array<long>"), "words")
+    several = [F.count("*").alias("size"), (F.min("component") < F.max("component")).alias("open")]
+    while True:
+        told = groups.join(reached.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+        told = written(told, "told")
+        live = written(told.groupBy("g").agg(*several).where("open").select("g", "size"), "open")
+        if live.isEmpty():
+            return reached
+        members = written(looked_up(told, live, "g"), "members")
+        few = members.select("g", "h").withColumn("k", F.row_number().over(W.partitionBy("g").orderBy("h"))).where(F.col("k") <= CENTRE)
+        few = few.join(words.select("h", "x"), "h").select("g", F.explode("x").alias("x"))
+        most = members.groupBy("g").agg(F.least(F.count("*"), F.lit(CENTRE)).alias("of"))
+        centre = few.groupBy("g", "x").agg(F.count("*").alias("c")).join(most, "g").where("2 * c > of").groupBy("g").agg(F.collect_list("x").alias("centre"))
+        centre = written(live.join(centre, "g", "left").select("g", F.coalesce("centre", F.array().cast("array<long>")).alias("centre"), "size"), "centres")
+        placed = looked_up(members.join(words, "h"), centre, "g")
+        apart = F.array_sort(F.concat(F.array_except("x", "centre"), F.transform(F.array_except("centre", "x"), lambda v: v + 1)))
+        placed = placed.select("g", "h", "component", "n", apart.alias("d")).withColumn("slack", F.col("n") - NINTHS * F.size("d"))
+        placed = written(placed, "placed")
+        best = placed.groupBy("g").agg(F.max(F.struct("slack", "h", "component")).alias("p"), F.count("*").alias("size"))
+        best = written(best.select("g", F.col("p.h").alias("pivot"), F.col("p.slack").alias("room"), F.col("p.component").alias("of"), "size"), "best")
+        core = looked_up(placed.drop("d"), best, "g").where((F.col("h") != F.col("pivot")) & (F.col("slack") + F.col("room") >= 0))
+        core = written(core, "core")
+        ends = [F.col("h").alias("a"), F.col("pivot").alias("b")]
+        apart = F.col("component") != F.col("of")
+        more = verified(written(core.where(apart).select(*ends).distinct(), "pairs"))
+        reached = components(more.where("near").select("a", "b").unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        far = core.where(apart).join(more.withColumnsRenamed({"a": "h", "b": "pivot"}), ["h", "pivot"])
+        least = written(far.where("not near").groupBy("g").agg(F.min(NINTHS * F.col("distance") - F.col("n")).alias("least"), F.count("*").alias("size")), "least")
+        rest = groups.limit(0)
+        if not least.isEmpty():
+            # Nodes of the pivot's own component have to be near enough to the far ones too.
+            own = core.where(~apart).join(least.select("g"), "g", "left_semi")
+            told = verified(written(own.select(*ends).distinct(), "own")).withColumnsRenamed({"a": "h", "b": "pivot"})
+            all_of = far.select("g", "h", "pivot", "n", "distance").unionByName(own.join(told, ["h", "pivot"]).select("g", "h", "pivot", "n", "distance"))
+            rest = looked_up(all_of, least, "g").where(NINTHS * F.col("distance") + F.col("n") >= F.col("least")).select(F.xxhash64("g", "pivot").alias("g"), "h")
+        each = placed.select("g", "h", "component", F.explode(F.slice("d", 1, F.least(F.size("d"), F.floor(F.col("n") / 4).cast("int") + 1))).alias("x"))
+        each = written(each, "differing")
+        split = each.groupBy("g", "x").agg(*several, F.bit_xor(F.xxhash64("h")).alias("nodes")).where("open")
+        split = split.groupBy("g", "nodes", "size").agg(F.min("x").alias("x")).select("g", "x", "size")
+        parts = looked_up(each.select("g", "x", "h"), written(split, "split"), ["g", "x"]).select(F.xxhash64("g", "x").alias("g"), "h")
+        groups = written(parts.unionByName(rest), "groups")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
