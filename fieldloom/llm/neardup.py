@@ -33,13 +33,15 @@ from .common import U64, components, dealt_join, frequent, looked_up, mix, slice
 
 SHINGLE = 5
 #: Slots and shingles in each: where a tenth of the words are edited, two in five shingles of five words are shared.
-SLOTS, KEEP = 40, 3
+SLOTS, KEEP = 32, 3
 #: Shingles of two words have SHORT_SLOTS slots by the number of words, MOST_SHORT at most.
 SHORT_SHINGLE, SHORT_SLOTS, MOST_SHORT = 2, 480, 32
 #: A similarity of at least 0.8 is a distance n + m - 2 L of at most (n + m) / 9.
 NINTHS = 9
-#: Nodes whose common words are the centre of a group, and nodes whose words tell which words are frequent.
-CENTRE, FREQUENCIES = 5, 2000
+#: So many nodes of a group outside its largest component are few; columns of parity bits, 64 in each.
+FEW, BITS = 48, [f"bits{k}" for k in range(8)]
+#: Nodes whose common words are the centre of a larger group, and nodes whose words tell which words are frequent.
+CENTRE, FREQUENCIES = 3, 2000
 
 
 def labelled(hashes: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +137,22 @@ def distance(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def elements(words: np.ndarray, frequent_words: dict[int, int]) -> np.ndarray:
-    """The words of a text, each labelled with its occurrence, as even numbers in order: rare words before frequent ones."""
+    """The words of a text, each labelled with its occurrence, as even numbers in order: rare words before frequent ones.
+    Different words may be one number, which makes texts differ in fewer elements and keeps every bound."""
     order = np.argsort(words, kind="stable")
     w = words[order]
     fresh = np.concatenate([[True], w[1:] != w[:-1]]) if len(w) else np.zeros(0, bool)
     at = np.arange(len(w))
     again = at - np.maximum.accumulate(np.where(fresh, at, 0))
-    rank = np.array([frequent_words.get(x, 0) for x in w.tolist()], U64)
-    return np.sort((rank << U64(57)) | (mix(w + again.astype(U64) * U64(0xA24BAED4963EE407)) >> U64(8)) << U64(1)).view(np.int64)
+    rank = np.array([frequent_words.get(x, 0) for x in w.tolist()] if frequent_words else np.zeros(len(w)), U64)
+    return np.unique((rank << U64(27)) | (mix(w + again.astype(U64) * U64(0xA24BAED4963EE407)) >> U64(38)) << U64(1)).astype(np.int32)
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set, for each bit the parity of how many elements fall on it. Two sets differ in at least as many elements as
+    their bits do."""
+    place = [np.bincount(x >> 1 & 511, minlength=64 * len(BITS)) & 1 for x in sets]
+    return np.packbits(np.array(place, np.uint8).reshape(len(sets), 64 * len(BITS)), axis=1).view("<i8")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,13 +166,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 keys = sketch(*words_of(c.column(1)))
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(2), pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "keys"])
 
-    hashed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("h"))
-    rows = written(hashed.select("id", "text", "h").mapInArrow(sketched, f"id {kind}, h binary, keys array<long>"), "sketches")
-    has_words = F.col("id").isNotNull() & F.col("keys").isNotNull()
-    sound = rows.where(has_words)
-    # Equal texts are one node; copies are combined before the shuffle.
-    nodes = written(sound.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("size"), F.any_value("keys").alias("keys")), "nodes")
-    bucket = written(nodes.select("h", F.explode(F.array_distinct("keys")).alias("key")), "buckets")
+    content = F.col(text_col)
+    has_words = F.coalesce(F.col(id_col).isNotNull() & content.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    hashed = df.select(F.col(id_col).alias("id"), content.alias("text"), F.unhex(F.md5(content.cast("binary"))).alias("h"), has_words.alias("sound"))
+    sound = hashed.where("sound").select("id", "h")
+    # Equal texts are one node, the smallest of their ids; copies are combined before the shuffle. Texts that share an id are one
+    # document, so they may share a node too.
+    sketches = hashed.where("sound").select("id", "text", "h").mapInArrow(sketched, f"id {kind}, h binary, keys array<long>")
+    nodes = written(sketches.groupBy("h").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.any_value("keys").alias("keys")), "nodes")
+    bucket = nodes.select(F.col("node").alias("h"), F.explode("keys").alias("key")).distinct()
     shared = written(bucket.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     live = written(looked_up(bucket, shared.withColumn("others", F.col("size")), "key"), "live")
     # The pivot of a bucket is the node that shares most: of a group of edited copies, the text they come from.
@@ -176,12 +188,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for part in slices(b.column(2)):
                 c = b.slice(*part)
                 words, ends = words_of(c.column(2))
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([words[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:])], pa.binary())], ["h", "words"])
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([words[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:])], pa.binary())], ["h", "of", "words"])
 
     # One text of each node that is compared, found by id and content, so that copies of it are spread by their ids.
-    wanted = nodes.join(live.select("h").distinct(), "h", "left_semi").select("id", "h")
-    texts = hashed.join(wanted.hint("merge"), ["id", "h"], "left_semi").select("h", "id", "text").mapInArrow(counted, "h binary, words binary").dropDuplicates(["h"])
-    texts = written(texts, "texts")
+    wanted = nodes.join(live.select(F.col("h").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("id"), "h")
+    once = hashed.where("sound").join(wanted.hint("merge"), ["id", "h"], "left_semi").select("id", "h", "text")
+    texts = written(once.mapInArrow(counted, f"h {kind}, of binary, words binary").dropDuplicates(["h", "of"]).drop("of"), "texts")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,36 +208,33 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         right = texts.select(F.col("h").alias("b"), F.col("words").alias("words_b"))
         hot = frequent(pairs.groupBy("b").agg(F.count("*").alias("size")), pairs.count())
         both = dealt_join(pairs.join(left, "a"), right, ["b"], hot).select("a", "b", "words_a", "words_b")
-        return written(both.mapInArrow(aligned, "a binary, b binary, near boolean, distance long"), "compared")
+        return written(both.mapInArrow(aligned, f"a {kind}, b {kind}, near boolean, distance long"), "compared")
 
     compared = verified(written(star, "star"))
     reached = components(compared.where("near").select("a", "b"))
-    g = F.xxhash64("b").alias("g")
-    groups = compared.select(g, F.col("a").alias("h")).unionByName(compared.select(g, F.col("b").alias("h")).distinct())
+    # The pivot is compared with all of its nodes; what is left are the pairs of these.
+    groups = compared.select(F.xxhash64("b").alias("g"), F.col("a").alias("h")).distinct()
     if not compared.where("not near").isEmpty():
         reached = opened(groups, texts, reached, verified)
-    joined = written(nodes.select("h", "id", "size").join(reached.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h")), "joined")
+    names = nodes.join(reached, "node", "left").select("h", "size", F.coalesce("component", "node").alias("class_of"))
     # Ids that stand on several rows tie their texts together.
     several = sound.groupBy("id").agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 <> h2").select("id")
     if not several.isEmpty():
-        told = sound.select("id", "h").join(several, "id").distinct().join(joined.select("h", "component"), "h")
-        first = told.groupBy("id").agg(F.min("component").alias("first"))
-        tied = components(told.join(first, "id").select(F.col("component").alias("a"), F.col("first").alias("b")))
-        tied = tied.withColumnsRenamed({"node": "component", "component": "root"})
-        joined = written(joined.join(tied, "component", "left").select("h", "id", "size", F.coalesce("root", "component").alias("component")), "joined")
-    smallest = written(joined.groupBy("component").agg(F.min("id").alias("class_of"), F.count("*").alias("size")), "smallest")
-    names = looked_up(joined.select("h", F.col("size").alias("copies"), "component"), smallest, "component").select("h", F.col("copies").alias("size"), "class_of")
+        ties = sound.join(several, "id").join(names, "h").select(F.col("id").alias("a"), F.col("class_of").alias("b"))
+        tied = components(ties.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        names = names.join(tied.select(F.col("node").alias("class_of"), "component"), "class_of", "left").select("h", "size", F.coalesce("component", "class_of").alias("class_of"))
     # Wordless texts keep their ids and rows without an id have no class: neither takes part in the join.
-    named = looked_up(sound.select("id", "h"), written(names, "names"), "h").select(F.col("id").alias(id_col), F.col("class_of").alias("class_id"))
-    return named.unionByName(rows.where(~has_words).select(F.col("id").alias(id_col), F.col("id").alias("class_id")))
+    named = looked_up(sound, written(names, "names"), "h").select(F.col("id").alias(id_col), F.col("class_of").alias("class_id"))
+    return named.unionByName(hashed.where("not sound").select(F.col("id").alias(id_col), F.col("id").alias("class_id")))
 
 
 def opened(groups: DataFrame, texts: DataFrame, reached: DataFrame, verified) -> DataFrame:
-    """Components after all links within groups (g, h) are found.
+    """Components after all links within groups (g, h) are found. A group is left as soon as its nodes are of one component.
 
-    A group is left as soon as its nodes are of one component. Else let its centre be the words that most of a few of its
-    nodes have, and D a node's difference from it, a set of words that it has beyond the centre or lacks. Two nodes of n and
-    m words differ by at least |D| + |E| - 2 |D and E|, and are linked only if that is at most (n + m) / 9. So
+    Where at most FEW nodes are outside the largest component, these are compared with the nodes of other components, but
+    only if lengths and parity bits leave room for a link, which hardly any others' do. Of another group let the centre be the words that most of a few of its nodes have, and
+    D a node's difference from it, the words that it has beyond the centre or lacks. Two nodes of n and m words differ by at
+    least |D| + |E| - 2 |D and E|, and are linked only if that is at most (n + m) / 9. So
 
     - either |D| + |E| is at most (n + m) / 9. Then both are as near to the pivot, the node with the largest n / 9 - |D|, by
       their words, and are compared with it. Only the order of words can keep one from being linked to it. Those that are
@@ -234,9 +243,9 @@ def opened(groups: DataFrame, texts: DataFrame, reached: DataFrame, verified) ->
       long. Each such word is a group of its own in the next round, with its own centre, to which the word then belongs. It is
       never all of the group, so rounds come to an end. Of words with the same nodes one is taken.
 
-    So a passage that many texts share is in the centre, and what they have beside it decides; pairs are never listed."""
-    size = F.octet_length("words") / 8
-    sample = texts.orderBy("h").limit(FREQUENCIES)  # contents' hashes: any bounded sample does, for it only orders words
+    So a passage that many texts share is in the centre, and what they have beside it decides. Both bounds are exact."""
+    kind = texts.schema["h"].dataType.simpleString()
+    sample = texts.orderBy(F.xxhash64("h")).limit(FREQUENCIES)  # any bounded sample does: it only orders words
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,53 +254,68 @@ def opened(groups: DataFrame, texts: DataFrame, reached: DataFrame, verified) ->
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64())], ["w"])
 
     often = sample.mapInArrow(seen, "w long").groupBy("w").count().where("count > 3").collect()
-    ranks = {x["w"] & 0xFFFFFFFFFFFFFFFF: min(63, x["count"].bit_length()) for x in often}
+    ranks = {x["w"] & 0xFFFFFFFFFFFFFFFF: min(15, x["count"].bit_length()) for x in often}
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 c = b.slice(k, 256)
                 sets = [elements(np.frombuffer(x.as_buffer(), U64), ranks) for x in c.column(1)]
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["h", "n", "x"])
+                size = pa.array([len(x.as_buffer()) // 8 for x in c.column(1)], pa.int64())
+                bits = [pa.array(x, pa.int64()) for x in parities(sets).T]
+                yield pa.RecordBatch.from_arrays([c.column(0), size, pa.array(sets, pa.list_(pa.int32())), *bits], ["h", "n", "x", *BITS])
 
-    words = written(texts.join(groups.select("h").distinct(), "h", "left_semi").select("h", "words").where(size > 0).mapInArrow(ordered, "h binary, n long, x array<long>"), "words")
+    here = texts.join(groups.select("h").distinct(), "h", "left_semi").select("h", "words")
+    words = written(here.mapInArrow(ordered, f"h {kind}, n long, x array<int>, {', '.join(f'{c} long' for c in BITS)}"), "words")
     several = [F.count("*").alias("size"), (F.min("component") < F.max("component")).alias("open")]
+    edges = lambda links: links.where("near").select("a", "b").unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
     while True:
         told = groups.join(reached.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
         told = written(told, "told")
-        live = written(told.groupBy("g").agg(*several).where("open").select("g", "size"), "open")
+        parts = told.groupBy("g", "component").agg(F.count("*").alias("c"))
+        live = parts.groupBy("g").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top"))
+        live = written(live.where("size > top.c").select("g", "size", F.col("top.component").alias("top"), (F.col("size") - F.col("top.c") <= FEW).alias("easy")), "open")
+        members = written(looked_up(told, live, "g"), "members")
+        near = members.where("easy").join(words.drop("x"), "h").drop("easy")
+        one, two = (near.withColumnsRenamed({c: f"{c}{k}" for c in near.columns if c != "g"}) for k in (1, 2))
+        differ = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in BITS), F.lit(0))
+        room = F.greatest(differ, F.abs(F.col("n1") - F.col("n2"))) * NINTHS <= F.col("n1") + F.col("n2")
+        once = (F.col("component1") != F.col("component2")) & ((F.col("component2") == F.col("top2")) | (F.col("h1") < F.col("h2")))
+        tried = one.where("component1 <> top1").join(two, "g").where(once & room).select(F.col("h2").alias("a"), F.col("h1").alias("b")).distinct()
+        tried = written(tried, "pairs")
+        if not tried.isEmpty():
+            reached = components(edges(verified(tried)))
+        live = written(live.where("not easy").select("g", "size"), "large")
         if live.isEmpty():
             return reached
-        members = written(looked_up(told, live, "g"), "members")
+        members = members.where("not easy").drop("easy", "top")
         few = members.select("g", "h").withColumn("k", F.row_number().over(W.partitionBy("g").orderBy("h"))).where(F.col("k") <= CENTRE)
         few = few.join(words.select("h", "x"), "h").select("g", F.explode("x").alias("x"))
-        most = members.groupBy("g").agg(F.least(F.count("*"), F.lit(CENTRE)).alias("of"))
-        centre = few.groupBy("g", "x").agg(F.count("*").alias("c")).join(most, "g").where("2 * c > of").groupBy("g").agg(F.collect_list("x").alias("centre"))
-        centre = written(live.join(centre, "g", "left").select("g", F.coalesce("centre", F.array().cast("array<long>")).alias("centre"), "size"), "centres")
-        placed = looked_up(members.join(words, "h"), centre, "g")
+        centre = few.groupBy("g", "x").agg(F.count("*").alias("c")).where(2 * F.col("c") > CENTRE).groupBy("g").agg(F.collect_list("x").alias("centre"))
+        centre = written(live.join(centre, "g", "left").select("g", F.coalesce("centre", F.array().cast("array<int>")).alias("centre"), "size"), "centres")
         apart = F.array_sort(F.concat(F.array_except("x", "centre"), F.transform(F.array_except("centre", "x"), lambda v: v + 1)))
-        placed = placed.select("g", "h", "component", "n", apart.alias("d")).withColumn("slack", F.col("n") - NINTHS * F.size("d"))
-        placed = written(placed, "placed")
+        placed = looked_up(members.join(words.select("h", "n", "x"), "h"), centre, "g").select("g", "h", "component", "n", apart.alias("d"))
+        rarest = F.slice("d", 1, F.floor(F.col("n") / 4).cast("int") + 1)
+        placed = written(placed.withColumns({"slack": F.col("n") - NINTHS * F.size("d"), "d": rarest}), "placed")
         best = placed.groupBy("g").agg(F.max(F.struct("slack", "h", "component")).alias("p"), F.count("*").alias("size"))
         best = written(best.select("g", F.col("p.h").alias("pivot"), F.col("p.slack").alias("room"), F.col("p.component").alias("of"), "size"), "best")
         core = looked_up(placed.drop("d"), best, "g").where((F.col("h") != F.col("pivot")) & (F.col("slack") + F.col("room") >= 0))
         core = written(core, "core")
         ends = [F.col("h").alias("a"), F.col("pivot").alias("b")]
-        apart = F.col("component") != F.col("of")
-        more = verified(written(core.where(apart).select(*ends).distinct(), "pairs"))
-        reached = components(more.where("near").select("a", "b").unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        far = core.where(apart).join(more.withColumnsRenamed({"a": "h", "b": "pivot"}), ["h", "pivot"])
+        other = F.col("component") != F.col("of")
+        more = verified(written(core.where(other).select(*ends).distinct(), "starred"))
+        reached = components(edges(more))
+        far = core.where(other).join(more.withColumnsRenamed({"a": "h", "b": "pivot"}), ["h", "pivot"])
         least = written(far.where("not near").groupBy("g").agg(F.min(NINTHS * F.col("distance") - F.col("n")).alias("least"), F.count("*").alias("size")), "least")
         rest = groups.limit(0)
         if not least.isEmpty():
             # Nodes of the pivot's own component have to be near enough to the far ones too.
-            own = core.where(~apart).join(least.select("g"), "g", "left_semi")
-            told = verified(written(own.select(*ends).distinct(), "own")).withColumnsRenamed({"a": "h", "b": "pivot"})
-            all_of = far.select("g", "h", "pivot", "n", "distance").unionByName(own.join(told, ["h", "pivot"]).select("g", "h", "pivot", "n", "distance"))
+            own = core.where(~other).join(least.select("g"), "g", "left_semi")
+            said = verified(written(own.select(*ends).distinct(), "own")).withColumnsRenamed({"a": "h", "b": "pivot"})
+            all_of = far.select("g", "h", "pivot", "n", "distance").unionByName(own.join(said, ["h", "pivot"]).select("g", "h", "pivot", "n", "distance"))
             rest = looked_up(all_of, least, "g").where(NINTHS * F.col("distance") + F.col("n") >= F.col("least")).select(F.xxhash64("g", "pivot").alias("g"), "h")
-        each = placed.select("g", "h", "component", F.explode(F.slice("d", 1, F.least(F.size("d"), F.floor(F.col("n") / 4).cast("int") + 1))).alias("x"))
-        each = written(each, "differing")
-        split = each.groupBy("g", "x").agg(*several, F.bit_xor(F.xxhash64("h")).alias("nodes")).where("open")
+        each = written(placed.select("g", "h", "component", F.explode("d").alias("x")), "differing")
+        split = each.groupBy("g", "x").agg(*several, F.struct(F.bit_xor(F.xxhash64("h")), F.try_sum(F.shiftright(F.xxhash64("h"), 24))).alias("nodes")).where("open")
         split = split.groupBy("g", "nodes", "size").agg(F.min("x").alias("x")).select("g", "x", "size")
         parts = looked_up(each.select("g", "x", "h"), written(split, "split"), ["g", "x"]).select(F.xxhash64("g", "x").alias("g"), "h")
         groups = written(parts.unionByName(rest), "groups")
