@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -551,3 +552,28 @@ def event_log(t):
     fields = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("token"), F.col("props"), F.lit("level"), F.lit("x"))
     e = t("events").withColumn("at", F.col("ts").cast("timestamp"))
     return event_lines(e, F.col("at"), F.lit("INFO"), F.lit("app"), F.col("event_type"), F.lit(None).cast("string"), fields)
+
+
+def outcome(row_number: int, payload: str | None, nth: int) -> str | None:
+    """Work of which some rows fail once and some always."""
+    if row_number % 23 == 5 or row_number % 11 == 3 and nth == 1:
+        raise ValueError("no answer")
+    return payload
+
+
+@query("""SELECT event_id AS row_number, CASE WHEN event_id % 23 <> 5 THEN event_type END AS result, CASE WHEN event_id % 23 = 5 THEN 'ERROR:REQUEST_FAILED' ELSE 'OK' END AS "ESTADO",
+CASE WHEN event_id % 23 = 5 OR event_id % 11 = 3 THEN 2 ELSE 1 END AS tries FROM events""")
+def settled_events(t):
+    """All events as rows of work, in three runs that go on from the state of the one before: a half, then all of them, which
+    brings that half again, and then that half once more. Every row is settled once, with a second try where one fails."""
+    from .operators.tables import shared_folder
+    from .streaming.attempts import SETTLED, settle
+
+    rows = t("events").select(F.col("event_id").cast("long").alias("row_number"), F.col("event_type").alias("payload"))
+    folder = f"{shared_folder(rows.sparkSession)}/settled-{uuid.uuid4().hex}"
+    half = rows.where(F.pmod(F.xxhash64("row_number"), F.lit(2)) == 0)
+    for part in (half, rows, half):
+        part.write.mode("append").parquet(f"{folder}/in")
+        incoming = rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        settle(rows.sparkSession, incoming, outcome, f"{folder}/out", f"{folder}/state", wait_ms=1).awaitTermination()
+    return rows.sparkSession.read.schema(SETTLED).parquet(f"{folder}/out")
