@@ -3,31 +3,67 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _bases() -> tuple[str, str]:
-    """Every precomposed letter of the basic plane and the one base letter it decomposes to."""
-    rule = {}
-    for code in range(0xC0, 0xFFFE):
-        parts = [p for p in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(p) != "Mn"]
-        if len(parts) == 1 and parts[0] != chr(code):
-            rule[chr(code)] = parts[0]
-    return "".join(rule), "".join(rule.values())
+def _rule(change: Callable[[str], str]) -> tuple[str, str, dict[str, str]]:
+    """What a change of single characters does to every code point: those that become one other character and what each
+    becomes, and those that become several or none. Hangul syllables, which follow a rule of their own, are left out."""
+    one, several = {}, {}
+    for code in (*range(0x80, 0xAC00), *range(0xE000, 0x110000)) if change("A") == "A" else (*range(0x41, 0xAC00), *range(0xE000, 0x110000)):
+        c = chr(code)
+        if (out := change(c)) != c:
+            (one if len(out) == 1 else several)[c] = out
+    return "".join(one), "".join(one.values()), several
 
 
-_COMPOSED, _BASE = _bases()
+def _bare(c: str) -> str:
+    return "".join(p for p in unicodedata.normalize("NFD", c) if unicodedata.category(p) != "Mn")
+
+
+_COMPOSED, _BASE, _PARTS = _rule(_bare)
+_PARTS = {c: out for c, out in _PARTS.items() if out}  # what vanishes is a mark
+_CAPITAL, _SMALL, _FOLDS = _rule(str.casefold)
+#: Marks; one letter was taken for a mark by older versions of Unicode.
+_MARKS = r"[\p{Mn}&&[^\u1734]]"
+#: The first syllable, and the numbers of vowels and of final consonants, by which syllables are composed of letters.
+_SYLLABLE, _VOWELS, _FINALS = 0xAC00, 21, 28
 #: Characters that separate a label from its value, and glyphs that are read for one another.
 SEPARATORS = ":;,.·|¦!\\-—–_"
 CONFUSED, FOLDED = "ODQILSZB", "00011528"
 ORDINALS = ("n", "no", "nro", "n0")
 
 
+def _spelled(s: Column, table: dict[str, str]) -> Column:
+    """Characters of a table replaced by the several that they become; only texts that have one are taken apart."""
+    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    each = F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(known, c), c))
+    return F.when(s.rlike("[" + "".join(table) + "]"), F.array_join(each, "")).otherwise(s)
+
+
+def _letters(s: Column) -> Column:
+    """Hangul syllables as their two or three letters, by arithmetic on code points."""
+    first, vowel, final = (F.array(*(F.lit(chr(at + k) if at + k >= least else "") for k in range(n))) for at, n, least in ((0x1100, 19, 0), (0x1161, _VOWELS, 0), (0x11A7, _FINALS, 0x11A8)))
+
+    def apart(c: Column) -> Column:
+        k = F.ascii(c) - _SYLLABLE
+        parts = F.get(first, F.floor(k / (_VOWELS * _FINALS)).cast("int")), F.get(vowel, F.floor(k / _FINALS).cast("int") % _VOWELS), F.get(final, k % _FINALS)
+        return F.when(c.rlike("^[\uac00-\ud7a3]"), F.concat(*parts)).otherwise(c)
+
+    return F.when(s.rlike("[\uac00-\ud7a3]"), F.array_join(F.transform(F.split(s, ""), apart), "")).otherwise(s)
+
+
 def strip_accents(s: Column) -> Column:
     """Decomposed letters without their marks; º, ° and ß are not folded."""
-    return F.regexp_replace(F.translate(s, _COMPOSED, _BASE), r"\p{Mn}+", "")
+    return F.regexp_replace(F.translate(_letters(_spelled(s, _PARTS)), _COMPOSED, _BASE), f"{_MARKS}+", "")
+
+
+def case_fold(s: Column) -> Column:
+    """A text by which texts are compared whatever their case: small letters, and ß as ss, ligatures as their letters."""
+    return F.translate(_spelled(s, _FOLDS), _CAPITAL, _SMALL)
 
 
 def trim_spaces(s: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_spaces, decimal_text, int_text, looks_masked, strip_leading_separator, trim_spaces
+from ..functions.text import case_fold, collapse_spaces, decimal_text, int_text, looks_masked, strip_leading_separator, trim_spaces
 from ..operators.aggregates import ordered_text
 from ..operators.joins import contained
 from .matching import ROW
@@ -78,7 +78,7 @@ def resolved(reads: DataFrame, options: Options = Options()) -> DataFrame:
     if options.mask_strings:
         r = r.withColumns({c: F.when(F.col("_masked") & (kind == "string"), F.lit(None)).otherwise(F.col(c)) for c in ("_a", "_b")})
     a, b = F.col("_a"), F.col("_b")
-    fold = lambda c: F.when(kind == "string", F.lower(c)).otherwise(c)
+    fold = lambda c: F.when(kind == "string", case_fold(c)).otherwise(c)
     both = a.isNotNull() & b.isNotNull()
     agree, differ = both & (fold(a) == fold(b)), both & (fold(a) != fold(b))
     rank = lambda v, c: F.struct(plausible(field, kind, v).alias("ok"), F.coalesce(F.col(c), F.lit(-1.0)).alias("conf"))

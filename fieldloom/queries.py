@@ -45,6 +45,11 @@ def norm_label_docs(t):
     return t("documents").select("doc_id", F.md5(X.label_token(c)).alias("label_md5"), F.md5(X.strip_accents(c)).alias("plain_md5"))
 
 
+@query("SELECT doc_id, md5(replace(lower(text), 'ß', 'ss')) AS folded_md5 FROM documents")
+def case_fold_docs(t):
+    return t("documents").select("doc_id", F.md5(X.case_fold(F.col("text")).cast("binary")).alias("folded_md5"))
+
+
 @query(f"SELECT p_partkey, translate({PLATE.format('p_brand')}, 'ODQILSZB', '00011528') AS folded, {LABEL.format('p_type')} IN ('n', 'no', 'nro', 'n0') AS ordinal FROM part")
 def confusable_fold(t):
     return t("part").select("p_partkey", X.plate_confusables(F.col("p_brand")).alias("folded"), X.is_ordinal_marker(F.col("p_type")).alias("ordinal"))
