@@ -39,7 +39,7 @@ SHORT_SHINGLE, SHORT_SLOTS, MOST_SHORT = 2, 480, 32
 #: A similarity of at least 0.8 is a distance n + m - 2 L of at most (n + m) / 9.
 NINTHS = 9
 #: So many nodes of a group outside its largest component are few; columns of parity bits, 64 in each.
-FEW, BITS = 48, [f"bits{k}" for k in range(8)]
+FEW, BITS = 1000, [f"bits{k}" for k in range(8)]
 #: Nodes whose common words are the centre of a larger group, and nodes whose words tell which words are frequent.
 CENTRE, FREQUENCIES = 3, 2000
 
@@ -282,17 +282,15 @@ def opened(groups: DataFrame, texts: DataFrame, reached: DataFrame, verified) ->
         room = F.greatest(differ, F.abs(F.col("n1") - F.col("n2"))) * NINTHS <= F.col("n1") + F.col("n2")
         once = (F.col("component1") != F.col("component2")) & ((F.col("component2") == F.col("top2")) | (F.col("h1") < F.col("h2")))
         tried = one.where("component1 <> top1").join(two, "g").where(once & room).select(F.col("h2").alias("a"), F.col("h1").alias("b")).distinct()
-        tried = written(tried, "pairs")
-        if not tried.isEmpty():
-            reached = components(edges(verified(tried)))
-        live = written(live.where("not easy").select("g", "size"), "large")
-        if live.isEmpty():
-            return reached
+        large = written(live.where("not easy").select("g", "size"), "large")
+        if large.isEmpty():
+            tried = written(tried, "pairs")
+            return reached if tried.isEmpty() else components(edges(verified(tried)))
         members = members.where("not easy").drop("easy", "top")
         few = members.select("g", "h").withColumn("k", F.row_number().over(W.partitionBy("g").orderBy("h"))).where(F.col("k") <= CENTRE)
         few = few.join(words.select("h", "x"), "h").select("g", F.explode("x").alias("x"))
         centre = few.groupBy("g", "x").agg(F.count("*").alias("c")).where(2 * F.col("c") > CENTRE).groupBy("g").agg(F.collect_list("x").alias("centre"))
-        centre = written(live.join(centre, "g", "left").select("g", F.coalesce("centre", F.array().cast("array<int>")).alias("centre"), "size"), "centres")
+        centre = written(large.join(centre, "g", "left").select("g", F.coalesce("centre", F.array().cast("array<int>")).alias("centre"), "size"), "centres")
         apart = F.array_sort(F.concat(F.array_except("x", "centre"), F.transform(F.array_except("centre", "x"), lambda v: v + 1)))
         placed = looked_up(members.join(words.select("h", "n", "x"), "h"), centre, "g").select("g", "h", "component", "n", apart.alias("d"))
         rarest = F.slice("d", 1, F.floor(F.col("n") / 4).cast("int") + 1)
@@ -303,7 +301,7 @@ def opened(groups: DataFrame, texts: DataFrame, reached: DataFrame, verified) ->
         core = written(core, "core")
         ends = [F.col("h").alias("a"), F.col("pivot").alias("b")]
         other = F.col("component") != F.col("of")
-        more = verified(written(core.where(other).select(*ends).distinct(), "starred"))
+        more = verified(written(tried.unionByName(core.where(other).select(*ends)).distinct(), "pairs"))
         reached = components(edges(more))
         far = core.where(other).join(more.withColumnsRenamed({"a": "h", "b": "pivot"}), ["h", "pivot"])
         least = written(far.where("not near").groupBy("g").agg(F.min(NINTHS * F.col("distance") - F.col("n")).alias("least"), F.count("*").alias("size")), "least")
