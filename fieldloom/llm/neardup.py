@@ -33,7 +33,7 @@ from .common import U64, components, dealt_join, frequent, looked_up, mix, slice
 
 SHINGLE = 5
 #: Slots and shingles in each: where a tenth of the words are edited, two in five shingles of five words are shared.
-SLOTS, KEEP = 32, 3
+SLOTS, KEEP = 28, 3
 #: Shingles of two words have SHORT_SLOTS slots by the number of words, MOST_SHORT at most.
 SHORT_SHINGLE, SHORT_SLOTS, MOST_SHORT = 2, 480, 32
 #: A similarity of at least 0.8 is a distance n + m - 2 L of at most (n + m) / 9.
@@ -71,16 +71,18 @@ def labelled(hashes: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tu
 
 def slots(h: np.ndarray, words: int, count: int, seed: int, keep: int = KEEP) -> list[int]:
     """Of each slot, a hash of the `keep` smallest labelled shingles in text order and of the text's length, which is cut
-    into octaves, elsewhere in each slot."""
-    out = []
-    for j in range(count):
-        v = mix(h ^ U64((seed + j) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        at = np.sort(np.argpartition(v, keep)[:keep]) if len(v) > keep else np.arange(len(v))
-        key = (seed + j) * 64 + int(np.log2(words) + j * 0.6180339887 % 1)
-        for x in v[at].tolist():
-            key = (key * 0x5851F42D4C957F2D + x + (x >> 29)) & 0xFFFFFFFFFFFFFFFF
-            key ^= key >> 31
-        out.append(key - (1 << 63))
+    into octaves, elsewhere in each slot. As many slots are made at once as a long text has room for."""
+    out: list[int] = []
+    step = max(1, (1 << 18) // max(1, len(h)))
+    for first in range(0, count, step):
+        j = np.arange(first, min(count, first + step))
+        v = mix(h[None, :] ^ ((seed + j).astype(U64) * U64(0x9E3779B97F4A7C15))[:, None])
+        at = np.sort(np.argpartition(v, keep, axis=1)[:, :keep], axis=1) if len(h) > keep else np.broadcast_to(np.arange(len(h)), v.shape)
+        key = ((seed + j) * 64 + (np.log2(words) + j * 0.6180339887 % 1).astype(np.int64)).astype(U64)
+        for x in np.take_along_axis(v, at, axis=1).T:
+            key = key * U64(0x5851F42D4C957F2D) + x + (x >> U64(29))
+            key ^= key >> U64(31)
+        out += key.view(np.int64).tolist()
     return out
 
 
