@@ -582,3 +582,21 @@ def settled_events(t):
         incoming = rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/in")
         settle(rows.sparkSession, incoming, outcome, f"{folder}/out", f"{folder}/state", wait_ms=1).awaitTermination()
     return rows.sparkSession.read.schema(SETTLED).parquet(f"{folder}/out")
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 6 AS s, json_extract_string(props, '$.k') AS k, event_type FROM events)
+SELECT event_id, CASE WHEN s IN (0, 1) THEN 'success' WHEN s = 4 THEN 'reject' ELSE 'error' END AS state,
+  CASE s WHEN 2 THEN 'FILE_TOO_LARGE' WHEN 3 THEN 'OCR_FAILED' WHEN 4 THEN 'INVALID_REQUEST' WHEN 5 THEN 'INTERNAL_ERROR' END AS code,
+  CASE WHEN s = 2 THEN event_type WHEN s = 5 THEN 'no ' || event_type END AS message, CASE WHEN s IN (0, 1) THEN k END AS "NUM_EJES", CASE WHEN s = 1 THEN event_type END AS "TIPO_USO" FROM e""")
+def variant_bodies(t):
+    """Bodies made of events in several shapes, some of them malformed: each gives its values, its error or a reject."""
+    from .sources.bodies import outcomes, parsed
+
+    k, kind, s = F.get_json_object("props", "$.k"), F.col("event_type"), F.col("event_id") % 6
+    say = lambda text: F.format_string(text, k, kind)
+    body = F.when(s == 0, say('{"status":"success","values":{"NUM_EJES":%1$s}}')).when(s == 1, say('{"status":"success","values":{"NUM_EJES":"%1$s","TIPO_USO":"%2$s"},"warnings":[]}'))
+    body = body.when(s == 2, say('{"status":"error","error":{"code":"FILE_TOO_LARGE","message":"%2$s"}}')).when(s == 3, say('{"detail":{"error":{"code":"OCR_FAILED"}}}'))
+    body = body.when(s == 4, F.when(F.col("event_id") % 12 == 4, F.expr("left(props, length(props) - 1)")).otherwise(say('{"k":%1$s,"k":%1$s}'))).otherwise(say('{"detail":"no %2$s"}'))
+    good, bad = parsed(t("events").select("event_id", body.alias("body")))
+    found = outcomes(good.drop("body"), ("NUM_EJES", "TIPO_USO"))
+    return found.unionByName(bad.select("event_id", F.lit("reject").alias("state"), F.col("error_code").alias("code")), allowMissingColumns=True)
