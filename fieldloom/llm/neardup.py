@@ -39,7 +39,7 @@ SHORT_SHINGLE, SHORT_SLOTS, MOST_SHORT = 2, 480, 32
 #: A similarity of at least 0.8 is a distance n + m - 2 L of at most (n + m) / 9.
 NINTHS = 9
 #: So many nodes of a group outside its largest component are few; columns of parity bits, 64 in each.
-FEW, BITS = 1000, [f"bits{k}" for k in range(8)]
+FEW, BITS = 1000, [f"bits{k}_" for k in range(32)]
 #: Nodes whose common words are the centre of a larger group, and nodes whose words tell which words are frequent.
 CENTRE, FREQUENCIES = 3, 2000
 
@@ -153,7 +153,7 @@ def elements(words: np.ndarray, frequent_words: dict[int, int]) -> np.ndarray:
 def parities(sets: list[np.ndarray]) -> np.ndarray:
     """Of each set, for each bit the parity of how many elements fall on it. Two sets differ in at least as many elements as
     their bits do."""
-    place = [np.bincount(x >> 1 & 511, minlength=64 * len(BITS)) & 1 for x in sets]
+    place = [np.bincount((x >> 1) % (64 * len(BITS)), minlength=64 * len(BITS)) & 1 for x in sets]
     return np.packbits(np.array(place, np.uint8).reshape(len(sets), 64 * len(BITS)), axis=1).view("<i8")
 
 
@@ -283,7 +283,10 @@ def opened(groups: DataFrame, texts: DataFrame, reached: DataFrame, verified) ->
         differ = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in BITS), F.lit(0))
         room = F.greatest(differ, F.abs(F.col("n1") - F.col("n2"))) * NINTHS <= F.col("n1") + F.col("n2")
         once = (F.col("component1") != F.col("component2")) & ((F.col("component2") == F.col("top2")) | (F.col("h1") < F.col("h2")))
-        tried = one.where("component1 <> top1").join(two, "g").where(once & room).select(F.col("h2").alias("a"), F.col("h1").alias("b")).distinct()
+        # A group's nodes are dealt over shares, and the few outside its largest component are copied to each share.
+        hot = frequent(live.where("easy").select("g", "size"), live.where("easy").agg(F.sum("size")).first()[0] or 0)
+        met = dealt_join(two, one.where("component1 <> top1"), ["g"], hot)
+        tried = met.where(once & room).select(F.col("h2").alias("a"), F.col("h1").alias("b")).distinct()
         large = written(live.where("not easy").select("g", "size"), "large")
         if large.isEmpty():
             tried = written(tried, "pairs")
