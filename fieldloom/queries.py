@@ -347,6 +347,23 @@ def upsert_queue(t):
     return J.upsert(t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), u, "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
+@query("""WITH u AS (SELECT l_orderkey AS k, l_linenumber AS v, max(l_returnflag) AS f, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY 1, 2),
+last AS (SELECT k, CASE WHEN v = 2 THEN nullif(f, 'N') ELSE f END AS s, q AS p FROM u QUALIFY v = max(v) OVER (PARTITION BY k))
+SELECT o_orderkey, CASE WHEN k IS NULL THEN o_orderstatus ELSE s END AS o_orderstatus, CASE WHEN k IS NULL THEN o_totalprice ELSE p END AS o_totalprice FROM orders LEFT JOIN last ON k = o_orderkey""")
+def delta_write_back(t):
+    """Two writes to a table of orders, with a compaction between them: the later one counts, and its nulls do too."""
+    from .operators.deltas import compact, create, merged, write_back
+
+    lines = t("lineitem").where("l_linenumber in (1, 2)").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg(F.max("l_returnflag").alias("f"), F.sum("l_quantity").alias("o_totalprice"))
+    spark, name, key = lines.sparkSession, f"orders_{uuid.uuid4().hex}", "o_orderkey"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    create(t("orders").select(key, "o_orderstatus", "o_totalprice"), name, key, buckets)
+    write_back(spark, name, lines.where("l_linenumber = 1").select(key, F.col("f").alias("o_orderstatus"), "o_totalprice"), key, 1, buckets)
+    compact(spark, name, key, f"{name}_next", buckets)
+    write_back(spark, f"{name}_next", lines.where("l_linenumber = 2").select(key, F.expr("nullif(f, 'N')").alias("o_orderstatus"), "o_totalprice"), key, 2, buckets)
+    return merged(spark, f"{name}_next", key)
+
+
 @query("""WITH f AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1)
 SELECT o_orderkey, CASE WHEN f.k IS NOT NULL THEN c_mktsegment ELSE o_orderpriority END AS o_orderpriority FROM orders o LEFT JOIN f ON f.k = o.o_orderkey LEFT JOIN customer ON c_custkey = f.o_custkey""")
 def upsert_first_match(t):
