@@ -29,6 +29,7 @@ _PARTS = {c: out for c, out in _PARTS.items() if out}  # what vanishes is a mark
 _CAPITAL, _SMALL, _FOLDS = _rule(str.casefold)
 #: Marks; one letter was taken for a mark by older versions of Unicode.
 _MARKS = r"[\p{Mn}&&[^\u1734]]"
+_BEYOND_ASCII = r"[^\x00-\x7F]"
 #: The first syllable, and the numbers of vowels and of final consonants, by which syllables are composed of letters.
 _SYLLABLE, _VOWELS, _FINALS = 0xAC00, 21, 28
 #: Characters that separate a label from its value, and glyphs that are read for one another.
@@ -57,13 +58,14 @@ def _letters(s: Column) -> Column:
 
 
 def strip_accents(s: Column) -> Column:
-    """Decomposed letters without their marks; º, ° and ß are not folded."""
-    return F.regexp_replace(F.translate(_letters(_spelled(s, _PARTS)), _COMPOSED, _BASE), f"{_MARKS}+", "")
+    """Decomposed letters without their marks; º, ° and ß are not folded. ASCII has neither, so it stays as it is."""
+    bare = F.regexp_replace(F.translate(_letters(_spelled(s, _PARTS)), _COMPOSED, _BASE), f"{_MARKS}+", "")
+    return F.when(s.rlike(_BEYOND_ASCII), bare).otherwise(s)
 
 
 def case_fold(s: Column) -> Column:
     """A text by which texts are compared whatever their case: small letters, and ß as ss, ligatures as their letters."""
-    return F.translate(_spelled(s, _FOLDS), _CAPITAL, _SMALL)
+    return F.when(s.rlike(_BEYOND_ASCII), F.translate(_spelled(s, _FOLDS), _CAPITAL, _SMALL)).otherwise(F.lower(s))
 
 
 def trim_spaces(s: Column) -> Column:

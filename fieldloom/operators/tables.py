@@ -36,6 +36,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged_in(df: DataFrame) -> DataFrame:
+    """df as a side of joins that is sorted and never broadcast. Without this Spark judges a table by its files, and these are
+    a small share of their rows where rows are alike, or where a row is exploded into many, so that a table as long as the
+    input would go through the driver."""
+    return df.hint("merge")
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[str]:
     """Tables stored inside go to a folder of their own, which is removed at the end: write results before it."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import plates_match
 from ..functions.text import normalize_plate, number_json
 from ..operators.aggregates import ordered_text, pivoted
-from ..operators.tables import stored
+from ..operators.tables import merged_in, stored
 from . import geometry, matching, reading
 from .spec import FIELDS, NAMES, Options
 
@@ -39,7 +39,7 @@ class Extraction:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return stored(self._documents(), "documents")
+        return merged_in(stored(self._documents(), "documents"))
 
     @cached_property
     def warnings(self) -> DataFrame:
@@ -54,16 +54,18 @@ def message(code: Column, first: Column, second: Column | str = "") -> Column:
 def extract(tokens: DataFrame, pages: DataFrame, requests: DataFrame | None = None, reads: DataFrame | None = None, options: Options = Options()) -> Extraction:
     """tokens (doc_id, ord, text, x, y, width, height, confidence) of the chosen page (doc_id, width, height) of each
     document; requests (doc_id, plate) to compare plates with; reads are second readings, see reading.cell_reads."""
-    # What several later steps read is a table: recomputing it in each would multiply the plan.
-    placed = geometry.placed(tokens, pages)
-    inside = stored(geometry.section_tokens(placed, options), "section")
+    # What several later steps read is a table: recomputing it in each would multiply the plan. Each has rows of every document.
+    tokens, pages = merged_in(tokens), merged_in(pages)
+    kept = lambda df, name: merged_in(stored(df, name))
+    placed = merged_in(geometry.placed(tokens, pages))
+    inside = kept(geometry.section_tokens(placed, options), "section")
     size = pages.select("doc_id", F.col("width").alias("page_width"), F.col("height").alias("page_height"))
-    cols = stored(geometry.columns(inside, options), "columns")
-    cells = stored(geometry.cells(inside, cols, options), "cells")
-    found = stored(matching.located(cells, options), "labels")
-    first = stored(reading.token_reads(cells, found, options), "reads")
+    cols = kept(geometry.columns(inside, options), "columns")
+    cells = kept(geometry.cells(inside, cols, options), "cells")
+    found = kept(matching.located(cells, options), "labels")
+    first = kept(reading.token_reads(cells, found, options), "reads")
     fields = found.where(F.col("field").isin(NAMES))
-    second = reading.cell_reads(placed, reading.boxes(fields, cols, size, options), reads)
+    second = merged_in(reading.cell_reads(placed, reading.boxes(fields, cols, size, options), reads))
 
     each = F.inline(F.array(*[F.struct(F.lit(k).alias("spec_ord"), F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), F.lit(f.label).alias("label")) for k, f in enumerate(FIELDS)]))
     expected = pages.select("doc_id").distinct().select("doc_id", each)
@@ -73,7 +75,7 @@ def extract(tokens: DataFrame, pages: DataFrame, requests: DataFrame | None = No
     results = reading.resolved(joined, options).select(
         "doc_id", "field", "spec_ord", "kind", "value_text", "value_number", "status", "ocr_confidence", "valid", "source_label", "matched", "codes"
     )
-    results = stored(results, "results")
+    results = kept(results, "results")
 
     def documents() -> DataFrame:
         sections = geometry.sections(inside).join(cols.groupBy("doc_id").agg(F.bool_or("fallback").alias("used_fallback_columns")), "doc_id", "left")

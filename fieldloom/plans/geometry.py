@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import label_token
 from ..operators.aggregates import median
 from ..operators.joins import chosen_or_all, first_after, interval_overlap
+from ..operators.tables import merged_in
 from ..operators.windows import clusters, gap_islands, next_edge, strictly_increasing, walk_back
 from .spec import FALLBACK_COLUMNS, FOOTERS, HEADER, Options, pixels
 
@@ -50,7 +51,7 @@ def columns(inside: DataFrame, options: Options = Options()) -> DataFrame:
     tol = pixels(options.anchor, "page_width")
     colons = inside.where(F.col("text").startswith(":") & (F.length(F.trim("text")) <= 2))
     anchors = clusters(colons.select("doc_id", "x", "page_width"), ["doc_id"], "x", F.lit(options.colon_cluster) * F.col("page_width"), 3)
-    anchors = anchors.select("doc_id", F.col("first").alias("colon_x")).join(size, "doc_id")
+    anchors = merged_in(anchors.select("doc_id", F.col("first").alias("colon_x")).join(size, "doc_id"))
 
     rows = gap_islands(inside, ["doc_id"], "center_y", ["center_y", "ord"], F.lit(options.row_band) * F.col("page_height"), "band")
     glyph = median(F.col("width") / F.length("text"), (F.length("text") >= 3) & (F.col("width") > 0), 6.0)

@@ -10,7 +10,7 @@ from ..functions.similarity import may_reach, ratio
 from ..functions.text import ORDINALS
 from ..operators.aggregates import ordered_text
 from ..operators.joins import absent
-from ..operators.tables import stored
+from ..operators.tables import merged_in, stored
 from ..operators.windows import consecutive, first_by
 from .spec import FIELDS, ORDINAL, PLATE, Field, Options, pixels
 
@@ -68,7 +68,7 @@ def located(cells: DataFrame, options: Options = Options()) -> DataFrame:
     for w in words:
         some = some | F.col("norm").startswith(w) | (F.col("norm").endswith(w) if len(w) >= options.fuzzy_length else F.lit(False))
     keyword = single(slim.where(some).withColumn("_p", F.explode(dimension(FIELDS))).where(F.col("norm").startswith(word) | (long & F.col("norm").endswith(word))), 2, F.lit(0.0))
-    sure = stored(first_by(exact.unionByName(keyword), ["doc_id", "field"], ["tier", "column_index", "band", "pattern", "worse", "start"]), "labels")
+    sure = merged_in(stored(first_by(exact.unionByName(keyword), ["doc_id", "field"], ["tier", "column_index", "band", "pattern", "worse", "start"]), "labels"))
     tail = F.expr("right(norm, length(_p.keyword))")
     # Only documents that lack a field, and only tokens as long as the shortest keyword of this tier.
     complete = sure.where(F.col("field") != PLATE.name).groupBy("doc_id").agg(F.count_distinct("field").alias("n")).where(F.col("n") == len(FIELDS))

@@ -54,8 +54,11 @@ def forms(rows: DataFrame, key: str) -> DataFrame:
         for c, column in enumerate(FORM)
         for line, (label, value) in enumerate(column)
     ]
-    k = rows.select(F.col(key).cast("long").alias("k"))
-    return k.select(F.col("k").cast("string").alias("doc_id"), "k", F.inline(F.array(*each))).withColumns(
+    # Keys are dealt over the tasks before each becomes a form, as a small file of keys is read by one task; by document, so that
+    # their tokens need no shuffle.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = rows.select(F.col(key).cast("string").alias("doc_id"), F.col(key).cast("long").alias("k")).repartition(n, "doc_id")
+    return k.select("doc_id", "k", F.inline(F.array(*each))).withColumns(
         {"joined": F.lit(False), "confidence": F.lit(CONFIDENCE), "cover": F.lit(None).cast("string")}
     )
 

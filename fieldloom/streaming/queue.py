@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import ordered_text
 from ..operators.joins import upsert
-from ..operators.tables import stored
+from ..operators.tables import merged_in, stored
 from ..plans.extract import Extraction, rejects, values
 from ..plans.spec import NAMES
 
@@ -33,9 +33,9 @@ def done(queue: DataFrame) -> DataFrame:
 def updates(e: Extraction, rows: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """The result of each row (row_number, doc_id): values with OK, or REVISAR where there are warnings; ERROR and its code
     for documents that were turned away or gave nothing. Both branches meet in one table."""
-    codes = e.warnings.groupBy("doc_id").agg(ordered_text("code", ["ord"], ", ").alias("AVISOS"))
+    codes = merged_in(e.warnings.groupBy("doc_id").agg(ordered_text("code", ["ord"], ", ").alias("AVISOS")))
     bad = rejects(e.documents) if errors is None else rejects(e.documents).unionByName(errors.select("doc_id", "error_code"))
-    bad = bad.groupBy("doc_id").agg(F.min("error_code").alias("error_code"))
+    bad = merged_in(bad.groupBy("doc_id").agg(F.min("error_code").alias("error_code")))
     good = rows.join(bad, "doc_id", "left_anti").join(values(e.results), "doc_id").join(codes, "doc_id", "left")
     good = good.withColumn("ESTADO", F.when(F.col("AVISOS").isNull(), "OK").otherwise("REVISAR")).withColumn("AVISOS", F.coalesce("AVISOS", F.lit("")))
     failed = rows.join(bad, "doc_id").select("row_number", F.concat(F.lit("ERROR:"), F.coalesce("error_code", F.lit("REQUEST_FAILED"))).alias("ESTADO"), F.lit("").alias("AVISOS"))
@@ -45,7 +45,7 @@ def updates(e: Extraction, rows: DataFrame, errors: DataFrame | None = None) ->
 def run_batch(queue: DataFrame, process: Callable[[DataFrame], DataFrame], limit: int | None = 200) -> DataFrame:
     """The queue after one run: `process` maps pending rows to updates; rows already done are not touched, so a run that
     is repeated changes nothing."""
-    return upsert(queue, process(pending(queue, limit)), "row_number", RESULT)
+    return upsert(queue, merged_in(process(pending(queue, limit))), "row_number", RESULT)
 
 
 def retried(process: Callable[[DataFrame], DataFrame], tries: int = 2, wait: float = 5.0) -> Callable[[DataFrame], DataFrame]:

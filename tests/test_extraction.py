@@ -151,3 +151,16 @@ def test_column_geometry(spark, base):
     assert got[2].column_right == s.WIDTH and not any(r.fallback for r in got)
 
 
+
+
+def test_no_table_of_documents_goes_through_the_driver(spark, base, monkeypatch):
+    """Tables with rows of every document are merged, however small their files are."""
+    plans, stored = [], extract.stored
+    seen = lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name)
+    for module in (extract, extract.matching):
+        monkeypatch.setattr(module, "stored", seen)
+    tokens, pages = tables(spark, form(base, "d"))
+    e = extract.extract(tokens, pages, pages.select("doc_id", F.lit("T-007R").alias("plate")))
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in (e.warnings, extract.values(e.results))]
+    assert len(plans) > 7 and any("SortMergeJoin" in p for p in plans)
+    assert [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line] == []
