@@ -99,3 +99,20 @@ def ranged_islands(df: DataFrame, keys: list[str], value: str, order: list[str],
 def ranged_walk_back(df: DataFrame, keys: list[str], order: list[Column], begin: str, end: str, limit: Column, ranges: int | None = None) -> DataFrame:
     """walk_back for groups that are too large for one task."""
     return _ranged(df, keys, order, F.col(begin), F.col("_before") - F.col(end) > limit, "_broken", ranges).where("_broken = 0").drop("_broken")
+
+
+def ranged_totals(df: DataFrame, keys: list[str], order: list[Column | str], names: list[str], ranges: int | None = None) -> DataFrame:
+    """df with the named columns as running totals of each group in `order`, this row included, for groups that are too large
+    for one task: each range of rows is summed up to each row, and what the ranges before it hold is added."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = stored(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    within = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = spread.withColumns({c: F.sum(c).over(within) for c in names})
+    along = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    whole = spread.groupBy(*keys, "_range").agg(*(F.sum(c).alias(c) for c in names))
+    base = whole.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), *(F.coalesce(F.sum(c).over(along), F.lit(0)).alias(f"_b{i}") for i, c in enumerate(names)))
+    here = rows["_range"] == base["_r"]
+    for i, k in enumerate(keys):
+        here = here & rows[k].eqNullSafe(base[f"_k{i}"])
+    at = {c: f"_b{i}" for i, c in enumerate(names)}
+    return rows.join(base, here).select(*((rows[c] + F.col(at[c])).alias(c) if c in at else rows[c] for c in df.columns))

@@ -177,3 +177,27 @@ def test_histograms_stay_small(spark, monkeypatch):
     df = spark.range(100_000).select((F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("v"))
     got = {x.k: x.m for x in aggregates.exact_medians(df, ["k"], "v", "m", steps=100, few=100).collect()}
     assert got == {x.k: x.m for x in df.groupBy("k").agg(F.median("v").alias("m")).collect()} and max(sizes) <= 3 * 2 and len(sizes) <= 10
+
+
+def test_totals_of_overlaps_match_brute_force(spark):
+    r = random.Random(8)
+    number = lambda: r.choice((float(r.randrange(12)), r.random() * 12))
+    left = [(k, r.choice("AB"), (x := number()), x + r.choice((0.0, 1.0, 5.0))) for k in range(60)] + [(98, "A", 5.0, 1.0), (99, "C", 1.0, 2.0), (97, "A", None, 1.0)]
+    right = [(r.choice("AB"), (x := number()), x + r.choice((0.0, 0.5, 2.0, 9.0)), r.randrange(-5, 9)) for _ in range(90)] + [("A", 9.0, 2.0, 1), (None, 1.0, 2.0, 1)]
+    a, b = spark.createDataFrame(left, "id int, k string, x double, y double"), spark.createDataFrame(right, "k string, low double, high double, v int")
+    both = joins.overlap_totals(a, b, ["k"], "x", "y", "low", "high", {"n": F.lit(1), "v": F.col("v")})
+    got = {x.id: (x.n, x.v) for x in both.groupBy("id").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    want = {}
+    for i, k, x, y in left:
+        if x is not None and x <= y:
+            met = [v for j, low, high, v in right if j == k and low <= high and y >= low and x < high]
+            want[i] = (len(met), sum(met))
+    assert got == want and len({n for n, _ in want.values()}) > 9
+    found = joins.tiled_overlap(a, b, ["k"], "x", "y", "low", "high").groupBy("id").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    assert {x.id: (x.n, x.v) for x in found.collect()} == {k: v for k, v in want.items() if v[0]}
+
+
+def test_tiles_do_not_go_through_the_driver(spark):
+    a, b = spark.createDataFrame([(1, 1.0, 2.0)], "k int, x double, y double"), spark.createDataFrame([(1, 0.0, 9.0)], "k int, low double, high double")
+    for found in (joins.tiled_overlap(a, b, ["k"], "x", "y", "low", "high"), joins.tiled_contained(a, b, ["k"], [("x", "low", "high")])):
+        assert found.count() == 1 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
