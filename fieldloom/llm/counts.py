@@ -11,9 +11,11 @@ result columns replace columns of the same name.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections import ChainMap
+from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,11 +27,15 @@ CHUNK, OVERLAP = 1 << 11, 1 << 7
 LIMIT = 2048
 #: str.isspace holds for these, which are no white space for the tokenizer.
 CONTROLS = "\x1c\x1d\x1e\x1f"
+#: Words kept with their tokens by each worker, and the characters of the longest of them: these bound its memory.
+WORDS, LONGEST = 1 << 18, 48
+_WORD, _CONTROL = re.compile(r"\S+"), re.compile(f"[{CONTROLS}]")
 
 
 class Encoder:
     """Where each token of a text starts, in characters. A text that is composed already, and whose lower case has its
-    characters one by one, goes to a copy of the tokenizer without its normalizer, which is what takes most time."""
+    characters one by one, goes to a copy of the tokenizer without its normalizer. There tokens on either side of white space
+    do not depend on each other, so a word that was met before is not encoded again."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers
@@ -40,13 +46,59 @@ class Encoder:
             t.no_padding()
         self.bare.normalizer = normalizers.Sequence([])
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.shapes: dict[tuple[int, ...], tuple[int, ...]] = {}
 
-    def starts(self, text: str) -> list[int]:
+    def lowered(self, text: str) -> str | None:
+        """The text as the normalizer leaves it, white space apart, or None where only the whole tokenizer tells."""
         low = text.lower()
         plain = len(low) == len(text) and "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
-        plain = plain and not any(s in low for s in self.special)
-        got = self.bare.encode(low, add_special_tokens=False) if plain else self.whole.encode(text, add_special_tokens=False)
-        return [a for a, _ in got.offsets]
+        return low if plain and not _CONTROL.search(low) and not any(s in low for s in self.special) else None
+
+    def tokens(self, words: list[str]) -> Mapping[str, tuple[int, ...]]:
+        """Where the tokens of each word start in it. New words are encoded together."""
+        new = set(words).difference(self.known)
+        if not new:
+            return self.known
+        if len(self.known) > WORDS:
+            self.known, self.shapes = {}, {}
+            new = set(words)
+        # Words whose tokens start alike share them.
+        at, first, long, shapes = 0, 0, {}, self.shapes
+        starts = [a for a, _ in self.bare.encode(" ".join(new), add_special_tokens=False).offsets]
+        n = len(starts)
+        for w in new:
+            end, last = at + len(w), first
+            while last < n and starts[last] < end:
+                last += 1
+            shape = tuple([a - at for a in starts[first:last]])
+            if len(w) <= LONGEST:
+                self.known[w] = shapes.setdefault(shape, shape)
+            else:
+                long[w] = shape
+            at, first = end + 1, last
+        return ChainMap(long, self.known) if long else self.known
+
+    def starts(self, text: str) -> list[int]:
+        low = self.lowered(text)
+        if low is None:
+            return [a for a, _ in self.whole.encode(text, add_special_tokens=False).offsets]
+        tokens, out = self.tokens(low.split()), []
+        for m in _WORD.finditer(low):
+            at, shape = m.start(), tokens[m[0]]
+            if len(shape) == 1:
+                out.append(at)
+            else:
+                out += [at + a for a in shape]
+        return out
+
+    def count(self, text: str) -> int:
+        """The number of starts."""
+        low = self.lowered(text)
+        if low is None:
+            return len(self.whole.encode(text, add_special_tokens=False).ids)
+        words = low.split()
+        return sum(map(len, map(self.tokens(words).__getitem__, words)))
 
     def encode(self, text: str, **options):
         return self.whole.encode(text, **options)
@@ -63,6 +115,8 @@ def blank(c: str) -> bool:
 
 def spliced(t: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """The number of tokens of a text, from chunks of it."""
+    if len(text) <= chunk:
+        return t.count(text)
     total, begin, size, got = 0, 0, chunk, None
     low = 0  # tokens from here on are not counted yet
     while True:

@@ -514,3 +514,19 @@ def test_very_long_texts(spark):
     t = Tokenizer.from_file(path("word_bpe_49k.json"))
     assert {x.doc_id: x.n_tokens for x in counts.token_counts(df, path("word_bpe_49k.json")).collect()} == {i: len(t.encode(x, add_special_tokens=False)) for i, x in rows}
     assert langid.predict(df, *langid.train(df.selectExpr("doc_id", "text", "'a' as lang"), epochs=1)).count() == 3
+
+
+def test_words_are_encoded_once():
+    t = counts.Encoder(path("word_bpe_49k.json"))
+    bare, seen = t.bare, []
+
+    class Seen:
+        def encode(self, text, **options):
+            seen.append(text)
+            return bare.encode(text, **options)
+
+    t.bare, long = Seen(), "w" * 100
+    text = f"Don't stop the  café 12 {long} the\ncafé"
+    want = [a for a, _ in t.whole.encode(text, add_special_tokens=False).offsets]
+    assert t.starts(text) == t.starts(text) == want and t.count(text) == len(want)
+    assert sorted(seen[0].split()) == sorted({*text.lower().split()}) and seen[1:] == [long, long] and long not in t.known
