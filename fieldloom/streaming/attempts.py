@@ -1,9 +1,11 @@
 """Queue rows worked off once each, with a second try, by keyed state in the state store.
 
-A key is a row number. Its state says how often the row was tried and whether it is settled, so a row that comes again, in a
+A key is a span of SPAN row numbers, as each key costs several calls to the state store. Its state has a bit for each row
+that came, and what is open: the rows that wait, how often each was tried, and when it is due. So a row that comes again, in a
 replayed batch or a later run, adds nothing, and no result table is read. A try that fails sets a timer; when that is
 due the row is tried again, alone, and after the last try it is settled with an error. State and timers live in the
-checkpoint, so a run that ends between two tries goes on where it was."""
+checkpoint, so a run that ends between two tries goes on where it was. A state is bounded by its span: 128 bytes, and the
+payloads of the rows that wait. Checkpoints from before the spans can't be gone on with."""
 
 from __future__ import annotations
 
@@ -12,6 +14,7 @@ from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -20,6 +23,8 @@ NEEDED = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
+#: Row numbers of a key, a power of two.
+SPAN = 1 << 10
 SETTLED = "row_number long, result string, ESTADO string, tries int"
 
 
@@ -32,31 +37,52 @@ class Attempts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("attempts", "tries int, settled boolean, payload string")
+        self.state = handle.getValueState("attempts", "came binary, open array<struct<row_number: long, tries: int, due: long, payload: string>>")
 
-    def attempt(self, key: int, tries: int, payload: str | None, now: int) -> Iterator[Row]:
+    def attempt(self, key: int | None, tries: int, payload: str | None, now: int, waiting: list[tuple]) -> Iterator[Row]:
         result, state = None, "OK"
         try:
             result = self.work(key, payload, tries + 1)
         except Exception:  # noqa: BLE001  a row that fails is tried again or settled with an error, and never ends the run
             if tries + 1 < self.most:
-                self.state.update((tries + 1, False, payload))
-                self.handle.registerTimer(now + self.wait_ms)
+                waiting.append((key, tries + 1, now + self.wait_ms, payload))
                 return
             state = "ERROR:REQUEST_FAILED"
-        self.state.update((tries + 1, True, None))
         yield Row(row_number=key, result=None if result is None else str(result), ESTADO=state, tries=tries + 1)
 
+    def load(self) -> tuple[int, list[tuple]]:
+        found = self.state.get()
+        return (0, []) if found is None else (int.from_bytes(found[0], "little"), [tuple(x) for x in found[1]])
+
+    def keep(self, came: int, waiting: list[tuple], due: set[int]) -> None:
+        """due: the timers that are set already."""
+        self.state.update((came.to_bytes(SPAN // 8, "little"), waiting))
+        for at in {w[2] for w in waiting} - due:
+            self.handle.registerTimer(at)
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        payloads = [r["payload"] for r in rows]
-        if not self.state.exists():  # else it is settled, or its timer will try it
-            first = min(payloads, key=lambda p: (p is None, p))
-            yield from self.attempt(key[0], 0, first, timerValues.getCurrentProcessingTimeInMs())
+        (came, waiting), now, new = self.load(), timerValues.getCurrentProcessingTimeInMs(), {}
+        for n, payload in ((r["row_number"], r["payload"]) for r in rows):
+            if not came >> ((n or 0) % SPAN) & 1:  # else it is settled, or its timer will try it
+                new[n] = min(new.get(n, payload), payload, key=lambda p: (p is None, p))
+        if not new:
+            return
+        due = {w[2] for w in waiting}
+        for n, payload in new.items():
+            came |= 1 << (n or 0) % SPAN
+            yield from self.attempt(n, 0, payload, now, waiting)
+        self.keep(came, waiting, due)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        tries, settled, payload = self.state.get()
-        if not settled:
-            yield from self.attempt(key[0], tries, payload, timerValues.getCurrentProcessingTimeInMs())
+        (came, waiting), now = self.load(), timerValues.getCurrentProcessingTimeInMs()
+        ready = [w for w in waiting if w[2] <= expiredTimerInfo.getExpiryTimeInMs()]
+        if not ready:
+            return
+        later = [w for w in waiting if w[2] > expiredTimerInfo.getExpiryTimeInMs()]
+        due = {w[2] for w in later}
+        for n, tries, _, payload in ready:
+            yield from self.attempt(n, tries, payload, now, later)
+        self.keep(came, later, due)
 
     def close(self) -> None:
         pass
@@ -78,7 +104,8 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
 def settled(rows: DataFrame, work: Callable[[int, str | None, int], Any], tries: int = 2, wait_ms: int = 5000) -> DataFrame:
     """The stream of settled rows of a stream (row_number long, payload string). Of several rows of one number that arrive in
     one batch, the one with the smallest payload is worked."""
-    return rows.groupBy("row_number").transformWithState(Attempts(work, tries, wait_ms), outputStructType=SETTLED, outputMode="Append", timeMode="ProcessingTime")
+    spans = rows.withColumn("_span", F.shiftright("row_number", SPAN.bit_length() - 1))
+    return spans.groupBy("_span").transformWithState(Attempts(work, tries, wait_ms), outputStructType=SETTLED, outputMode="Append", timeMode="ProcessingTime")
 
 
 def settle(spark: SparkSession, rows: DataFrame, work: Callable[[int, str | None, int], Any], table: str, checkpoint: str, tries: int = 2, wait_ms: int = 5000, every: str | None = None) -> StreamingQuery:

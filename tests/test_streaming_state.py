@@ -57,3 +57,42 @@ def test_another_program_goes_on_with_the_state(job):
     time.sleep(1)
     add([(6, "f")])
     assert run(lambda n, payload, nth: f"{payload.upper()} {nth}", wait_ms=1) == ({5: ("E 2", "OK", 2), 6: ("F 1", "OK", 1)}, 2)
+
+
+def test_rows_of_a_span_cost_one_read_and_one_write_of_state():
+    calls = []
+
+    class Store:
+        kept = None
+
+        def get(self):
+            calls.append("get")
+            return self.kept
+
+        def update(self, value):
+            calls.append("update")
+            self.kept = value
+
+    class At:
+        def __init__(self, now):
+            self.getCurrentProcessingTimeInMs = self.getExpiryTimeInMs = lambda: now
+
+    class Handle:
+        getValueState = lambda self, name, schema: Store()
+        registerTimer = lambda self, at: calls.append(at)
+
+    def work(n, payload, nth):
+        if n % 5 == 0 and nth == 1:
+            raise ValueError(payload)
+        return f"{payload} {nth}"
+
+    a = attempts.Attempts(work, 2, 7)
+    a.init(Handle())
+    numbers = [*range(-attempts.SPAN, 0)]
+    rows = [{"row_number": n, "payload": p} for n in numbers for p in ("b", None, "a")]
+    first = [*a.handleInputRows((-1,), iter(rows), At(100))]
+    assert {r.row_number: r.result for r in first} == {n: "a 1" for n in numbers if n % 5} and calls == ["get", "update", 107]
+    assert not [*a.handleInputRows((-1,), iter(rows), At(101))] and calls[3:] == ["get"]
+    second = [*a.handleExpiredTimer((-1,), At(107), At(107))]
+    assert {r.row_number: (r.result, r.tries) for r in second} == {n: ("a 2", 2) for n in numbers if n % 5 == 0} and calls[4:] == ["get", "update"]
+    assert not [*a.handleExpiredTimer((-1,), At(108), At(107))]
