@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.tables import stored as written
 
 U64 = np.uint64
 #: Odd multipliers of the polynomial hashes over bytes (two, for hashes that must not collide together) and over words.
 BYTE_BASE, OTHER_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
-#: Bytes hashed at once: bounds the memory of a task whatever the length of its texts.
-SEGMENT = 1 << 20
+#: Bytes or words hashed at once: bounds the memory of a task whatever the length of its texts, and the tables of powers
+#: that a Python worker keeps when it is idle.
+SEGMENT = 1 << 18
 
 
 def partitions(spark: SparkSession) -> int:
@@ -44,12 +46,19 @@ def frequent(sizes: DataFrame, total: int) -> list[Row]:
     return sizes.where(F.col("size") > most).withColumn("_shares", F.ceil(F.col("size") / most).cast("int")).drop("size").collect() if total > FEW else []
 
 
+def small(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
+    """A few rows of the driver as a table. They go as Arrow, which the JVM reads; a list of rows would be passed through Python
+    workers of the executors, and these stay there."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return spark.createDataFrame(pa.table({f.name: pa.array(c) for f, c in zip(schema, columns)}), schema)
+
+
 def dealt_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: list[Row], how: str = "inner") -> DataFrame:
     """The join (inner or left) of rows with a table that has one row per key. The rows of a frequent key are dealt over
     its shares, and the table has a copy of its row for each; only the frequent keys are broadcast."""
     if not hot:
         return rows.join(table, keys, how)
-    shares = F.broadcast(rows.sparkSession.createDataFrame(hot, table.select(*keys, F.lit(0).alias("_shares")).schema))
+    shares = F.broadcast(small(rows.sparkSession, hot, table.select(*keys, F.lit(0).alias("_shares")).schema))
     others = [c for c in rows.columns if c not in keys]
     dealt = rows.join(shares, keys, "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64(*others), F.col("_shares")), F.lit(0)).cast("int"))
     copies = table.join(shares, keys, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)))

@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bpe import encoding
-from .common import written
+from .common import small, written
 
 CAPACITY = 2048
 SEGMENTS = "length int, first long, last long, each long, base long, at long"
@@ -133,7 +134,7 @@ def packed(df: DataFrame, ranks: str, tokenizer: str, pattern: str, id_col: str
     counts = table.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = counts.selectExpr("task", "length", "sum(n) over (partition by length order by task rows unbounded preceding) - n as before")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    segments = spark.createDataFrame(plan(histogram, capacity), SEGMENTS)
+    segments = small(spark, plan(histogram, capacity), StructType.fromDDL(SEGMENTS))
     numbered = table.join(before, ["task", "length"]).withColumn("r", F.col("before") + F.col("rank"))
     place = F.broadcast(segments.withColumnRenamed("length", "l"))  # bounded by the capacity
     return numbered.join(place, (F.col("length") == F.col("l")) & (F.col("r") >= F.col("first")) & (F.col("r") < F.col("last"))).selectExpr(

@@ -11,7 +11,8 @@ and gets back the places that are repeated, so a passage of a third of all docum
 
 Null and empty texts have no words and keep none; texts shorter than a window stay whole; repeated rows are texts like
 any others, and so remove each other; an empty table gives an empty table. All columns of the input are kept; result
-columns replace input columns of the same name. Memory is bounded by a block and its longest text.
+columns replace input columns of the same name. A block is hashed and cut in slices of about a megabyte, a longer text
+alone, so memory is bounded by a block's bytes and what its longest text takes.
 
 Words are numbered by their order in the input's partitions, and the blocks are one exchange that is read three times. So
 that a lost executor's rows come back in the same order, the input has to be a stored table or an expression of one.
@@ -21,11 +22,13 @@ different hashes of the words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import OTHER_BASE, blocked, partitions, planes, unplanes, unused, windows, words_of
+from .common import BYTE_BASE, OTHER_BASE, U64, blocked, partitions, planes, slices, unplanes, unused, windows, words_of
 
 #: Period and cover: every difference modulo 21 is one of two members of the cover (a perfect difference set).
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -81,11 +84,10 @@ def repeated(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "_bucket").groupBy("_bucket").applyInArrow(meet, "_blk long, places binary").repartition(n, "_blk")
 
 
-def marked(right: pa.Table, n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
-    for data in right.column("places").to_pylist():
-        out[np.cumsum(unplanes(data))] = True
-    return out
+def met(right: pa.Table) -> np.ndarray:
+    """The places of a block in order, each once."""
+    places = [np.cumsum(unplanes(x)) for x in right.column("places").to_pylist()]
+    return np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
 
 
 def spread(starts: np.ndarray, offsets: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -96,63 +98,99 @@ def spread(starts: np.ndarray, offsets: np.ndarray, before: int, after: int) ->
     return np.cumsum(step)[: offsets[-1]] > 0
 
 
-def without_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """df with n_words, n_removed and kept_text, the kept words joined by one space. block_bytes bounds a task's memory."""
-    if length < PERIOD:
-        raise ValueError(f"a window has at least {PERIOD} words")
-    n = partitions(df.sparkSession)
-    buckets = 4 * n
-    anchor = length - PERIOD + 1
-    names = df.columns
-    on_cover = np.isin(np.arange(PERIOD), COVER)
+def hashed(texts: pa.Array | pa.ChunkedArray, base: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each slice of a block: the place of its first word in the block, its words' hashes, its rows' offsets among them."""
+    at = 0
+    for part in slices(texts, rows=len(texts)):
+        hashes, offsets = words_of(texts.slice(*part), base)
+        yield at, hashes, offsets
+        at += len(hashes)
 
-    # One exchange, read three times: nothing between may prune or filter, or it would be made again.
-    block, place_col = unused(df, "_blk"), unused(df, "_row")
-    blocks = blocked(df, text_col, block_bytes, block, place_col).repartition(n, block)
 
-    def anchors(t: pa.Table) -> pa.Table:
-        t = t.sort_by(place_col)
-        hashes, offsets = words_of(t.column(text_col))
+def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, U64), np.zeros(0, np.int64))
+
+
+def anchors(texts: pa.Array | pa.ChunkedArray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of a block's anchors on the cover."""
+    anchor, on_cover, out = length - PERIOD + 1, np.isin(np.arange(PERIOD), COVER), []
+    for at, hashes, offsets in hashed(texts, BYTE_BASE):
         got = windows(hashes, anchor, 1)
         place = np.arange(len(got))
         row = np.searchsorted(offsets, place, "right") - 1
         fits = on_cover[(place - offsets[row]) % PERIOD] & (place + anchor <= offsets[row + 1]) & (offsets[row + 1] - offsets[row] >= length)
-        return bundles(t.column(block)[0].as_py(), got[fits], place[fits], buckets)
+        out.append((got[fits], place[fits] + at))
+    return joined(out)
 
-    def extended(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"_bucket": pa.array([], pa.int32()), "_blk": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary()), "places": pa.array([], pa.binary())})
-        t = left.sort_by(place_col)
-        hashes, offsets = words_of(t.column(text_col), OTHER_BASE)
-        near = spread(np.flatnonzero(marked(right, len(hashes))), offsets, PERIOD - 1, 0)
+
+def extended(texts: pa.Array | pa.ChunkedArray, found: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of a block's windows that may hold one of the found anchors."""
+    out = []
+    for at, hashes, offsets in hashed(texts, OTHER_BASE):
+        here = found[np.searchsorted(found, at) : np.searchsorted(found, at + len(hashes))] - at
+        if not len(here):
+            continue
         got = windows(hashes, length, 2)
-        place = np.flatnonzero(near[: len(got)])
+        place = np.flatnonzero(spread(here, offsets, PERIOD - 1, 0)[: len(got)])
         row = np.searchsorted(offsets, place, "right") - 1
         place = place[place + length <= offsets[row + 1]]
-        return bundles(t.column(block)[0].as_py(), got[place], place, buckets)
+        out.append((got[place], place + at))
+    return joined(out)
 
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        t = left.sort_by(place_col)
-        texts = t.column(text_col).cast(pa.large_binary()).to_pylist()
-        words = [x.split() if x else [] for x in texts]
+
+def cut(texts: pa.Array | pa.ChunkedArray, found: np.ndarray, length: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Of each row: its words, how many of them are in a window that starts at a found place, and the others."""
+    n_words, n_removed, kept, at = [], [], [], 0
+    for part in slices(texts, rows=len(texts)):
+        words = [x.split() if x else [] for x in texts.slice(*part).cast(pa.large_binary()).to_pylist()]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        starts = np.flatnonzero(marked(right, int(offsets[-1]))) if right.num_rows else np.zeros(0, np.int64)
-        gone = spread(starts, offsets, 0, length - 1)
+        stop = at + int(offsets[-1])
+        gone = spread(found[np.searchsorted(found, at) : np.searchsorted(found, stop)] - at, offsets, 0, length - 1)
         total = np.concatenate([[0], np.cumsum(gone)])
         removed = total[offsets[1:]] - total[offsets[:-1]]
-        kept = []
         for i, w in enumerate(words):
             if removed[i]:
                 keep = ~gone[offsets[i] : offsets[i + 1]]
                 w = [w[j] for j in np.flatnonzero(keep).tolist()]
             kept.append(b" ".join(w))
+        n_words += sizes.tolist()
+        n_removed += removed.tolist()
+        at = stop
+    return n_words, n_removed, kept
+
+
+def without_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """df with n_words, n_removed and kept_text, the kept words joined by one space. block_bytes bounds a task's memory."""
+    if length < PERIOD:
+        raise ValueError(f"a window has at least {PERIOD} words")
+    n = partitions(df.sparkSession)
+    buckets = 4 * n
+    names = df.columns
+
+    # One exchange, read three times: nothing between may prune or filter, or it would be made again.
+    block, place_col = unused(df, "_blk"), unused(df, "_row")
+    blocks = blocked(df, text_col, block_bytes, block, place_col).repartition(n, block)
+
+    def anchored(t: pa.Table) -> pa.Table:
+        t = t.sort_by(place_col)
+        return bundles(t.column(block)[0].as_py(), *anchors(t.column(text_col), length), buckets)
+
+    def judged(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"_bucket": pa.array([], pa.int32()), "_blk": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary()), "places": pa.array([], pa.binary())})
+        t = left.sort_by(place_col)
+        return bundles(t.column(block)[0].as_py(), *extended(t.column(text_col), met(right), length), buckets)
+
+    def kept_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = left.sort_by(place_col)
+        n_words, n_removed, kept = cut(t.column(text_col), met(right), length)
         out = {c: t.column(c) for c in names}
-        out |= {"n_words": pa.array(sizes), "n_removed": pa.array(removed), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())}
+        out |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())}
         return pa.table({c: out[c] for c in result})
 
     result = [*(c for c in names if c not in ("n_words", "n_removed", "kept_text")), "n_words", "n_removed", "kept_text"]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in result[:-3])
-    found = repeated(blocks.groupBy(block).applyInArrow(anchors, BUNDLES), n)
-    again = repeated(blocks.groupBy(block).cogroup(found.groupBy("_blk")).applyInArrow(extended, BUNDLES), n)
-    return blocks.groupBy(block).cogroup(again.groupBy("_blk")).applyInArrow(cut, f"{kept}, n_words long, n_removed long, kept_text string")
+    found = repeated(blocks.groupBy(block).applyInArrow(anchored, BUNDLES), n)
+    again = repeated(blocks.groupBy(block).cogroup(found.groupBy("_blk")).applyInArrow(judged, BUNDLES), n)
+    return blocks.groupBy(block).cogroup(again.groupBy("_blk")).applyInArrow(kept_of, f"{kept}, n_words long, n_removed long, kept_text string")

@@ -3,18 +3,23 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import GroupedData
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from fieldloom.llm import bpe, counts, langid, neardup, packing, secrets, substrings
+from fieldloom.llm.common import small
 
 PATTERN, path = public_tokenizers.PATTERN, public_tokenizers.path
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -228,6 +233,50 @@ def test_substrings_match_brute_force(docs, empty, block):
     assert substrings.without_repeats(empty).count() == 0
 
 
+def test_substrings_across_slices_match_brute_force(spark):
+    r = random.Random(8)
+    passages = [some_words(r, 50, 10**6) for _ in range(5)]
+    rows = []
+    for i in range(500):
+        words = some_words(r, 800, 10**6)
+        if i % 7 == 0:
+            at = r.randrange(800)
+            words[at:at] = passages[i % 5]
+        rows.append((i, " ".join(words) if i % 50 else None, "en", "s", 0))
+    rows += [(500, " ".join(rows[1][1] for _ in range(2)), "en", "s", 0), (501, " ".join(some_words(r, 300_000, 10**6)), "en", "s", 0), (502, rows[499][1], "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)  # one block of several slices
+    got = Counter((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in substrings.without_repeats(df).collect())
+    assert got == brute_substrings(rows) and sum(n for _, _, n, _ in got) > 5000
+
+
+def test_steps_of_substrings_take_little_more_than_their_block(spark, monkeypatch):
+    """A worker keeps what a step took, also while it waits for others: 300 MB for a block of 8 MB before."""
+    steps = []
+    for kind in (GroupedData, PandasCogroupedOps):
+        monkeypatch.setattr(kind, "applyInArrow", lambda self, f, schema, apply=kind.applyInArrow: (steps.append(f), apply(self, f, schema))[1])
+    r = random.Random(9)
+    texts = [" ".join(some_words(r, 500, 10**6)) for _ in range(2000)]
+    substrings.without_repeats(spark.createDataFrame([(1, "a", "en", "s", 0)], SCHEMA).select("doc_id", "text"))
+    anchored, judged, kept = steps[0], steps[2], steps[4]
+    block = pa.table({"doc_id": range(2000), "text": texts, "_blk": [0] * 2000, "_row": range(2000)})
+    found = pa.table({"_blk": [0], "places": pa.array([substrings.planes(np.full(20_000, 50))], pa.binary())})
+    for step, given in ((anchored, (block,)), (judged, (block, found)), (kept, (block, found))):
+        tracemalloc.start()
+        step(*given)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        print(step.__name__, peak)
+        assert peak < 6 * substrings.BLOCK_BYTES
+
+
+def test_small_tables_need_no_python_workers(spark):
+    schema = "id long, name string, h binary, share int"
+    rows = [(1, "é", b"\0", 2), (None, None, None, 3)]
+    got = small(spark, rows, spark.createDataFrame([], schema).schema)
+    assert "PythonRDD" not in got._jdf.queryExecution().toRdd().toDebugString() and set(map(tuple, got.collect())) == set(rows)
+    assert small(spark, [], got.schema).count() == 0
+
+
 def test_cover_has_every_difference():
     assert {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.PERIOD))
 
