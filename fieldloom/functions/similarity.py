@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .text import normalize_plate, plate_confusables
 
@@ -20,6 +20,13 @@ def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def ratios(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """ratio of the texts of two arrays, place by place."""
+    for left, right in pairs:
+        yield pd.Series([[SequenceMatcher(None, a, b).ratio() for a, b in zip(x, y)] for x, y in zip(left, right)])
+
+
 def may_reach(a: Column, b: Column, least: float) -> Column:
     """False only where the ratio is below `least`: the matches are a common subsequence at most."""
     return F.levenshtein(a, b) <= (1 - least) * (F.length(a) + F.length(b)) + 1e-9

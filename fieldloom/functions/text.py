@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -32,8 +33,10 @@ _MARKS = r"[\p{Mn}&&[^\u1734]]"
 _BEYOND_ASCII = r"[^\x00-\x7F]"
 #: The first syllable, and the numbers of vowels and of final consonants, by which syllables are composed of letters.
 _SYLLABLE, _VOWELS, _FINALS = 0xAC00, 21, 28
+#: White space of any kind.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters that separate a label from its value, and glyphs that are read for one another.
-SEPARATORS = ":;,.·|¦!\\-—–_"
+SEPARATORS = ":;,.·|¦!-—–_"
 CONFUSED, FOLDED = "ODQILSZB", "00011528"
 ORDINALS = ("n", "no", "nro", "n0")
 
@@ -70,7 +73,7 @@ def case_fold(s: Column) -> Column:
 
 def trim_spaces(s: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(s, F.lit(WHITE))
 
 
 def collapse_spaces(s: Column) -> Column:
@@ -86,8 +89,20 @@ def plate_confusables(s: Column) -> Column:
     return F.translate(normalize_plate(s), CONFUSED, FOLDED)
 
 
+def _label(c: str) -> str:
+    return re.sub("[^a-z0-9]", "", _bare(c).lower())
+
+
+#: Characters up to this code point become one letter, or none, each by itself.
+_LATIN = [chr(code) for code in range(0x250) if not chr(code).isascii() or not chr(code).isalnum()]
+_LETTERS, _NOTHING = [c for c in _LATIN if _label(c)], [c for c in _LATIN if not _label(c)]
+
+
 def label_token(s: Column) -> Column:
-    return F.regexp_replace(F.lower(strip_accents(s)), "[^a-z0-9]", "")
+    """The small letters and digits of a text, without accents."""
+    short = F.lower(F.translate(s, "".join(_LETTERS + _NOTHING), "".join(map(_label, _LETTERS))))
+    # A text of other characters too, which stay in it, is taken by the rules of all characters.
+    return F.when(F.octet_length(short) == F.length(short), short).otherwise(F.regexp_replace(F.lower(strip_accents(s)), "[^a-z0-9]", ""))
 
 
 def is_ordinal_marker(s: Column) -> Column:
@@ -95,7 +110,7 @@ def is_ordinal_marker(s: Column) -> Column:
 
 
 def strip_leading_separator(s: Column) -> Column:
-    return trim_spaces(F.regexp_replace(s, rf"(?U)^[\s{SEPARATORS}]+", ""))
+    return trim_spaces(F.ltrim(s, F.lit(WHITE + SEPARATORS)))
 
 
 def decimal_text(s: Column) -> Column:
@@ -103,7 +118,7 @@ def decimal_text(s: Column) -> Column:
     t = F.replace(strip_leading_separator(s), F.lit(" "), F.lit(""))
     t = F.when(t.rlike(r"^[^,.]*,[^,.]*\z"), F.replace(t, F.lit(","), F.lit("."))).otherwise(t)
     plain = F.regexp_replace(F.regexp_replace(t, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
-    return F.when(t.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?\z"), plain)
+    return F.when(s.rlike(r"^(0|[1-9][0-9]*)(\.[0-9]+)?\z"), s).when(t.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?\z"), plain)
 
 
 def parse_decimal(s: Column) -> Column:
@@ -113,7 +128,7 @@ def parse_decimal(s: Column) -> Column:
 def int_text(s: Column) -> Column:
     """The whole number a text holds, or null; a decimal is not cut off."""
     t = F.replace(strip_leading_separator(s), F.lit(" "), F.lit(""))
-    return F.when(t.rlike(r"^[+-]?[0-9]+\z"), F.regexp_replace(F.regexp_replace(t, r"^\+", ""), r"^(-?)0+(?=\d)", "$1"))
+    return F.when(s.rlike(r"^(0|[1-9][0-9]*)\z"), s).when(t.rlike(r"^[+-]?[0-9]+\z"), F.regexp_replace(F.regexp_replace(t, r"^\+", ""), r"^(-?)0+(?=\d)", "$1"))
 
 
 def parse_int(s: Column) -> Column:
@@ -132,8 +147,9 @@ def looks_masked(s: Column, confidence: Column) -> Column:
     n, kinds = F.length(word), distinct_characters(word)
     # The most kinds of letters it may have; what cannot be a redaction is not counted at all.
     most = F.when(F.coalesce(confidence <= 30.0, F.lit(False)), F.greatest(F.lit(3), F.floor(n / 2))).when(n >= 6, 3).otherwise(0)
-    cut = F.when((n < 4) | (most == 0) | word.rlike("[0-9]"), False).otherwise(kinds <= most)
-    return F.coalesce(packed.rlike(r"^[#*░-▓]{3,}\z") | cut, F.lit(False))
+    cut = F.when((n < 4) | (most == 0), False).otherwise(kinds <= most)
+    # What has a digit is neither.
+    return F.when(s.rlike("[0-9]"), False).otherwise(F.coalesce(packed.rlike(r"^[#*░-▓]{3,}\z") | cut, F.lit(False)))
 
 
 def number_json(value: Column) -> Column:

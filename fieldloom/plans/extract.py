@@ -14,7 +14,7 @@ from ..functions.text import normalize_plate, number_json
 from ..operators.aggregates import ordered_text, pivoted
 from ..operators.tables import merged_in, stored
 from . import geometry, matching, reading
-from .spec import FIELDS, NAMES, Options
+from .spec import NAMES, Options
 
 #: What each warning says. {0} is the field, {1} what was read.
 MESSAGES = {
@@ -43,7 +43,7 @@ class Extraction:
 
     @cached_property
     def warnings(self) -> DataFrame:
-        return self._warnings(self.documents)
+        return merged_in(stored(self._warnings(self.documents), "warnings"))
 
 
 def message(code: Column, first: Column, second: Column | str = "") -> Column:
@@ -54,38 +54,34 @@ def message(code: Column, first: Column, second: Column | str = "") -> Column:
 def extract(tokens: DataFrame, pages: DataFrame, requests: DataFrame | None = None, reads: DataFrame | None = None, options: Options = Options()) -> Extraction:
     """tokens (doc_id, ord, text, x, y, width, height, confidence) of the chosen page (doc_id, width, height) of each
     document; requests (doc_id, plate) to compare plates with; reads are second readings, see reading.cell_reads."""
-    # What several later steps read is a table: recomputing it in each would multiply the plan. Each has rows of every document.
-    tokens, pages = merged_in(tokens), merged_in(pages)
+    # What several later steps read is a table: recomputing it in each would multiply the plan. A row holds a whole page, so no
+    # step but the first shuffles tokens; what has rows of every document is merged in joins.
     kept = lambda df, name: merged_in(stored(df, name))
-    placed = merged_in(geometry.placed(tokens, pages))
-    inside = kept(geometry.section_tokens(placed, options), "section")
-    size = pages.select("doc_id", F.col("width").alias("page_width"), F.col("height").alias("page_height"))
-    cols = kept(geometry.columns(inside, options), "columns")
-    cells = kept(geometry.cells(inside, cols, options), "cells")
-    found = kept(matching.located(cells, options), "labels")
-    first = kept(reading.token_reads(cells, found, options), "reads")
-    fields = found.where(F.col("field").isin(NAMES))
-    second = merged_in(reading.cell_reads(placed, reading.boxes(fields, cols, size, options), reads))
-
-    each = F.inline(F.array(*[F.struct(F.lit(k).alias("spec_ord"), F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), F.lit(f.label).alias("label")) for k, f in enumerate(FIELDS)]))
-    expected = pages.select("doc_id").distinct().select("doc_id", each)
-    key = ["doc_id", "field"]
-    known = fields.select(*key, "tier", "matched", F.lit(True).alias("found"))
-    joined = expected.join(known, key, "left").join(first, key, "left").join(second, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    results = reading.resolved(joined, options).select(
+    whole = geometry.placed(merged_in(tokens), merged_in(pages))
+    if reads is not None:
+        given = reads.groupBy("doc_id").agg(F.collect_list(F.struct("y_center", "crop_text", "crop_conf")).alias("reads"))
+        whole = whole.join(merged_in(given), "doc_id", "left")
+    section = geometry.section_tokens(whole, options)
+    # Of a page only its section's text and the lines of its columns are needed from here on.
+    cells = geometry.cells(geometry.ruled(section, options), options)
+    cells = kept(cells.withColumn("section_text", geometry.section_text(F.col("inside"))).drop("tokens", "inside"), "cells")
+    both = kept(reading.both_reads(matching.located(cells, options), reads is not None, options), "reads")
+    results = reading.resolved(both.where(F.col("field").isin(NAMES)), options).select(
         "doc_id", "field", "spec_ord", "kind", "value_text", "value_number", "status", "ocr_confidence", "valid", "source_label", "matched", "codes"
     )
     results = kept(results, "results")
 
     def documents() -> DataFrame:
-        sections = geometry.sections(inside).join(cols.groupBy("doc_id").agg(F.bool_or("fallback").alias("used_fallback_columns")), "doc_id", "left")
-        plates = first.where("field = 'PLACA'").select("doc_id", F.nullif("token_text", F.lit("")).alias("plate_in_document"))
+        some = F.col("section_text").isNotNull()
+        own = cells.select(
+            "doc_id", "section_top", "section_bottom", "header_found", *(F.when(some, F.col(c)).alias(c) for c in ("page_width", "page_height")),
+            F.exists("columns", lambda c: c["fallback"]).alias("used_fallback_columns"), "section_text",
+        )
+        plates = both.where("field = 'PLACA'").select("doc_id", F.nullif("token_text", F.lit("")).alias("plate_in_document"))
         counts = results.groupBy("doc_id").agg(F.count_if(F.col("status") == "extracted").alias("found_count"))
-        text = inside.groupBy("doc_id").agg(ordered_text("text", ["center_y", "x", "ord"]).alias("section_text"))
-        whole = pages.select("doc_id").distinct()
-        for part in (sections, plates, counts, text):
-            whole = whole.join(part, "doc_id", "left")
-        return whole
+        for part in (plates, counts):
+            own = own.join(part, "doc_id", "left")
+        return own.select("doc_id", "section_top", "section_bottom", "header_found", "page_width", "page_height", "used_fallback_columns", "plate_in_document", "found_count", "section_text")
 
     def warnings(documents: DataFrame) -> DataFrame:
         nothing = F.lit(None).cast("string").alias("field")
@@ -107,7 +103,7 @@ def extract(tokens: DataFrame, pages: DataFrame, requests: DataFrame | None = No
 
 def values(results: DataFrame) -> DataFrame:
     """One row per document with a column for each field: its value as text, null where there is none."""
-    return pivoted(results, ["doc_id"], "field", "value_text", NAMES)
+    return results.groupBy("doc_id").agg(*(F.first(F.when(F.col("field") == n, F.col("value_text")), ignorenulls=True).alias(n) for n in NAMES))
 
 
 def rejects(documents: DataFrame) -> DataFrame:

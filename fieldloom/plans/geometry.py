@@ -1,91 +1,133 @@
 """Where a page's section is and how its columns lie. Tokens are (doc_id, ord, text, x, y, width, height, confidence) of
-one page for each document, with that page's size; every step groups by doc_id, so one shuffle serves them all."""
+one page for each document, with that page's size. They are gathered once, into one row for each page; every later step
+works on the arrays of that row, so one shuffle serves them all."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import label_token
-from ..operators.aggregates import median
-from ..operators.joins import chosen_or_all, first_after, interval_overlap
+from ..operators.nested import average, computed, islands, joined, last_run, middle, once
 from ..operators.tables import merged_in
-from ..operators.windows import clusters, gap_islands, next_edge, strictly_increasing, walk_back
 from .spec import FALLBACK_COLUMNS, FOOTERS, HEADER, Options, pixels
 
 
 def placed(tokens: DataFrame, pages: DataFrame) -> DataFrame:
-    """Tokens with their derived edges, their normal form and the page's size."""
-    sizes = pages.select("doc_id", F.col("width").alias("page_width"), F.col("height").alias("page_height"))
-    return tokens.join(sizes, "doc_id").withColumns(
-        {"right": F.col("x") + F.col("width"), "bottom": F.col("y") + F.col("height"), "center_y": F.col("y") + F.col("height") / 2, "norm": label_token(F.col("text"))}
-    )
-
-
-def section_tokens(tokens: DataFrame, options: Options = Options()) -> DataFrame:
-    """The tokens of each document's section with its top and bottom; all tokens where the section holds none."""
-    doc = W.partitionBy("doc_id")
-    head = F.min(F.when(F.col("norm").startswith(HEADER), F.struct("y", "ord", "bottom"))).over(doc)
-    t = tokens.withColumn("_head", head)
-    floor = F.least("page_height", F.col("_head.y") + pixels(options.fallback_height, "page_height"))
-    foot = F.min(F.when((F.col("y") > F.col("_head.bottom")) & F.col("norm").isin(*FOOTERS), F.col("y"))).over(doc)
-    t = t.withColumn("_foot", foot).withColumns({"header_found": F.col("_head").isNotNull(), "section_top": F.coalesce("_head.y", F.lit(0))})
-    low = F.when(F.col("_foot") > F.col("_head.y"), F.col("_foot")).otherwise(floor)
-    t = t.withColumn("section_bottom", F.when(F.col("header_found"), low).otherwise(F.col("page_height")))
-    inside = F.col("center_y").between(F.col("section_top"), F.col("section_bottom"))
-    some = F.bool_or(inside).over(doc)
-    t = t.withColumn("_some", some)
-    kept = chosen_or_all(t, ["doc_id"], inside)
-    return kept.withColumns({"section_top": F.when(F.col("_some"), F.col("section_top")).otherwise(0), "section_bottom": F.when(F.col("_some"), F.col("section_bottom")).otherwise(F.col("page_height"))}).drop("_head", "_foot", "_some")
-
-
-def sections(inside: DataFrame) -> DataFrame:
-    return inside.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("section_top", "section_bottom", "header_found", "page_width", "page_height")))
-
-
-def columns(inside: DataFrame, options: Options = Options()) -> DataFrame:
-    """Rows (doc_id, column_index, label_left, colon_x, value_left, column_right, fallback). A document whose colons do not
-    show at least two columns in rising order has the three usual ones."""
-    size = sections(inside).select("doc_id", "page_width", "page_height")
-    tol = pixels(options.anchor, "page_width")
-    colons = inside.where(F.col("text").startswith(":") & (F.length(F.trim("text")) <= 2))
-    anchors = clusters(colons.select("doc_id", "x", "page_width"), ["doc_id"], "x", F.lit(options.colon_cluster) * F.col("page_width"), 3)
-    anchors = merged_in(anchors.select("doc_id", F.col("first").alias("colon_x")).join(size, "doc_id"))
-
-    rows = gap_islands(inside, ["doc_id"], "center_y", ["center_y", "ord"], F.lit(options.row_band) * F.col("page_height"), "band")
-    glyph = median(F.col("width") / F.length("text"), (F.length("text") >= 3) & (F.col("width") > 0), 6.0)
-    limits = inside.groupBy("doc_id").agg((F.lit(options.run_gap_glyphs) * glyph).alias("limit"))
-    at = rows.select("doc_id", "band", "text", "x", "right", "center_y", "ord").join(anchors, "doc_id").join(limits, "doc_id")
-    row = ["doc_id", "colon_x", "band"]
-    # Only colons on the anchor and what lies left of it count, so other tokens do not reach the window.
-    is_colon, is_left = F.col("text").startswith(":") & (F.abs(F.col("x") - F.col("colon_x")) <= tol), F.col("right") <= F.col("colon_x") + 2
-    at = at.where(is_colon | is_left).withColumn("_marked", F.bool_or(is_colon).over(W.partitionBy(*row)))
-    left = at.where(F.col("_marked") & is_left)
-    run = walk_back(left, row, [F.desc("x"), F.desc("center_y"), F.desc("ord")], "x", "right", F.col("limit"))
-    starts = run.groupBy(*row).agg(F.min("x").alias("start"))
-    lefts = starts.groupBy("doc_id", "colon_x").agg(median("start").cast("int").alias("label_left"))
-    found = anchors.join(lefts, ["doc_id", "colon_x"], "left")
-    found = strictly_increasing(found, ["doc_id"], ["colon_x"], "label_left", "rising").withColumn("several", F.count("*").over(W.partitionBy("doc_id")) >= 2)
-    good = found.where("rising and several")
-    good = next_edge(good, ["doc_id"], ["colon_x"], "label_left", pixels(options.right_margin, "page_width"), F.col("page_width"), "column_right")
-    good = good.withColumn("column_index", F.row_number().over(W.partitionBy("doc_id").orderBy("colon_x")) - 1).withColumn("tol", tol)
-    good = first_after(good.withColumn("edge", F.col("colon_x") + F.col("tol")), inside, ["doc_id"], "edge", "x", "value_left", F.col("edge"))
-    names = ["doc_id", "column_index", "label_left", "colon_x", "value_left", "column_right"]
-    usual = [
+    """One row (doc_id, page_width, page_height, tokens) for each page: its tokens by height, with their derived edges and
+    normal form. A page without tokens has an empty array."""
+    text, norm = F.col("text"), F.col("norm")
+    t = tokens.withColumn("norm", label_token(text)).select(
+        "doc_id", "x", (F.col("y") + F.col("height") / 2).alias("center_y"), "ord", (F.col("x") + F.col("width")).alias("right"), (F.col("x") + F.col("width") / 2).alias("center_x"),
+        "y", (F.col("y") + F.col("height")).alias("bottom"), "text", "norm", "confidence", text.startswith(":").alias("colon"), norm.startswith(HEADER).alias("heads"), norm.isin(*FOOTERS).alias("foots"),
+        F.when((F.length(text) >= 3) & (F.col("width") > 0), F.col("width") / F.length(text)).alias("glyph"),
+    )
+    gathered = t.groupBy("doc_id").agg(F.collect_list(F.struct("center_y", "ord", F.struct(*t.columns[1:]).alias("t"))).alias("tokens"))
+    sizes = pages.groupBy("doc_id").agg(F.max("width").alias("page_width"), F.max("height").alias("page_height"))
+    # Arrays are sorted by the first members of their items: these by height, and those of `across` by x.
+    by_height = F.sort_array(F.coalesce("tokens", F.array().cast(gathered.schema["tokens"].dataType)))
+    return sizes.join(merged_in(gathered), "doc_id", "left").withColumn("tokens", by_height["t"])
+
+
+def across(tokens: Column) -> Column:
+    """Tokens from left to right."""
+    return F.sort_array(tokens)
+
+
+def section_tokens(pages: DataFrame, options: Options = Options()) -> DataFrame:
+    """pages with header_found, section_top, section_bottom, and `inside`: the tokens of the section, or all tokens where it
+    holds none. Pages without tokens have no section."""
+    tokens, height = F.col("tokens"), F.col("page_height")
+    head = F.array_min(F.transform(F.filter(tokens, lambda t: t["heads"]), lambda t: F.struct(t["y"].alias("y"), t["ord"], t["bottom"].alias("bottom"))))
+    foot = lambda head: F.array_min(F.filter(tokens, lambda t: t["foots"] & (t["y"] > head["bottom"]))["y"])
+
+    def edges(head: Column, foot: Column) -> Column:
+        floor = F.least(height, head["y"] + pixels(options.fallback_height, "page_height"))
+        low = F.when(foot > head["y"], foot).otherwise(floor)
+        return F.struct(head.isNotNull().alias("found"), F.coalesce(head["y"], F.lit(0)).alias("top"), F.when(head.isNotNull(), low).otherwise(height).alias("bottom"))
+
+    d = computed(pages, {"_edge": once(head, lambda h: once(foot(h), lambda f: edges(h, f)))})
+    d = computed(d, {"_inside": F.filter(tokens, lambda t: t["center_y"].between(F.col("_edge.top"), F.col("_edge.bottom")))})
+    some = F.size("_inside") > 0
+    edge = lambda name, whole: F.when(some, F.col(f"_edge.{name}")).when(F.size(tokens) > 0, whole)
+    found = {"header_found": F.when(F.size(tokens) > 0, F.col("_edge.found")), "section_top": edge("top", F.lit(0)), "section_bottom": edge("bottom", height), "inside": F.when(some, F.col("_inside")).otherwise(tokens)}
+    return computed(d, found).drop("_edge", "_inside")
+
+
+def section_text(inside: Column) -> Column:
+    """The section's text in reading order, null where it has no token."""
+    each = F.transform(inside, lambda t: F.struct(t["center_y"], t["x"], t["ord"], t["text"].alias("text")))
+    return F.when(F.size(inside) > 0, joined(F.sort_array(each)["text"]))
+
+
+def ruled(sections: DataFrame, options: Options = Options()) -> DataFrame:
+    """sections with `columns`, an array of (column_index, label_left, colon_x, value_left, column_right, fallback). A document
+    whose colons do not show at least two columns in rising order has the three usual ones."""
+    inside, tol = F.col("inside"), pixels(options.anchor, "page_width")
+    colons = F.filter(inside, lambda t: t["colon"] & (F.length(F.trim(t["text"])) <= 2))
+    glyph = F.coalesce(middle(F.array_compact(inside["glyph"])), F.lit(6.0))
+    # Rows of tokens from left to right; only those with a colon can hold a label.
+    some = lambda r, _: F.when(F.exists(r, lambda t: t["colon"]), across(r))
+    rows = F.array_compact(islands(inside, lambda t: t["center_y"], F.lit(options.row_band) * F.col("page_height"), some))
+    near = F.lit(options.colon_cluster) * F.col("page_width")
+    anchors = F.array_compact(islands(F.sort_array(colons["x"]), lambda x: x, near, lambda c, _: F.when(F.size(c) >= 3, F.get(c, F.lit(0)))))
+    d = computed(sections, {"_rows": rows, "_anchors": anchors, "_limit": F.lit(options.run_gap_glyphs) * glyph, "_tol": tol})
+
+    def label_left(x: Column) -> Column:
+        # In each row with a colon on the anchor, where the run of tokens that ends at it begins.
+        marked = F.filter(F.col("_rows"), lambda r: F.exists(r, lambda i: i["colon"] & (F.abs(i["x"] - x) <= F.col("_tol"))))
+        starts = F.transform(marked, lambda r: last_run(F.filter(r, lambda i: i["right"] <= x + 2), lambda i: i["x"], lambda i: i["right"], F.col("_limit"))["x"])
+        return middle(F.array_compact(starts)).cast("int")
+
+    d = computed(d, {"_lefts": F.transform(F.col("_anchors"), label_left)})
+    lefts = F.col("_lefts")
+    rising = F.forall(F.transform(lefts, lambda x, i: x.isNotNull() & ((i == 0) | F.coalesce(x > F.get(lefts, i - 1), F.lit(False)))), lambda ok: ok)
+    margin = pixels(options.right_margin, "page_width")
+    beyond = lambda x: F.coalesce(F.array_min(F.filter(F.col("inside.x"), lambda other: other > x)), x)
+    own = F.transform(F.col("_anchors"), lambda x, i: F.struct(
+        i.alias("column_index"), F.get(lefts, i).alias("label_left"), x.alias("colon_x"), beyond(x + F.col("_tol")).alias("value_left"),
+        F.coalesce(F.get(lefts, i + 1) - margin, F.col("page_width").cast("int")).alias("column_right"), F.lit(False).alias("fallback"),
+    ))
+    usual = F.array(*(
         F.struct(F.lit(k).alias("column_index"), pixels(a, "page_width").alias("label_left"), pixels(b, "page_width").alias("colon_x"), pixels(c, "page_width").alias("value_left"),
-                 (pixels(FALLBACK_COLUMNS[k + 1][0], "page_width") - pixels(options.right_margin, "page_width") if k < 2 else F.col("page_width").cast("int")).alias("column_right"))
+                 (pixels(FALLBACK_COLUMNS[k + 1][0], "page_width") - margin if k < 2 else F.col("page_width").cast("int")).alias("column_right"), F.lit(True).alias("fallback"))
         for k, (a, b, c) in enumerate(FALLBACK_COLUMNS)
-    ]
-    other = size.join(good.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.inline(F.array(*usual)))
-    return good.select(*names, F.lit(False).alias("fallback")).unionByName(other.select(*names, F.lit(True).alias("fallback")))
-
-
-def cells(inside: DataFrame, cols: DataFrame, options: Options = Options()) -> DataFrame:
-    """Section tokens by the columns they reach into, banded into rows there, in reading order `place`."""
-    size = inside.select("doc_id", "page_width").distinct()
-    edge = cols.join(size, "doc_id").withColumn("_low", F.col("label_left") - pixels(options.column_inset, "page_width")).drop("page_width", "value_left", "fallback")
-    reach = interval_overlap(inside, edge, ["doc_id"], "x", "right", "_low", "column_right").drop("_low")
-    key = ["doc_id", "column_index"]
-    banded = gap_islands(reach, key, "center_y", ["center_y", "ord"], F.lit(options.row_band) * F.col("page_height"), "band")
-    return banded.withColumn("place", F.row_number().over(W.partitionBy(*key, "band").orderBy("x", "center_y", "ord")))
+    ))
+    columns = F.when((F.size("_anchors") >= 2) & rising, own).when(F.size(inside) > 0, usual)
+    return computed(d, {"columns": columns}).drop("_rows", "_limit", "_tol", "_anchors", "_lefts")
+
+
+def columns(sections: DataFrame, options: Options = Options()) -> DataFrame:
+    """Rows (doc_id, column_index, label_left, colon_x, value_left, column_right, fallback)."""
+    return ruled(sections, options).select("doc_id", F.inline("columns"))
+
+
+def cells(pages: DataFrame, options: Options = Options()) -> DataFrame:
+    """pages with `lines`: section tokens by the columns they reach into, banded into rows there. A line is (column_index, band,
+    texts, norms, tops, bottoms, raw, token_conf, first_x): arrays of the tokens up to the colon from left to right, and the
+    text of those from the colon on, their mean confidence and the leftmost place. Lines without the former are left out. `columns`
+    gets `values`: the tokens (x, ord, center_y, text, confidence) of the page that are centred in a column's values."""
+    edges = lambda c: F.struct(
+        (c["label_left"] - pixels(options.column_inset, "page_width")).alias("low"), c["column_right"].alias("high"), (c["colon_x"] + pixels(options.anchor, "page_width")).alias("until"),
+        (c["colon_x"] - pixels(options.anchor, "page_width")).alias("since"), (c["colon_x"] + pixels(options.cell_inset, "page_width")).alias("left"), F.least("page_width", c["column_right"]).alias("right"),
+    )
+
+    def line(column: Column, band: Column, edge: Column, tokens: Column) -> Column:
+        labels = F.filter(tokens, lambda t: (t["right"] <= edge["until"]) & (t["norm"] != ""))
+        value = F.filter(tokens, lambda t: (t["x"] >= edge["since"]) & (t["x"] < edge["high"]))
+        return once(labels, lambda n: once(value, lambda v: F.struct(
+            column["column_index"].alias("column_index"), band.cast("int").alias("band"), n["text"].alias("texts"), n["norm"].alias("norms"), n["y"].alias("tops"), n["bottom"].alias("bottoms"),
+            F.when(F.size(v) > 0, joined(v["text"])).alias("raw"), average(v["confidence"]).alias("token_conf"), F.get(v, F.lit(0))["x"].alias("first_x"),
+        )))
+
+    def lines(column: Column, edge: Column) -> Column:
+        reach = F.filter(F.col("inside"), lambda t: (t["right"] >= edge["low"]) & (t["x"] < edge["high"]))
+        return islands(reach, lambda t: t["center_y"], F.lit(options.row_band) * F.col("page_height"), lambda b, k: once(across(b), lambda tokens: line(column, k, edge, tokens)))
+
+    def values(edge: Column) -> Column:
+        at = F.filter(F.col("tokens"), lambda t: t["center_x"].between(edge["left"], edge["right"]))
+        return F.sort_array(F.transform(at, lambda t: F.struct(*(t[c].alias(c) for c in ("x", "ord", "center_y", "text", "confidence")))))
+
+    some = F.filter(F.flatten(F.transform("columns", lambda c: once(edges(c), lambda e: lines(c, e)))), lambda x: F.size(x["norms"]) > 0)
+    sides = F.transform("columns", lambda c: F.struct(*(c[n].alias(n) for n in ("colon_x", "column_right", "fallback")), once(edges(c), values).alias("values")))
+    return computed(pages, {"lines": some, "columns": sides})

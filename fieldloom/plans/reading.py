@@ -6,49 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import case_fold, collapse_spaces, decimal_text, int_text, looks_masked, strip_leading_separator, trim_spaces
-from ..operators.aggregates import ordered_text
-from ..operators.joins import contained
-from .matching import ROW
+from ..operators.nested import average, joined, once
+from .matching import SOUGHT
 from .spec import FIELDS, Options, pixels
 
 
-def token_reads(cells: DataFrame, located: DataFrame, options: Options = Options()) -> DataFrame:
-    """Rows (doc_id, field, token_text, token_conf): the row's tokens from the colon on. Where no separator survived but
-    the first token starts on the colon's place, its first glyph is the colon and goes."""
-    tol = pixels(options.anchor, "page_width")
-    value = located.select("doc_id", "field", "column_index", "band").join(cells, ROW)
-    value = value.where((F.col("x") >= F.col("colon_x") - tol) & (F.col("x") < F.col("column_right")))
-    read = value.groupBy("doc_id", "field").agg(
-        trim_spaces(ordered_text("text", ["place"])).alias("raw"), F.avg("confidence").alias("token_conf"), F.min("x").alias("first_x"),
-        F.first("colon_x").alias("colon_x"), F.first(tol).alias("tol"),
-    )
-    clean = strip_leading_separator(F.col("raw"))
-    fused = (clean == F.col("raw")) & (F.abs(F.col("first_x") - F.col("colon_x")) <= F.col("tol")) & (F.length("raw") > 1)
-    return read.select("doc_id", "field", F.when(fused, strip_leading_separator(F.expr("substring(raw, 2)"))).otherwise(clean).alias("token_text"), "token_conf")
-
+def both_reads(located: DataFrame, given: bool = False, options: Options = Options()) -> DataFrame:
+    """Rows (doc_id, spec_ord, field, kind, label, found, tier, matched, token_text, token_conf, crop_text, crop_conf) for each
+    sought field of each page, found or not. The first reading are the row's tokens from the colon on: where no separator
+    survived but the first token starts on the colon's place, its first glyph is the colon and goes. The second are the
+    tokens with their centre in the cell, right of the colon and somewhat higher than the label, or, where they are given,
+    the first of the page's `reads` (y_center, crop_text, crop_conf) whose height is in it."""
+    sought = F.array(*(F.struct(F.lit(k).alias("spec_ord"), *(F.lit(v).alias(n) for n, v in (("field", f.name), ("kind", f.kind), ("label", f.label)))) for k, f in enumerate(SOUGHT)))
 
-def boxes(located: DataFrame, cols: DataFrame, size: DataFrame, options: Options = Options()) -> DataFrame:
-    """The cell of each located field, right of its colon and somewhat higher than its label."""
-    pad = F.greatest(F.lit(6), (F.lit(options.cell_pad) * (F.col("label_bottom") - F.col("label_top"))).cast("int"))
-    b = located.join(cols.select("doc_id", "column_index", "colon_x", "column_right"), ["doc_id", "column_index"]).join(size.select("doc_id", "page_width", "page_height"), "doc_id")
-    return b.select(
-        "doc_id", "field", (F.col("colon_x") + pixels(options.cell_inset, "page_width")).alias("box_left"), F.greatest(F.lit(0), F.col("label_top") - pad).alias("box_top"),
-        F.least("page_width", "column_right").alias("box_right"), F.least("page_height", F.col("label_bottom") + pad).alias("box_bottom"),
-    )
+    def own(f: Column, label: Column, line: Column, column: Column) -> Column:
+        pad = F.greatest(F.lit(6), (F.lit(options.cell_pad) * (label["label_bottom"] - label["label_top"])).cast("int"))
+        known = lambda y: F.when(label["at"].isNotNull(), y)
+        top, bottom = known(F.greatest(F.lit(0), label["label_top"] - pad)), known(F.least("page_height", label["label_bottom"] + pad))
+        at = lambda y, box: y.between(box["top"], box["bottom"])
+        crop = lambda box: F.filter(column["values"], lambda t: at(t["center_y"], box))
+        read = lambda box: F.array_min(F.filter(F.col("reads"), lambda r: at(r["y_center"], box))) if given else F.lit(None).cast("struct<y_center:int,crop_text:string,crop_conf:double>")
+        cut = once(F.struct(top.alias("top"), bottom.alias("bottom")), lambda box: F.struct(crop(box).alias("tokens"), read(box).alias("given")))
+        return once(cut, lambda c: F.struct(
+            *(f[n].alias(n) for n in ("spec_ord", "field", "kind", "label")), label["tier"].alias("tier"), label["matched"].alias("matched"), line["raw"].alias("raw"), line["token_conf"].alias("token_conf"),
+            (line["first_x"] - column["colon_x"]).alias("off"), joined(c["tokens"]["text"]).alias("crop"), average(c["tokens"]["confidence"]).alias("own_conf"), c["given"].alias("given"),
+        ))
 
+    def each(f: Column, k: Column) -> Column:
+        line = lambda label: F.get("lines", label["at"])
+        return once(F.get("labels", k), lambda label: once(line(label), lambda x: own(f, label, x, F.get("columns", x["column_index"]))))
 
-def cell_reads(tokens: DataFrame, cells_: DataFrame, reads: DataFrame | None = None) -> DataFrame:
-    """Rows (doc_id, field, crop_text, crop_conf) of each box: the tokens with their centre in it, or the first of the
-    given second readings (doc_id, y_center, crop_text, crop_conf) whose height is in it."""
-    t = tokens.withColumn("center_x", F.col("x") + F.col("width") / 2)
-    inside = contained(t, cells_, ["doc_id"], [("center_x", "box_left", "box_right"), ("center_y", "box_top", "box_bottom")])
-    found = inside.groupBy("doc_id", "field").agg(F.regexp_replace(ordered_text("text", ["x", "ord"]), "^[: ]+", "").alias("crop_text"), F.avg("confidence").alias("crop_conf"))
-    if reads is not None:
-        given = contained(reads, cells_, ["doc_id"], [("y_center", "box_top", "box_bottom")])
-        given = given.groupBy("doc_id", "field").agg(F.min(F.struct("y_center", "crop_text", "crop_conf")).alias("g")).select("doc_id", "field", F.lit(True).alias("_given"), "g.crop_text", "g.crop_conf")
-        own = found.select("doc_id", "field", F.col("crop_text").alias("_text"), F.col("crop_conf").alias("_conf"))
-        found = given.join(own, ["doc_id", "field"], "full").select("doc_id", "field", F.when(F.col("_given"), F.col("crop_text")).otherwise(F.col("_text")).alias("crop_text"), F.when(F.col("_given"), F.col("crop_conf")).otherwise(F.col("_conf")).alias("crop_conf"))
-    return found.withColumn("crop_text", strip_leading_separator(F.col("crop_text")))
+    rows = located.select("doc_id", pixels(options.anchor, "page_width").alias("tol"), F.inline(F.transform(sought, each)))
+    raw = trim_spaces(F.col("raw"))
+    clean = strip_leading_separator(F.col("raw"))
+    fused = (clean == F.col("raw")) & (F.abs("off") <= F.col("tol")) & (F.length("raw") > 1)
+    token = F.when(fused, strip_leading_separator(F.expr("substring(raw, 2)"))).otherwise(clean)
+    second, is_given = strip_leading_separator(F.regexp_replace("crop", "^[: ]+", "")), F.col("given").isNotNull()
+    return rows.withColumn("raw", raw).select(
+        "doc_id", "spec_ord", "field", "kind", "label", F.col("tier").isNotNull().alias("found"), "tier", "matched", token.alias("token_text"), "token_conf",
+        F.when(is_given, strip_leading_separator(F.col("given.crop_text"))).otherwise(second).alias("crop_text"), F.when(is_given, F.col("given.crop_conf")).otherwise(F.col("own_conf")).alias("crop_conf"),
+    )
 
 
 def value_text(text: Column, kind: Column) -> Column:
@@ -73,8 +70,11 @@ def resolved(reads: DataFrame, options: Options = Options()) -> DataFrame:
     kind, field = F.col("kind"), F.col("field")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     r = reads.withColumns({"token_text": text("token_text"), "crop_text": text("crop_text")})
-    masked = looks_masked(F.col("token_text"), F.col("token_conf")) | looks_masked(F.col("crop_text"), F.col("crop_conf"))
-    r = r.withColumns({"_a": value_text(F.col("token_text"), kind), "_b": value_text(F.col("crop_text"), kind), "_masked": masked})
+    # Both readings go through the same rules, as items: written out twice these are too much code for one compiled method.
+    read = lambda t: F.struct(value_text(t["text"], kind).alias("value"), looks_masked(t["text"], t["conf"]).alias("masked"))
+    each = F.array(*(F.struct(F.col(f"{c}_text").alias("text"), F.col(f"{c}_conf").alias("conf")) for c in ("token", "crop")))
+    r = r.withColumn("_read", F.transform(each, read))
+    r = r.withColumns({"_a": F.col("_read")[0]["value"], "_b": F.col("_read")[1]["value"], "_masked": F.col("_read")[0]["masked"] | F.col("_read")[1]["masked"]})
     if options.mask_strings:
         r = r.withColumns({c: F.when(F.col("_masked") & (kind == "string"), F.lit(None)).otherwise(F.col(c)) for c in ("_a", "_b")})
     a, b = F.col("_a"), F.col("_b")
@@ -102,4 +102,4 @@ def resolved(reads: DataFrame, options: Options = Options()) -> DataFrame:
         F.when(~has & (F.col("status") == "not_found"), F.when(silent, "FIELD_NOT_FOUND").otherwise("UNPARSEABLE_VALUE")),
         F.when(has & ~F.col("valid"), "VALIDATION_FAILED"),
     ]
-    return r.withColumn("codes", F.array_compact(F.array(*codes))).drop("_a", "_b", "_masked", "_differ", "_conf")
+    return r.withColumn("codes", F.array_compact(F.array(*codes))).drop("_read", "_a", "_b", "_masked", "_differ", "_conf")

@@ -69,30 +69,30 @@ def laid_out(cells: DataFrame, headed: Column | bool = True, colons: Column | bo
     and colons."""
     say = lambda c: F.lit(c) if isinstance(c, bool) else c
     place = [F.element_at(F.array(*(F.lit(p[k]) for p in PLACES)), F.col("col") + 1) for k in range(3)]
-    confidence = F.col("confidence")
-
-    def token(nth: Column | int, text: Column, x: Column, conf: Column, y: Column | int = F.lit(FIRST_LINE) + LEADING * F.col("line")) -> Column:
-        nth, y = (v if isinstance(v, Column) else F.lit(v) for v in (nth, y))
-        return F.struct(nth.cast("int").alias("nth"), text.alias("text"), x.cast("int").alias("x"), y.cast("int").alias("y"), conf.cast("double").alias("confidence"))
-
-    def words(first: int, text: Column, left: Column, conf: Column) -> Column:
-        parts = F.filter(F.split(text, " "), lambda w: w != "")
-        passed = lambda k: GLYPH * F.length(F.array_join(F.slice(parts, 1, k), "")) + SPACE * k
-        return F.transform(parts, lambda w, k: token(first + k, w, left + passed(k), conf))
-
-    def only(condition: Column, tokens: Column) -> Column:
-        return F.when(condition, tokens).otherwise(F.array().cast("array<struct<nth:int,text:string,x:int,y:int,confidence:double>>"))
-
-    covered = F.col("cover").isNotNull()
-    label = only(~covered, words(0, F.col("label"), place[0], F.lit(CONFIDENCE)))
-    over = only(covered, F.array(token(0, F.col("cover"), place[1] - 24 - GLYPH * F.length("cover"), F.lit(20.0))))
-    colon = only(say(colons) & ~F.col("joined"), F.array(token(20, F.lit(":"), place[1], F.lit(None))))
-    fused = only(F.col("joined"), F.array(token(20, F.concat(F.lit("8"), F.col("value")), place[1], confidence)))
-    value = only(~F.col("joined"), words(30, F.col("value"), place[2], confidence))
+    confidence, joined, covered = F.col("confidence"), F.col("joined"), F.col("cover").isNotNull()
+    line = F.lit(FIRST_LINE) + LEADING * F.col("line")
+
+    def text(nth: int, said: Column, x: Column, conf: Column | float | None, y: Column | int = line, apart: bool = True) -> Column:
+        """Words that begin at x, or with apart=False one token; where they are null there is nothing."""
+        conf, y = (v if isinstance(v, Column) else F.lit(v) for v in (conf, y))
+        return F.struct(F.lit(nth).alias("first"), said.alias("said"), x.cast("int").alias("left"), y.cast("int").alias("y"), conf.cast("double").alias("confidence"), F.lit(apart).alias("apart"))
+
     # Header and footer come with the first cell of a form.
     around = [("Características", 75, TOP), ("técnicas", 340, TOP), ("Títulos", 75, FIRST_LINE + LEADING * (LINES + 1)), ("anotados", 210, FIRST_LINE + LEADING * (LINES + 1))]
-    frame = only(say(headed) & (F.col("col") == 0) & (F.col("line") == 0), F.array(*(token(90 + k, F.lit(t), F.lit(x), F.lit(CONFIDENCE), y) for k, (t, x, y) in enumerate(around))))
-    tokens = cells.select("doc_id", F.col("col").alias("_c"), F.col("line").alias("_l"), F.inline(F.concat(label, over, colon, fused, value, frame)))
+    first = say(headed) & (F.col("col") == 0) & (F.col("line") == 0)
+    texts = [
+        text(0, F.when(~covered, F.col("label")), place[0], CONFIDENCE), text(0, F.col("cover"), place[1] - 24 - GLYPH * F.length("cover"), 20.0, apart=False),
+        text(20, F.when(say(colons) & ~joined, ":"), place[1], None), text(20, F.when(joined, F.concat(F.lit("8"), F.col("value"))), place[1], confidence, apart=False),
+        text(30, F.when(~joined, F.col("value")), place[2], confidence), *(text(90 + k, F.when(first, t), F.lit(x), CONFIDENCE, y) for k, (t, x, y) in enumerate(around)),
+    ]
+    printed = cells.select("doc_id", F.col("col").alias("_c"), F.col("line").alias("_l"), F.inline(F.array(*texts))).where("said is not null")
+    # Words are apart by one space, so what is passed before a word can be told from their number and the text up to it.
+    said = F.col("said")
+    spaced = F.col("apart") & (said.contains("  ") | said.startswith(" ") | said.endswith(" "))
+    printed = printed.withColumn("said", F.when(spaced, F.trim(F.regexp_replace("said", " +", " "))).otherwise(said))
+    words = printed.select("*", F.posexplode(F.when(F.col("apart"), F.split("said", " ")).otherwise(F.array("said"))).alias("k", "text")).where("text <> ''")
+    passed = F.when(F.col("k") > 0, GLYPH * (F.length(F.expr("substring_index(said, ' ', k)")) - F.col("k") + 1) + SPACE * F.col("k")).otherwise(0)
+    tokens = words.withColumns({"nth": F.col("first") + F.col("k"), "x": F.col("left") + passed})
     return tokens.select(
         "doc_id", F.lit(1).alias("page"), F.lit("ocr").alias("source_kind"), (1000 * F.col("_c") + 100 * F.col("_l") + F.col("nth")).alias("ord"), "text", "x", "y",
         (GLYPH * F.length("text")).alias("width"), F.lit(TALL).alias("height"), "confidence",
