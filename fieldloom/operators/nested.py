@@ -22,15 +22,16 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
-def islands(items: Column, value: Callable[[Column], Column], tolerance: Column, body: Callable[[Column, Column], Column]) -> Column:
-    """The body of each island, an array, and its number: items, in the order of their values, with no larger gap than the
-    tolerance between neighbours. windows.gap_islands within a row."""
+def islands(items: Column, value: str | None, tolerance: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """The body of each island, an array, and its number: items, in the order of a member or of their own values, with no
+    larger gap than the tolerance between neighbours. windows.gap_islands within a row."""
 
-    def cut(s: Column) -> Column:
-        opens = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (value(x) - value(F.get(s, i - 1)) > tolerance), i)))
+    def cut(s: Column, v: Column) -> Column:
+        places = F.slice(F.sequence(F.lit(0), F.size(s)), F.lit(1), F.size(s))
+        opens = F.filter(places, lambda i: (i == 0) | (F.get(v, i) - F.get(v, i - 1) > tolerance))
         return once(opens, lambda at: F.transform(at, lambda k, i: once(F.slice(s, k + 1, F.coalesce(F.get(at, i + 1), F.size(s)) - k), lambda part: body(part, i))))
 
-    return once(items, cut)
+    return once(items, lambda s: once(s if value is None else s[value], lambda v: cut(s, v)))
 
 
 def last_run(items: Column, begin: Callable[[Column], Column], end: Callable[[Column], Column], limit: Column) -> Column:

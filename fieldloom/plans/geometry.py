@@ -68,9 +68,9 @@ def ruled(sections: DataFrame, options: Options = Options()) -> DataFrame:
     glyph = F.coalesce(middle(F.array_compact(inside["glyph"])), F.lit(6.0))
     # Rows of tokens from left to right; only those with a colon can hold a label.
     some = lambda r, _: F.when(F.exists(r, lambda t: t["colon"]), across(r))
-    rows = F.array_compact(islands(inside, lambda t: t["center_y"], F.lit(options.row_band) * F.col("page_height"), some))
+    rows = F.array_compact(islands(inside, "center_y", F.lit(options.row_band) * F.col("page_height"), some))
     near = F.lit(options.colon_cluster) * F.col("page_width")
-    anchors = F.array_compact(islands(F.sort_array(colons["x"]), lambda x: x, near, lambda c, _: F.when(F.size(c) >= 3, F.get(c, F.lit(0)))))
+    anchors = F.array_compact(islands(F.sort_array(colons["x"]), None, near, lambda c, _: F.when(F.size(c) >= 3, F.get(c, F.lit(0)))))
     d = computed(sections, {"_rows": rows, "_anchors": anchors, "_limit": F.lit(options.run_gap_glyphs) * glyph, "_tol": tol})
 
     def label_left(x: Column) -> Column:
@@ -122,7 +122,7 @@ def cells(pages: DataFrame, options: Options = Options()) -> DataFrame:
 
     def lines(column: Column, edge: Column) -> Column:
         reach = F.filter(F.col("inside"), lambda t: (t["right"] >= edge["low"]) & (t["x"] < edge["high"]))
-        return islands(reach, lambda t: t["center_y"], F.lit(options.row_band) * F.col("page_height"), lambda b, k: once(across(b), lambda tokens: line(column, k, edge, tokens)))
+        return islands(reach, "center_y", F.lit(options.row_band) * F.col("page_height"), lambda b, k: once(across(b), lambda tokens: line(column, k, edge, tokens)))
 
     def values(edge: Column) -> Column:
         at = F.filter(F.col("tokens"), lambda t: t["center_x"].between(edge["left"], edge["right"]))

@@ -27,8 +27,8 @@ def some(conditions: list[Column]) -> Column:
 
 
 def whole(token: Column, pattern: tuple[str, ...]) -> Column:
-    """Whether a token and those after it, its norms, fit a whole pattern."""
-    return reduce(lambda a, b: a & b, (F.coalesce(fits(F.get(token["norms"], F.lit(k)), word), F.lit(False)) for k, word in enumerate(pattern)))
+    """Whether a token and those after it, its norms, fit a whole pattern; the last word, which fewest fit, is tried first."""
+    return reduce(lambda a, b: a & b, (F.coalesce(fits(F.get(token["norms"], F.lit(k)), word), F.lit(False)) for k, word in reversed(list(enumerate(pattern)))))
 
 
 def keyword(norm: Column, field: Field, options: Options) -> Column:

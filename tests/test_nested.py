@@ -34,7 +34,7 @@ def test_islands_runs_and_medians_within_a_row(spark):
     marked = windows.gap_islands(df, ["k"], "v", ["v", "i"], F.lit(4), "island")
     want = sorted((r.k, r.island, sorted(r.s)) for r in marked.groupBy("k", "island").agg(F.collect_list("i").alias("s")).collect())
     whole = df.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("v", "i", "w"))).alias("s"))
-    cut = whole.select("k", F.posexplode(nested.islands(F.col("s"), lambda x: x["v"], F.lit(4), lambda part, _: part["i"])).alias("island", "ids"))
+    cut = whole.select("k", F.posexplode(nested.islands(F.col("s"), "v", F.lit(4), lambda part, _: part["i"])).alias("island", "ids"))
     assert sorted((r.k, r.island, sorted(r.ids)) for r in cut.collect()) == want
 
     run = windows.walk_back(df.withColumn("end", F.col("v") + F.col("w")), ["k"], [F.desc("v"), F.desc("i")], "v", "end", F.lit(3))
